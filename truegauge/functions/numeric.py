@@ -12,10 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A score has two decimals and lies far below 10^7.
-SCORE_DECIMAL = "decimal(9,2)"
-
-
 def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
@@ -34,12 +30,17 @@ def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)
 
 
-def exact_score(score: Column) -> Column:
-    """Two-decimal scores as decimals, so sums do not depend on row order."""
-    return score.cast(SCORE_DECIMAL)
+def score_cents(score: Column) -> Column:
+    """Two-decimal scores as whole hundredths: long sums are fast and do not depend
+    on row order, as double sums would."""
+    return F.round(score * 100).cast("long")
 
 
-def exact_mean(total: Column, count: Column, digits: int) -> Column:
-    """Decimal sum over count, rounded half up once, as a double."""
-    mean = F.try_divide(total.cast("decimal(28,2)"), count.cast("decimal(18,0)"))
+def exact_mean(cents: Column, count: Column, digits: int) -> Column:
+    """Sum of hundredths over count, rounded half up once, as a double."""
+    mean = F.try_divide(cents.cast("decimal(20,0)"), (count * 100).cast("decimal(18,0)"))
     return F.round(mean, digits).cast("double")
+
+
+def plain_mean(cents: Column, count: Column) -> Column:
+    return F.try_divide(cents.cast("double"), count.cast("double")) / 100
