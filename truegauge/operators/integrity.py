@@ -205,8 +205,15 @@ def verdict(findings: DataFrame) -> DataFrame:
     )
 
 
+def guarded(findings: DataFrame) -> DataFrame:
+    """The same findings, but reading them fails as soon as one is an error."""
+    is_error = F.col("severity").isin(ERROR_LEVELS)
+    alarm = F.raise_error(F.concat(F.lit("Pipeline validation failed: ["), F.col("check"), F.lit("] "), F.col("message")))
+    return findings.withColumn("message", F.when(is_error, alarm).otherwise(F.col("message")))
+
+
 def validate_with_guard(source: DataFrame, star: Star) -> list[dict]:
-    """Findings as plain rows; raises when any is an error. There are at most six."""
+    """Findings as plain rows, at most six; raises when any is an error."""
     findings = [r.asDict() for r in validate(source, star).collect()]
     errors = [f"[{f['severity']}] [{f['check']}] {f['message']}" for f in findings if f["severity"] in ERROR_LEVELS]
     if errors:
