@@ -94,6 +94,21 @@ def alert_events(scores: DataFrame, configs: DataFrame, slice_by: str = "day") -
     )
 
 
+def alert_states(scores: DataFrame, configs: DataFrame) -> DataFrame:
+    """Flag of every configured dataset after these scores: ``dataset_id, active``."""
+    effect = F.when(~F.col("breach"), False).when(F.col("email_notifications"), True)
+    last = (
+        judged(scores, configs)
+        .withColumn("effect", effect)
+        .where("effect is not null")
+        .groupBy("dataset_id")
+        .agg(F.max_by("effect", F.struct("checked_at", "id")).alias("effect"))
+    )
+    return configs.join(last, "dataset_id", "left").select(
+        "dataset_id", F.coalesce("effect", "is_alert_active").alias("active")
+    )
+
+
 def alerts(scores: DataFrame, configs: DataFrame) -> DataFrame:
     return alert_events(scores, configs).where(F.col("event") == ALERT).drop("event")
 
