@@ -404,11 +404,12 @@ def top_field_alarm(star: Star, sel: Selection) -> DataFrame:
 
 def daily_average_from_aggregate(daily: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Mean per day over all severities, read from the daily aggregate instead of the fact."""
-    points = F.sum(F.col("avg_score") * F.col("total_checks"))
+    # Mean times count is a whole number of hundredths; rounding recovers it exactly.
+    cents = F.round(F.col("avg_score") * F.col("total_checks") * 100).cast("long")
     return (
         daily.groupBy("date_key")
-        .agg(points.alias("points"), F.sum("total_checks").alias("n"))
+        .agg(F.sum(cents).alias("points"), F.sum("total_checks").alias("n"))
         .join(dim_date.select("date_key", "full_date"), "date_key")
-        .select("full_date", half_up(F.try_divide("points", "n"), 1).alias("avg_score"))
+        .select("full_date", exact_mean(F.col("points"), F.col("n"), 1).alias("avg_score"))
         .orderBy("full_date")
     )

@@ -52,8 +52,11 @@ def new_facts(target: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def dedupe_facts(facts: DataFrame, age: Sequence[Column] = ()) -> DataFrame:
-    """Table after de-duplication: the oldest row of each business key stays."""
-    return pick_one(facts, BUSINESS_KEY, list(age) or [F.col("id")])
+    """Table after de-duplication: the oldest row of each business key stays.
+
+    ``date_key`` follows from the business key; as a key it lets day filters through.
+    """
+    return pick_one(facts, [*BUSINESS_KEY, "date_key"], list(age) or [F.col("id")])
 
 
 def daily_aggregate(facts: DataFrame, dim_rules: DataFrame) -> DataFrame:

@@ -106,10 +106,12 @@ def surplus_duplicates(rows: DataFrame) -> DataFrame:
 
 
 def _dimension(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    # Distinct over whole rows keeps the first, big aggregate hash-based; choosing
-    # one row per id then runs over the few rows that are left.
+    # Distinct over whole rows is a hash aggregate without value buffers, so the facts
+    # are never sorted. One row per id is then picked from the few rows left by a
+    # window: dropDuplicates would be merged with the distinct into one sort aggregate.
     columns = [F.col(source).alias(target) for source, target in mapping.items()]
-    return raw.select(*columns).distinct().dropDuplicates(["id"])
+    rows = raw.select(*columns).distinct()
+    return pick_one(rows, ["id"], [F.col(c) for c in mapping.values() if c != "id"])
 
 
 def build_dim_datasets(raw: DataFrame) -> DataFrame:
@@ -157,7 +159,8 @@ def build_facts(raw: DataFrame, dedupe: bool = True) -> DataFrame:
         moment.cast("timestamp_ntz").alias("checked_at"),
     )
     if dedupe:
-        facts = pick_one(facts, BUSINESS_KEY, [F.col("id").desc()])
+        # date_key follows from checked_at; as a key it lets day filters pass the window.
+        facts = pick_one(facts, [*BUSINESS_KEY, "date_key"], [F.col("id").desc()])
     return facts
 
 
@@ -184,12 +187,15 @@ def date_key_problems(facts: DataFrame, dim_date: DataFrame) -> DataFrame:
     return undated.unionByName(unknown)
 
 
+def build_star(raw: DataFrame) -> Star:
+    """The four tables. Nothing runs until one of them is used."""
+    check_schema(raw.select(*[c for c in raw.columns if c in REQUIRED]), REQUIRED, "raw")
+    return Star(build_dim_datasets(raw), build_dim_rules(raw), build_dim_date(raw), build_facts(raw))
+
+
 def transform(raw: DataFrame) -> Transformed:
-    """All four tables and the warnings. Nothing runs until one of them is used."""
-    problems = raw_problems(raw)
-    dim_date = build_dim_date(raw)
-    facts = build_facts(raw)
-    star = Star(build_dim_datasets(raw), build_dim_rules(raw), dim_date, facts)
+    """The four tables and the warnings about the extract."""
+    star = build_star(raw)
     for table, columns, name in (
         (star.dim_datasets, list(DATASET_COLUMNS.values()), "dim_datasets"),
         (star.dim_rules, list(RULE_COLUMNS.values()), "dim_rules"),
@@ -197,4 +203,5 @@ def transform(raw: DataFrame) -> Transformed:
         (star.facts, FACT_COLUMNS, "fact_quality_checks"),
     ):
         check_schema(table, columns, name)
-    return Transformed(star, problems.unionByName(date_key_problems(facts, dim_date).where("n > 0")))
+    undated = date_key_problems(star.facts, star.dim_date).where("n > 0")
+    return Transformed(star, raw_problems(raw).unionByName(undated))

@@ -138,8 +138,14 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._build(name)
+        return self._tables[name]
+
+    def _build(self, name: str) -> DataFrame:
         if name in VIEWS:
             sources = {t: self.table(t) for t in _READS[name]}
             text = VIEWS[name]

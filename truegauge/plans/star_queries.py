@@ -11,6 +11,7 @@ from truegauge.operators.analytics import Selection
 from truegauge.operators.star import Star
 from truegauge.plans.history import Inputs
 from truegauge.plans.registry import query
+from truegauge.plans.warehouse import stored
 
 AS_OF = datetime(2024, 1, 20, 6, 0)
 
@@ -80,7 +81,7 @@ def raw(i: Inputs):
 
 
 def built(i: Inputs) -> Star:
-    return star.transform(raw(i)).star
+    return star.build_star(raw(i))
 
 
 def raw_star(i: Inputs) -> Star:
@@ -374,7 +375,7 @@ def _daily(i: Inputs):
     (select count(*) from facts) - (select count(*) from check_results) as delta""",
 )
 def _row_counts(i: Inputs):
-    return integrity.row_counts(i.check_results, built(i).facts)
+    return integrity.row_counts(i.check_results, stored(i).star().facts)
 
 
 @query(
@@ -418,7 +419,7 @@ def _rows(i: Inputs):
     from (select *, cast(round(score * 100) as bigint) as cents from facts)""",
 )
 def _summary(i: Inputs):
-    return integrity.summary_statistics(built(i).facts)
+    return integrity.summary_statistics(stored(i).star().facts)
 
 
 _DATASET_SUMMARY = """ select d.id as dataset_id, d.name as dataset_name, count(*) as total_checks, count(*) filter (where passed) as passed_checks,
@@ -430,12 +431,12 @@ _DATASET_SUMMARY = """ select d.id as dataset_id, d.name as dataset_name, count(
 
 @query("j07_dataset_summary", STAR + _DATASET_SUMMARY)
 def _dataset_summary(i: Inputs):
-    return integrity.dataset_summary(built(i)).withColumn("avg_score", F.round("avg_score", 6))
+    return integrity.dataset_summary(stored(i).star()).withColumn("avg_score", F.round("avg_score", 6))
 
 
 @query("j08_pass_rate", STAR + f" select dataset_id, pass_rate from ({_DATASET_SUMMARY})")
 def _pass_rates(i: Inputs):
-    return integrity.dataset_summary(built(i)).select("dataset_id", "pass_rate")
+    return integrity.dataset_summary(stored(i).star()).select("dataset_id", "pass_rate")
 
 
 _RULE_SUMMARY = """ select u.id as rule_id, u.name as rule_name, u.severity, count(*) as total_checks,
@@ -446,12 +447,12 @@ _RULE_SUMMARY = """ select u.id as rule_id, u.name as rule_name, u.severity, cou
 
 @query("j09_rule_failures", STAR + _RULE_SUMMARY)
 def _rule_failures(i: Inputs):
-    return integrity.rule_failure_summary(built(i))
+    return integrity.rule_failure_summary(stored(i).star())
 
 
 @query("j10_high_failure_rules", STAR + f" select * from ({_RULE_SUMMARY}) where failure_rate > 28")
 def _high_failures(i: Inputs):
-    return integrity.high_failure_rules(built(i), 28)
+    return integrity.high_failure_rules(stored(i).star(), 28)
 
 
 @query(
@@ -492,7 +493,7 @@ def _verdict(i: Inputs):
 )
 def _guard(i: Inputs):
     """A sound star passes the guard with warnings only."""
-    return integrity.guarded(integrity.validate(i.check_results, built(i))).where("length(message) > 0").select("check", "severity")
+    return integrity.guarded(integrity.validate(i.check_results, stored(i).star())).where("length(message) > 0").select("check", "severity")
 
 
 # --- K: analytics ----------------------------------------------------------
@@ -502,29 +503,29 @@ def dashboard(name: str, sql: str, head: str = STAR + SELECTED):
     """Register a query over (star, selection)."""
 
     def register(build):
-        query(name, head + sql)(lambda i: build(built(i), selection(i)))
+        query(name, head + sql)(lambda i: build(stored(i).star(), selection(i)))
         return build
 
     return register
 
 
 @dashboard(
-    "k00_star_filter", " select id, dataset_id, rule_id, score, full_date, day_of_week, rule_type, severity, field_name from sel"
+    "k00_star_filter", " select dataset_id, rule_id, checked_at, score, full_date, day_of_week, rule_type, severity, field_name from sel"
 )
 def _star_filter(tables, sel):
     return analytics.star_filter(tables, sel).select(
-        "id", "dataset_id", "rule_id", "score", "full_date", "day_of_week", "rule_type", "severity", "field_name"
+        "dataset_id", "rule_id", "checked_at", "score", "full_date", "day_of_week", "rule_type", "severity", "field_name"
     )
 
 
 @query("k01_datasets", STAR + " select distinct id, name from dim_datasets")
 def _datasets(i: Inputs):
-    return analytics.datasets(built(i))
+    return analytics.datasets(stored(i).star())
 
 
 @query("k02_date_range", STAR + " select min(full_date) as min_d, max(full_date) as max_d from dim_date")
 def _date_range(i: Inputs):
-    return analytics.date_range(built(i))
+    return analytics.date_range(stored(i).star())
 
 
 _KPI = """select count(*) as total_checks, count(*) filter (where passed) as passed_checks, round(sum(cents) / 100.0 / count(*), 6) as avg_score,
@@ -596,9 +597,9 @@ def _weekdays(tables, sel):
 _STATUS = "case when {0} >= 90 then 'Healthy' when {0} >= 70 then 'Warning' else 'Critical' end"
 
 
-@query("k11_quality_status", STAR + " select id, score, " + _STATUS.format("score") + " as status from facts")
+@query("k11_quality_status", STAR + " select dataset_id, rule_id, checked_at, score, " + _STATUS.format("score") + " as status from facts")
 def _status(i: Inputs):
-    return built(i).facts.select("id", "score", analytics.quality_status(F.col("score")).alias("status"))
+    return stored(i).star().facts.select("dataset_id", "rule_id", "checked_at", "score", analytics.quality_status(F.col("score")).alias("status"))
 
 
 @dashboard(
@@ -731,5 +732,5 @@ def _top_field(tables, sel):
     STAR + f" select full_date, {MEAN1} as avg_score from (select d.full_date, cast(round(f.score * 100) as bigint) as cents from facts f join dim_date d using (date_key)) group by 1",
 )
 def _from_daily(i: Inputs):
-    tables = built(i)
-    return analytics.daily_average_from_aggregate(load.daily_aggregate(tables.facts, tables.dim_rules), tables.dim_date)
+    store = stored(i)
+    return analytics.daily_average_from_aggregate(store.read("agg_daily_quality"), store.read("dim_date"))
