@@ -364,11 +364,10 @@ union all
 select dataset_id, 100 - threshold / 2, threshold > 60, cast(timestamp '2024-01-15 00:00:00' as timestamp) from alert_configs
 """
 
-_JUDGED = """
+_JUDGED_TEXT = """
 settings as (
   select *, row_number() over w as epoch, lead(effective_from) over w as valid_to
-  from (select dataset_id, threshold::double as threshold, email_notifications, timestamp '2023-01-01 00:00:00' as effective_from from alert_configs
-        union all select dataset_id, 100 - threshold / 2.0, threshold > 60, timestamp '2024-01-15 00:00:00' from alert_configs)
+  from ({settings})
   window w as (partition by dataset_id order by effective_from)),
 judged as (
   select s.id, s.dataset_id, s.score, c.threshold, s.checked_at, c.epoch, s.score < c.threshold as breach, c.email_notifications as mail
@@ -384,6 +383,16 @@ events as (
   select *, not breach and coalesce((select bool_or(f.fires) from fired f where f.dataset_id = fired.dataset_id and f.epoch = fired.epoch and f.run = fired.run - 1), false) as recovers
   from fired)"""
 
+def judged_sql(settings: str) -> str:
+    """Alert events of the scores, as (id, ..., fires, recovers), for a history of settings."""
+    return _JUDGED_TEXT.replace("{settings}", settings)
+
+
+_JUDGED = judged_sql(
+    """select dataset_id, threshold::double as threshold, email_notifications, timestamp '2023-01-01 00:00:00' as effective_from from alert_configs
+    union all select dataset_id, 100 - threshold / 2.0, threshold > 60, timestamp '2024-01-15 00:00:00' from alert_configs"""
+)
+
 
 def _configs(i: Inputs):
     text = CONFIG_HISTORY.replace("from alert_configs", "from {configs}")
