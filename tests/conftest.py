@@ -17,6 +17,8 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
+            # Short jobs: compile quickly rather than optimise long.
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),

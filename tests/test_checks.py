@@ -195,6 +195,14 @@ def test_more_rules_than_one_pass(spark):
     assert checks.run_checks(df, many).count() == len(many)
 
 
+def test_unique_keeps_the_row_as_it_is(spark):
+    df = spark.createDataFrame([(1, 10.0, 5), (1, 20.0, 6), (2, 30.0, 7)], "k int, value double, n int")
+    got = sorted(tuple(r) for r in checks.violations(df, [Rule(4, "k", "UNIQUE")]).collect())
+    assert got == [(1, 10.0, 5, 4), (1, 20.0, 6, 4)]
+    grouped = checks.run_checks_by(df, [Rule(4, "k", "UNIQUE")], ["value", "n"]).collect()
+    assert len(grouped) == 3 and {r.failed_rows for r in grouped} == {0}
+
+
 def test_no_rules(spark):
     assert checks.run_checks(column(spark, ["a"]), []).count() == 0
     assert checks.run_checks_by(column(spark, ["a"]), [], ["f"]).columns[0] == "f"

@@ -244,7 +244,9 @@ def test_dashboard_by_ids(spark):
 
 
 def test_exports(spark, tmp_path):
-    tables = star.transform(extract.base_extract(history(spark))).star
+    store = StarStore(spark, str(tmp_path / "star"))
+    store.load(star.build_star(extract.base_extract(history(spark))))
+    tables = store.star()
     sel = Selection.of(None, date(2026, 3, 1), date(2026, 3, 31), ["HIGH", "MEDIUM", "LOW"])
     written = exports.export_report(tables, sel, str(tmp_path / "report"))
     assert written == ["kpi_summary", "quality_trends", "failure_analysis", "dataset_comparison", "field_issues", "day_of_week"]

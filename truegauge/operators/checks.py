@@ -22,6 +22,8 @@ from truegauge.operators.rules import RULE_TYPES, Rule, as_rules
 SAMPLE_ROWS = 5
 # Aggregates per ``agg``: more would outgrow one generated method.
 RULES_PER_PASS = 150
+# Working columns of UNIQUE, named so that no dataset column is shadowed.
+VALUE, COUNT = "_value", "_count"
 
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf(inity)?|Inf(inity)?|INF(INITY)?)\s*$"
 ISO_MOMENT = (
@@ -270,21 +272,25 @@ def _unique_results(df: DataFrame, checks: Sequence[Check], keys: Sequence[str])
     """UNIQUE rules on one field: every member of a repeated value fails."""
     counted = value_counts(df, checks[0].rule.field_name, keys)
     per_group = counted.groupBy(*[quoted(k) for k in keys]).agg(
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("failed"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(F.col(COUNT) > 1, F.col(COUNT))), F.lit(0)).alias("_failed"),
+        F.coalesce(F.sum(COUNT), F.lit(0)).alias("_total"),
     )
-    outcome = Outcome(F.col("failed"), F.col("failed") == 0, F.lit(False))
-    entries = F.array(*[_entry(check, outcome, F.col("total")) for check in checks])
+    outcome = Outcome(F.col("_failed"), F.col("_failed") == 0, F.lit(False))
+    entries = F.array(*[_entry(check, outcome, F.col("_total")) for check in checks])
     return per_group.select(*[quoted(k) for k in keys], F.inline(entries))
 
 
-def value_counts(df: DataFrame, field: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per value of a field (column ``value``, count ``n``); NaN counts as null."""
-    dtype = df.schema[field].dataType
+def comparable(df: DataFrame, field: str) -> Column:
+    """A field's value as UNIQUE compares it: NaN counts as null, and nulls are equal."""
     value = quoted(field)
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        value = F.when(~F.isnan(value), value)
-    return df.groupBy(*[quoted(k) for k in keys], value.alias("value")).agg(row_count().alias("n"))
+    if isinstance(df.schema[field].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value), value)
+    return value
+
+
+def value_counts(df: DataFrame, field: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows per key group and value of a field (columns ``_value`` and ``_count``)."""
+    return df.groupBy(*[quoted(k) for k in keys], comparable(df, field).alias(VALUE)).agg(row_count().alias(COUNT))
 
 
 def run_checks_by(
@@ -336,15 +342,10 @@ def violations(df: DataFrame, rules: DataFrame | Iterable[Rule], null_text: str
         hits = F.array(*[F.when(c.failing, F.lit(c.rule.id).cast("long")) for c in masked])
         tagged.append(df.withColumn("rule_id", F.explode(F.array_compact(hits))))
     for check in (c for c in checks if c.unique):
-        repeated = value_counts(df, check.rule.field_name).where("n > 1")
-        dtype = df.schema[check.rule.field_name].dataType
-        value = quoted(check.rule.field_name)
-        if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            value = F.when(~F.isnan(value), value)
-        rows = semi_join_by_count(df.withColumn("value", value), repeated, ["value"])
-        if "value" not in df.columns:
-            rows = rows.drop("value")
-        tagged.append(rows.withColumn("rule_id", F.lit(check.rule.id).cast("long")))
+        field = check.rule.field_name
+        repeated = value_counts(df, field).where(F.col(COUNT) > 1)
+        rows = semi_join_by_count(df.withColumn(VALUE, comparable(df, field)), repeated, [VALUE], COUNT)
+        tagged.append(rows.drop(VALUE).withColumn("rule_id", F.lit(check.rule.id).cast("long")))
     if not tagged:
         return df.where(F.lit(False)).withColumn("rule_id", F.lit(None).cast("long"))
     out = tagged[0]

@@ -482,12 +482,12 @@ def _daily(i: Inputs):
 
 @query(
     "c18_violations",
-    """select event_id, cast(1 as bigint) as rule_id from events where value < 1 or value > 90
-       union all select event_id, 2 from events where user_id in (select user_id from events group by 1 having count(*) > 1)
-       union all select event_id, 3 from events where event_type not in ('view', 'click', 'signup', 'purchase')""",
+    """select *, cast(1 as bigint) as rule_id from events where value < 1 or value > 90
+       union all select *, 2 from events where user_id in (select user_id from events group by 1 having count(*) > 1)
+       union all select *, 3 from events where event_type not in ('view', 'click', 'signup', 'purchase')""",
 )
 def _violations(i: Inputs):
-    return checks.violations(i.events, EVENT_RULES).select("event_id", "rule_id")
+    return checks.violations(i.events, EVENT_RULES)
 
 
 @query(

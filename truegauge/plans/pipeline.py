@@ -13,6 +13,7 @@ from truegauge.operators.extract import History, build_extract, extract_with_wat
 from truegauge.operators.integrity import IntegrityError
 from truegauge.operators.load import LoadSummary, StarStore
 from truegauge.operators.star import SchemaError, transform
+from truegauge.session import prepare
 from truegauge.sources.state import State, append_run, load_state, save_state
 
 
@@ -55,7 +56,7 @@ def run(
     """
     result = PipelineResult(f"run_{uuid.uuid4().hex[:12]}", mode, dry_run, started_at=datetime.now(timezone.utc))
     state_path, log_path = f"{root}/_state", f"{root}/etl_run_log"
-    store = StarStore(spark, f"{root}/star")
+    store = StarStore(prepare(spark), f"{root}/star")
     try:
         state = load_state(spark, state_path)
         stored = state.high_watermark if mode == "incremental" else None

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from truegauge.plans.history import Inputs, with_views
+from truegauge.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +21,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"Query {name} is registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Inputs(spark, folder))
+            return build(Inputs(prepare(spark), folder))
 
         QUERIES[name] = run
         if sql is not None:

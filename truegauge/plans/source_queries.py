@@ -124,10 +124,10 @@ def _tokens(i: Inputs):
     return files.read_csv(i.spark, _csv_file(i, raw))
 
 
-@query("a06_trimmed_header", "select n_nationkey as id, n_name as \"the name\" from nation")
+@query("a06_trimmed_header", "select c_custkey as id, c_name as \"the name\" from customer")
 def _header(i: Inputs):
     path = f"{scratch_dir(i.spark, 'files')}/head.csv"
-    df = i.nation.select(F.col("n_nationkey").alias(" id "), F.col("n_name").alias("the name  "))
+    df = i.customer.select(F.col("c_custkey").alias(" id "), F.col("c_name").alias("the name  "))
     df.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return files.read_csv(i.spark, path)
 
@@ -139,13 +139,21 @@ def _json_lines(i: Inputs):
     return files.read_json(i.spark, path, lines=True)
 
 
-@query("a07_json_wrapped", "select n_nationkey as id, n_name as name, n_regionkey as \"at.region\" from nation")
+@query(
+    "a07_json_wrapped",
+    """select c_custkey as id, 'balance' as kind, c_acctbal as "at.value" from customer
+       union all select c_custkey, 'nation', c_nationkey from customer""",
+)
 def _json_wrapped(i: Inputs):
-    record = F.struct(
-        F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.struct(F.col("n_regionkey").alias("region")).alias("at")
-    )
-    document = i.nation.agg(F.to_json(F.struct(F.lit("ok").alias("status"), F.collect_list(record).alias("records"))).alias("value"))
-    return files.read_json(i.spark, _text_file(i, document, "wrapped.json"))
+    """Documents that wrap their records, one document per customer."""
+
+    def record(kind: str, value: str):
+        inner = F.struct(F.col(value).cast("double").alias("value"))
+        return F.struct(F.col("c_custkey").alias("id"), F.lit(kind).alias("kind"), inner.alias("at"))
+
+    records = F.array(record("balance", "c_acctbal"), record("nation", "c_nationkey"))
+    documents = i.customer.select(F.to_json(F.struct(F.lit("ok").alias("status"), records.alias("records"))).alias("value"))
+    return files.read_json(i.spark, _text_file(i, documents, "wrapped.json"), lines=True)
 
 
 @query(
@@ -163,7 +171,7 @@ def _flatten(i: Inputs):
 @query("a09_rejects")
 def _rejects(i: Inputs):
     """Reasons given for unusable files made from the pages table: cut JSON and no text."""
-    cut = i.pages.agg(F.substring(F.to_json(F.collect_list(F.col("page_id"))), 1, 20).alias("value"))
+    cut = i.pages.select(F.substring(F.to_json(F.struct("page_id", "url")), 1, 20).alias("value"))
     broken = _text_file(i, cut, "cut.json")
     empty = _text_file(i, i.pages.where("page_id is null").select("url"), "empty.csv")
     return files.profile_many(i.spark, [broken, empty]).select("name", "status", "error")

@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
@@ -27,6 +28,23 @@ def local_session(cores: int | str = "*", app: str = "truegauge", **extra: str)
     return spark
 
 
+# Joins of facts with a dimension too large to broadcast shuffle on its key, and the
+# steps behind them may reuse that layout. Splitting a hot key then costs one more
+# shuffle, which Spark only accepts when told to.
+RUNTIME = (
+    "spark.sql.adaptive.enabled",
+    "spark.sql.adaptive.skewJoin.enabled",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin",
+)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Switch on the adaptive handling of skew in a session made elsewhere."""
+    for key in RUNTIME:
+        spark.conf.set(key, SETTINGS[key])
+    return spark
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 

@@ -221,8 +221,8 @@ def flatten(df: DataFrame) -> DataFrame:
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
     """JSON records: a list of objects, an object wrapping such a list, or one object.
 
-    A single JSON document cannot be split; large data should come as one object per
-    line (``lines=True``), which Spark reads in parallel.
+    A single JSON document cannot be split; large data should come as one document
+    per line (``lines=True``), which Spark reads in parallel.
     """
     if _lines(spark, path).limit(1).first() is None:
         raise InvalidInput(EMPTY_FILE)
@@ -230,8 +230,6 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     df = reader.schema(schema).json(path) if schema is not None else reader.json(path)
     if CORRUPT in df.columns:
         raise InvalidInput("Invalid JSON format: the text cannot be parsed as JSON objects")
-    if lines:
-        return _trimmed(flatten(df))
     opening = _opening(spark, path)
     if not df.columns:
         raise InvalidInput(NO_RECORDS if opening == "[]" else NOT_TABULAR)

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from truegauge.operators.extract import History, base_extract
 from truegauge.operators.load import StarStore
-from truegauge.operators.star import BUSINESS_KEY, transform
+from truegauge.operators.star import BUSINESS_KEY, build_star
 
 
 def stream_history(
@@ -32,7 +32,7 @@ def stream_history(
     def load(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        store.load(transform(base_extract(History(batch, rules, datasets))).star)
+        store.load(build_star(base_extract(History(batch, rules, datasets))))
 
     return (
         fresh.writeStream.foreachBatch(load)
