@@ -11,7 +11,7 @@ from truegauge.operators.extract import History
 from truegauge.operators.load import StarStore
 from truegauge.operators.star import Star
 from truegauge.plans import pipeline
-from truegauge.sources import exports, state
+from truegauge.sources import exports, relational, state
 
 T0 = datetime(2026, 3, 9, 10, 0)
 RESULTS = "id bigint, dataset_id bigint, rule_id bigint, passed boolean, failed_rows bigint, total_rows bigint, checked_at timestamp_ntz"
@@ -258,6 +258,13 @@ def test_exports(spark, tmp_path):
     assert '"overall_health":{"status":"Healthy","avg_score":98.3}' in text and '"pass_rate":66.7' in text
 
 
+def test_jdbc_options_split_the_table():
+    one = relational.jdbc_options("jdbc:x", "datasets")
+    assert one == {"url": "jdbc:x", "dbtable": "datasets", "fetchsize": "1000"}
+    many = relational.jdbc_options("jdbc:x", "check_results", "id", (1, 900), 16, driver="d")
+    assert (many["partitionColumn"], many["lowerBound"], many["upperBound"], many["numPartitions"]) == ("id", "1", "900", "16")
+
+
 def test_state_is_tolerant(spark, tmp_path):
     assert state.load_state(spark, str(tmp_path / "absent")) == state.State()
     assert state.parse_watermark("nonsense") is None

@@ -12,6 +12,7 @@ from truegauge.operators.rules import SEVERITY_WEIGHTS, Rule, applicable_rules,
 
 # Weighted rates are added as decimals: the sum must not depend on row order.
 RATE_DECIMAL = "decimal(20,12)"
+# Why a run is refused.
 BLOCKED_STATUS = {
     "PROCESSING": "Dataset is currently processing. Please wait for processing to finish.",
     "ERROR": "Dataset parsing failed, cannot run checks.",

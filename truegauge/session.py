@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", app: str = "truegauge", **extra: str)
 # steps behind them may reuse that layout. Splitting a hot key then costs one more
 # shuffle, which Spark only accepts when told to.
 RUNTIME = (
+    "spark.sql.session.timeZone",
     "spark.sql.adaptive.enabled",
     "spark.sql.adaptive.skewJoin.enabled",
     "spark.sql.adaptive.forceOptimizeSkewedJoin",
@@ -39,7 +40,7 @@ RUNTIME = (
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Switch on the adaptive handling of skew in a session made elsewhere."""
+    """UTC and the adaptive handling of skew for a session made elsewhere."""
     for key in RUNTIME:
         spark.conf.set(key, SETTINGS[key])
     return spark
