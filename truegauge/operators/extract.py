@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,8 +90,6 @@ def extract_with_watermark(
 
 
 def _from_micros(micros: int | None) -> datetime | None:
-    from datetime import timedelta, timezone
-
     if micros is None:
         return None
     return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)

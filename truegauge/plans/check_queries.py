@@ -38,7 +38,13 @@ def _validity(i: Inputs):
     return rules.validate_rules(raw)
 
 
-@query("b02_parse_parameters")
+@query(
+    "b02_parse_parameters",
+    r"""select id, raw, case kind when 2 then replace(raw, '\d', '\\d') when 3 then null else raw end as parameters
+    from (select p_partkey as id, p_size % 4 as kind,
+                 case p_size % 4 when 0 then '' when 1 then '{"min": ' || p_size || '}'
+                      when 2 then '{"pattern": "^' || p_brand || '\d+$"}' else '{"min": ' || p_name end as raw from part)""",
+)
 def _parameters(i: Inputs):
     raw = i.part.selectExpr(
         "p_partkey as id",
@@ -407,9 +413,23 @@ def _samples(i: Inputs):
     return picked.select("rule_id", "sample_no", F.get_json_object("sample", "$.event_id").alias("event_id"))
 
 
-@query("c15_results_with_samples")
+@query(
+    "c15_results_with_samples",
+    """with bad as (
+        select 1 as rule_id, event_id from events where value < 1 or value > 90
+        union all select 2, event_id from events where user_id in (select user_id from events group by 1 having count(*) > 1)
+        union all select 3, event_id from events where event_type not in ('view', 'click', 'signup', 'purchase')),
+    ranked as (select *, row_number() over (partition by rule_id order by event_id) as rn from bad)
+    select cast(rule_id as bigint) as rule_id, count(*) as failed_rows, (select count(*) from events) as total_rows,
+           count(*) || case rule_id when 1 then ' values outside range [1, 90] or non-numeric' when 2 then ' duplicate values found in user_id'
+                       else ' values do not match pattern (view|click|signup|purchase)$' end as details,
+           string_agg(cast(event_id as varchar), ',' order by event_id) filter (where rn <= 5) as sample_ids
+    from ranked group by rule_id""",
+)
 def _with_samples(i: Inputs):
-    return checks.results_with_samples(i.events, EVENT_RULES, order=["event_id"])
+    results = checks.results_with_samples(i.events, EVENT_RULES, order=["event_id"])
+    ids = F.transform("samples", lambda s: F.get_json_object(s, "$.event_id"))
+    return results.select("rule_id", "failed_rows", "total_rows", "details", F.array_join(ids, ",").alias("sample_ids"))
 
 
 MIXED = [

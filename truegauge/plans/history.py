@@ -13,6 +13,8 @@ Every table is derived from whole inputs and grows with them:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from truegauge.operators.extract import History
@@ -181,8 +183,6 @@ def _escape_braces(text: str, sources: dict) -> str:
 
 def with_views(sql: str) -> str:
     """Comparison SQL with the derived tables it names as leading WITH entries."""
-    import re
-
     needed: list[str] = []
 
     def visit(name: str) -> None:

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from truegauge.operators import star
+from truegauge.operators import analytics, star
 from truegauge.operators.extract import base_extract
 from truegauge.operators.load import StarStore
 from truegauge.operators.rules import Rule
@@ -18,7 +18,7 @@ from truegauge.plans import pipeline
 from truegauge.plans.history import TABLES, Inputs
 from truegauge.plans.registry import query
 from truegauge.plans.report_queries import judged_sql
-from truegauge.plans.star_queries import EXTRACT, SELECTED, STAR, _BY_TYPE, _FIELDS, _KPI, _TRENDS, _WEEKDAYS, selection
+from truegauge.plans.star_queries import EXTRACT, SELECTED, STAR, BY_TYPE, FIELDS, KPI, TRENDS, WEEKDAYS, selection
 from truegauge.plans.warehouse import stored
 from truegauge.session import scratch_dir
 from truegauge.sources import exports, files, relational, state
@@ -245,10 +245,8 @@ def _state(i: Inputs):
     return i.spark.createDataFrame(rows, "high_watermark string, last_run_id string")
 
 
-@query("a17_export_csv", STAR + SELECTED + "select * from (" + _BY_TYPE + ")")
+@query("a17_export_csv", STAR + SELECTED + "select * from (" + BY_TYPE + ")")
 def _export(i: Inputs):
-    from truegauge.operators import analytics
-
     path = scratch_dir(i.spark, "export")
     exports.export_csv(analytics.failure_by_rule_type(stored(i).star(), selection(i)), path)
     return i.spark.read.schema("rule_type string, total bigint, failed bigint, failure_rate double").csv(path, header=True)
@@ -258,9 +256,9 @@ def _export(i: Inputs):
     "a18_export_report",
     STAR
     + SELECTED
-    + f"""select 'kpi_summary' as section, 1 as n union all select 'quality_trends', count(*) from ({_TRENDS})
-    union all select 'failure_analysis', count(*) from ({_BY_TYPE}) union all select 'dataset_comparison', count(distinct dataset_name) from sel
-    union all select 'field_issues', count(*) from ({_FIELDS}) union all select 'day_of_week', count(*) from ({_WEEKDAYS})""",
+    + f"""select 'kpi_summary' as section, 1 as n union all select 'quality_trends', count(*) from ({TRENDS})
+    union all select 'failure_analysis', count(*) from ({BY_TYPE}) union all select 'dataset_comparison', count(distinct dataset_name) from sel
+    union all select 'field_issues', count(*) from ({FIELDS}) union all select 'day_of_week', count(*) from ({WEEKDAYS})""",
 )
 def _report(i: Inputs):
     path = scratch_dir(i.spark, "report")
@@ -281,7 +279,7 @@ def _report(i: Inputs):
     + SELECTED
     + f"""select case when avg_score >= 90 then 'Healthy' when avg_score >= 70 then 'Warning' else 'Critical' end as status,
     cast(total_checks as varchar) as total_checks, cast(total_checks - passed_checks as varchar) as failed_checks,
-    cast(round_even(passed_checks::double / total_checks * 100, 1) as varchar) as pass_rate, cast(round_even(avg_score, 1) as varchar) as avg_score from ({_KPI})""",
+    cast(round_even(passed_checks::double / total_checks * 100, 1) as varchar) as pass_rate, cast(round_even(avg_score, 1) as varchar) as avg_score from ({KPI})""",
 )
 def _summary(i: Inputs):
     text = exports.report_summary(stored(i).star(), selection(i))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -129,8 +129,6 @@ def _records(i: Inputs):
 
 @query("g05_extract_after_watermark", "with " + EXTRACT + " select * from extract where checked_at >= timestamp '2024-01-20 06:00:00'")
 def _after(i: Inputs):
-    from datetime import timezone
-
     return extract.extract_with_watermark(i.history, AS_OF.replace(tzinfo=timezone.utc))[0]
 
 
@@ -270,9 +268,15 @@ def _contract(i: Inputs):
     return df.agg(F.lit("check_results").alias("name"), F.lit(note.split(": ", 2)[2]).alias("extra"), F.count(F.lit(1)).alias("n"))
 
 
-@query("h14_transform_warnings")
+@query(
+    "h14_transform_warnings",
+    STAR
+    + """ select 'EMPTY_CHECK' as check, count(*) as n from extract where total_rows <= 0 having count(*) > 0
+    union all select 'DUPLICATE', (select count(*) from extract) - (select count(*) from facts)
+    union all select 'INVALID_DATE_KEY', count(*) from facts where date_key = 0 having count(*) > 0""",
+)
 def _warnings(i: Inputs):
-    return star.transform(raw(i)).warnings
+    return star.transform(raw(i)).warnings.select("check", "n")
 
 
 # --- I: load (the tables that result) --------------------------------------
@@ -528,11 +532,11 @@ def _date_range(i: Inputs):
     return analytics.date_range(stored(i).star())
 
 
-_KPI = """select count(*) as total_checks, count(*) filter (where passed) as passed_checks, round(sum(cents) / 100.0 / count(*), 6) as avg_score,
+KPI = """select count(*) as total_checks, count(*) filter (where passed) as passed_checks, round(sum(cents) / 100.0 / count(*), 6) as avg_score,
           min(score) as min_score, max(score) as max_score from sel"""
 
 
-@dashboard("k03_kpi", _KPI)
+@dashboard("k03_kpi", KPI)
 def _kpi(tables, sel):
     return analytics.kpi_overview(tables, sel).withColumn("avg_score", F.round("avg_score", 6))
 
@@ -542,18 +546,18 @@ def _daily_average(tables, sel):
     return analytics.daily_average(tables, sel)
 
 
-_TRENDS = "select full_date, dataset_name, round(sum(cents) / 100.0 / count(*), 6) as avg_score, count(*) as check_count from sel group by 1, 2"
+TRENDS = "select full_date, dataset_name, round(sum(cents) / 100.0 / count(*), 6) as avg_score, count(*) as check_count from sel group by 1, 2"
 
 
-@dashboard("k05_quality_trends", _TRENDS)
+@dashboard("k05_quality_trends", TRENDS)
 def _trends(tables, sel):
     return analytics.quality_trends(tables, sel).withColumn("avg_score", F.round("avg_score", 6))
 
 
-_BY_TYPE = f"select rule_type, count(*) as total, count(*) filter (where not passed) as failed, {RATE1} as failure_rate from sel group by 1"
+BY_TYPE = f"select rule_type, count(*) as total, count(*) filter (where not passed) as failed, {RATE1} as failure_rate from sel group by 1"
 
 
-@dashboard("k06_failure_by_rule_type", _BY_TYPE)
+@dashboard("k06_failure_by_rule_type", BY_TYPE)
 def _by_type(tables, sel):
     return analytics.failure_by_rule_type(tables, sel)
 
@@ -577,19 +581,19 @@ def _comparison(tables, sel):
     return analytics.dataset_comparison(tables, sel)
 
 
-_FIELDS = f"""select field_name, rule_type, severity, count(*) as total_checks, count(*) filter (where not passed) as failures, {RATE1} as failure_rate
+FIELDS = f"""select field_name, rule_type, severity, count(*) as total_checks, count(*) filter (where not passed) as failures, {RATE1} as failure_rate
     from sel where not passed group by 1, 2, 3 order by failures desc, field_name, rule_type, severity limit 10"""
 
 
-@dashboard("k09_field_issues", _FIELDS)
+@dashboard("k09_field_issues", FIELDS)
 def _fields(tables, sel):
     return analytics.field_issues(tables, sel)
 
 
-_WEEKDAYS = f"select day_of_week, {MEAN1} as avg_score, count(*) as check_count from sel group by 1"
+WEEKDAYS = f"select day_of_week, {MEAN1} as avg_score, count(*) as check_count from sel group by 1"
 
 
-@dashboard("k10_weekdays", _WEEKDAYS)
+@dashboard("k10_weekdays", WEEKDAYS)
 def _weekdays(tables, sel):
     return analytics.quality_by_weekday(tables, sel)
 
@@ -606,7 +610,7 @@ def _status(i: Inputs):
     "k12_kpi_derived",
     f"""select *, total_checks - passed_checks as failed_checks, round(passed_checks::double / total_checks * 100, 6) as pass_rate,
     round(passed_checks::double / total_checks * 100 - 90, 6) as delta_to_target,
-    round((total_checks - passed_checks)::double / total_checks * 100, 6) as failed_share, {_STATUS.format("avg_score")} as status from ({_KPI})""",
+    round((total_checks - passed_checks)::double / total_checks * 100, 6) as failed_share, {_STATUS.format("avg_score")} as status from ({KPI})""",
 )
 def _kpi_derived(tables, sel):
     df = analytics.kpi_derived(tables, sel)
@@ -619,7 +623,7 @@ def _kpi_derived(tables, sel):
     "k13_kpi_long",
     f"""select m as metric, v as value from (select unnest(['Total Checks', 'Passed', 'Failed', 'Pass Rate %', 'Avg Score', 'Min Score', 'Max Score']) as m,
     unnest([total_checks::double, passed_checks::double, (total_checks - passed_checks)::double, round_even(passed_checks::double / total_checks * 100, 1),
-            round_even(avg_score, 1), round_even(min_score, 1), round_even(max_score, 1)]) as v from ({_KPI}))""",
+            round_even(avg_score, 1), round_even(min_score, 1), round_even(max_score, 1)]) as v from ({KPI}))""",
 )
 def _kpi_long(tables, sel):
     return analytics.kpi_long(tables, sel)
@@ -627,7 +631,7 @@ def _kpi_long(tables, sel):
 
 _CHANGE = f"""select dataset_name, round(case when count(*) < 2 or arg_min(avg_score, full_date) = 0 then 0.0
     else (arg_max(avg_score, full_date) - arg_min(avg_score, full_date)) / arg_min(avg_score, full_date) * 100 end, 4) as trend,
-    arg_max(avg_score, full_date) as latest from ({_TRENDS}) group by 1"""
+    arg_max(avg_score, full_date) as latest from ({TRENDS}) group by 1"""
 
 
 @dashboard("k14_trend_change", _CHANGE)
@@ -648,7 +652,7 @@ def _labels(tables, sel):
 
 @dashboard(
     "k16_failure_bands",
-    f"select *, case when failure_rate >= 30 then 'critical' when failure_rate >= 10 then 'warning' else 'healthy' end as band from ({_BY_TYPE})",
+    f"select *, case when failure_rate >= 30 then 'critical' when failure_rate >= 10 then 'warning' else 'healthy' end as band from ({BY_TYPE})",
 )
 def _bands(tables, sel):
     return analytics.failure_bands(tables, sel)
@@ -657,7 +661,7 @@ def _bands(tables, sel):
 @dashboard(
     "k16_worst_rule_type",
     f"""select rule_type as worst_rule, failure_rate as max_rate, case when failure_rate > 30 then 'High failure rate'
-    when failure_rate > 10 then 'Elevated rate' else 'All rules healthy' end as insight from ({_BY_TYPE}) order by failure_rate desc, rule_type limit 1""",
+    when failure_rate > 10 then 'Elevated rate' else 'All rules healthy' end as insight from ({BY_TYPE}) order by failure_rate desc, rule_type limit 1""",
 )
 def _worst(tables, sel):
     return analytics.worst_rule_type(tables, sel)
@@ -694,7 +698,7 @@ def _extremes(tables, sel):
 _DAY = "case day_of_week when 0 then 'Mon' when 1 then 'Tue' when 2 then 'Wed' when 3 then 'Thu' when 4 then 'Fri' when 5 then 'Sat' else 'Sun' end"
 
 
-@dashboard("k19_weekday_view", f"select *, {_DAY} as day_name, {_STATUS.format('avg_score')} as status from ({_WEEKDAYS})")
+@dashboard("k19_weekday_view", f"select *, {_DAY} as day_name, {_STATUS.format('avg_score')} as status from ({WEEKDAYS})")
 def _weekday_view(tables, sel):
     return analytics.weekday_view(tables, sel)
 
@@ -704,7 +708,7 @@ def _weekday_view(tables, sel):
     f"""select (select {_DAY} from w order by avg_score desc, day_of_week limit 1) as best_day, max(avg_score) as best_score,
     (select {_DAY} from w order by avg_score, day_of_week limit 1) as worst_day, min(avg_score) as worst_score,
     round(stddev_samp(avg_score), 6) as spread, stddev_samp(avg_score) > 5 as high_spread from w""",
-    head=STAR + SELECTED + f", w as ({_WEEKDAYS})",
+    head=STAR + SELECTED + f", w as ({WEEKDAYS})",
 )
 def _weekday_extremes(tables, sel):
     return analytics.weekday_extremes(tables, sel).withColumn("spread", F.round("spread", 6))
@@ -713,7 +717,7 @@ def _weekday_extremes(tables, sel):
 @dashboard(
     "k20_field_hierarchy",
     f"""select field_name, rule_type, cast(sum(failures) as bigint) as failures, cast(grouping(field_name) * 2 + grouping(rule_type) as int) as level
-    from ({_FIELDS}) group by rollup (field_name, rule_type)""",
+    from ({FIELDS}) group by rollup (field_name, rule_type)""",
 )
 def _hierarchy(tables, sel):
     return analytics.field_hierarchy(tables, sel)
@@ -721,7 +725,7 @@ def _hierarchy(tables, sel):
 
 @dashboard(
     "k20_top_field",
-    f"select field_name, failures, failure_rate, severity = 'HIGH' as is_high from ({_FIELDS}) order by failures desc, field_name, rule_type, severity limit 1",
+    f"select field_name, failures, failure_rate, severity = 'HIGH' as is_high from ({FIELDS}) order by failures desc, field_name, rule_type, severity limit 1",
 )
 def _top_field(tables, sel):
     return analytics.top_field_alarm(tables, sel)

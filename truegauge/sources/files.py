@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -290,17 +291,11 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),
-        F.lit(_json_list(df.columns)).alias("column_names"),
+        F.lit(json.dumps(df.columns)).alias("column_names"),
         (F.create_map(*types) if types else F.create_map()).alias("dtypes"),
     )
 
 
-def _json_list(names: list[str]) -> str:
-    import json
-
-    return json.dumps(names)
-
-
 def profile_many(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """One profile row per file; status PENDING, or ERROR with the reason.
 
