@@ -191,6 +191,24 @@ def test_upsert_overwrites_dimensions(spark, tmp_path):
     assert {r["id"]: r["name"] for r in store.read("dim_datasets").collect()} == {1: "new", 2: "d2"}
 
 
+def test_unfinished_version_is_ignored(spark, tmp_path):
+    store = StarStore(spark, str(tmp_path / "star"))
+    store.load(star.build_star(extract.base_extract(history(spark))))
+    # A job that died after writing its folder, before announcing it.
+    store.read("dim_rules").limit(1).write.parquet(store.path("dim_rules") + "/v2-dead")
+    assert store.read("dim_rules").count() == 3
+    store.replace("dim_rules", store.read("dim_rules").where("id < 3"))
+    assert store.read("dim_rules").count() == 2
+
+
+def test_days_can_be_swapped_again(spark, tmp_path):
+    store = StarStore(spark, str(tmp_path / "star"))
+    store.load(star.build_star(extract.base_extract(history(spark))))
+    before = sorted(map(tuple, store.read("agg_daily_quality").collect()))
+    store.swap_days("agg_daily_quality")
+    assert sorted(map(tuple, store.read("agg_daily_quality").collect())) == before
+
+
 def test_pipeline_runs(spark, tmp_path):
     root = str(tmp_path / "run")
     h = history(spark)

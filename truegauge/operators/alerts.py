@@ -118,8 +118,10 @@ def recoveries(scores: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def set_thresholds(configs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Upsert of thresholds (0 to 100); a changed dataset may alert again at once."""
-    lawful = changes.where(F.col("threshold").between(0, 100)).select("dataset_id", F.col("threshold").alias("_new"))
+    """Upsert of thresholds (0 to 100, 80 when none is named); a changed dataset may
+    alert again at once."""
+    wanted = F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))
+    lawful = changes.select("dataset_id", wanted.alias("_new")).where(F.col("_new").between(0, 100))
     old = configs if "is_alert_active" in configs.columns else configs.withColumn("is_alert_active", F.lit(False))
     return old.join(lawful, "dataset_id", "full").select(
         "dataset_id",

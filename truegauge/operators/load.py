@@ -7,6 +7,7 @@ rewrites only the days it brings.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -109,10 +110,15 @@ class LoadSummary:
 
 
 class StarStore:
-    """The star schema as Parquet folders under one root on shared storage."""
+    """The star schema as Parquet folders under one root on shared storage.
 
-    TABLES = ("dim_datasets", "dim_rules", "dim_date", "fact_quality_checks", "agg_daily_quality")
-    PARTITIONED = ("fact_quality_checks", "agg_daily_quality")
+    The two upserted dimensions are written whole, each time into a folder of its
+    own; a row in ``_versions`` then makes that folder the current one. A job that
+    dies before that row leaves the previous version in force.
+    """
+
+    TABLES = ("dim_datasets", "dim_rules", "dim_date", "fact_quality_checks")
+    VERSIONED = ("dim_datasets", "dim_rules")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -120,7 +126,18 @@ class StarStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _versions(self) -> dict[str, tuple[str, int]]:
+        """Current folder of each versioned table."""
+        try:
+            rows = self.spark.read.schema("name STRING, folder STRING, n BIGINT").parquet(f"{self.root}/_versions")
+        except AnalysisException:
+            return {}
+        newest = rows.groupBy("name").agg(F.max_by("folder", "n").alias("folder"), F.max("n").alias("n"))
+        return {r["name"]: (r["folder"], r["n"]) for r in newest.collect()}
+
     def exists(self, table: str) -> bool:
+        if table in self.VERSIONED:
+            return table in self._versions()
         try:
             self.spark.read.parquet(self.path(table)).schema
         except AnalysisException:
@@ -128,27 +145,34 @@ class StarStore:
         return True
 
     def read(self, table: str) -> DataFrame:
+        if table in self.VERSIONED:
+            folder, _ = self._versions()[table]
+            return self.spark.read.parquet(f"{self.path(table)}/{folder}")
         return self.spark.read.parquet(self.path(table))
 
     def star(self) -> Star:
-        return Star(*(self.read(t) for t in self.TABLES[:4]))
+        return Star(*(self.read(t) for t in self.TABLES))
 
     def replace(self, table: str, df: DataFrame) -> None:
-        """Overwrite a table that ``df`` may itself read: stage first, then copy over.
+        """New version of a dimension; ``df`` may read the current one."""
+        _, last = self._versions().get(table, (None, 0))
+        folder = f"v{last + 1}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.path(table)}/{folder}")
+        row = self.spark.createDataFrame([(table, folder, last + 1)], "name STRING, folder STRING, n BIGINT")
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
+
+    def replace_days(self, table: str, df: DataFrame) -> None:
+        """Overwrite only the ``date_key`` partitions that ``df`` contains.
 
-        The staged copy stays complete until the copy is done, so a job that dies
-        half-way can be repeated from it.
+        ``df`` may read those partitions, so it is staged first. Should the job die
+        while the days are swapped, ``swap_days`` repeats that step from the stage.
         """
-        staged = f"{self.path(table)}__staged"
-        df.write.mode("overwrite").parquet(staged)
-        self.spark.read.parquet(staged).write.mode("overwrite").parquet(self.path(table))
+        df.write.mode("overwrite").parquet(f"{self.path(table)}__staged")
+        self.swap_days(table)
 
-    def replace_days(self, table: str, df: DataFrame) -> None:
-        """Overwrite only the ``date_key`` partitions that ``df`` contains."""
-        staged = f"{self.path(table)}__staged"
-        df.write.mode("overwrite").parquet(staged)
+    def swap_days(self, table: str) -> None:
         (
-            self.spark.read.parquet(staged)
+            self.spark.read.parquet(f"{self.path(table)}__staged")
             .hint("rebalance", "date_key")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
