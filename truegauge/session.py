@@ -49,20 +49,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 
-    Executors must all see it, so a machine-local folder is taken only when the
-    session names none (tests and single-machine runs).
+    That is ``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``. A
+    machine-local folder is taken only where driver and executors are one process;
+    on a cluster without a shared folder this raises, as executors would write where
+    no other reads.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="truegauge-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for ``DataFrame.checkpoint``; the cluster's own when it names one."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    target = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="truegauge-ckpt-")
-    sc.setCheckpointDir(target)
-    return target
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="truegauge-")
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
