@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import simhash
+from truegauge.llm import packing, simhash, warc
 from truegauge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The vocabulary that the packing contract names.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
 
 
 def query(name: str, sql: str | None = None):
@@ -28,3 +36,24 @@ def query(name: str, sql: str | None = None):
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op3_best_fit_packing")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query(
+    "op6_warc",
+    """
+    with page as (
+        select page_id, coalesce(html, '') as html, max(page_id) over (partition by coalesce(html, '')) as last from pages
+    )
+    select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as payload_digest,
+           case when strlen(html) >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+           case when strlen(html) >= 1000 and page_id <> last then last end as refers_to
+    from page
+    """,
+)
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
