@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import packing, simhash, warc
+from truegauge.llm import covertree, maxscore, packing, simhash, warc
 from truegauge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,58 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op2_cover_tree_near_duplicates",
+    """
+    with recursive v as (
+        select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e
+        from embeddings
+        where label is not null and embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+          and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    link as (
+        select a.vec_id as a, b.vec_id as b
+        from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+        where list_cosine_similarity(a.e, b.e) >= 0.98
+    ),
+    reach as (
+        select a, b from link
+        union
+        select r.a, l.b from reach r join link l on r.b = l.a
+    ),
+    counts as (select a, count(*) as n from link group by a),
+    lowest as (select a, min(b) as low from reach group by a)
+    select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+           vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+    from embeddings left join counts on vec_id = counts.a left join lowest on vec_id = lowest.a
+    """,
+)
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op5_maxscore_top_k",
+    """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as t
+        from embeddings
+        where embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ),
+    pair as (
+        select q.vec_id as query_id, c.vec_id,
+               cast(list_sum(list_transform(list_zip(q.t, c.t), lambda p: p[1] * p[2])) as bigint) as score
+        from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+    ),
+    ranked as (
+        select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pair
+    )
+    select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
+)
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -67,6 +67,27 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
+class Forest:
+    """Links found so far, reduced to stars whenever many are pending."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.parts.append((a, b))
+            self.pending += len(a)
+            if self.pending > 1_000_000:
+                self.parts = [self.links()]
+                self.pending = 0
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return stars(*(np.concatenate(x) for x in zip(*self.parts)))
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count(F.lit(1)),

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truegauge.llm.shared import components, fresh, stars, stored
+from truegauge.llm.shared import Forest, components, fresh, stored
 
 SEED = 42
 SHINGLE = 4
@@ -120,30 +120,9 @@ def route(points: np.ndarray, tree: np.ndarray, max_bits: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*done)) if done else (index, node, own)
 
 
-class _Forest:
-    """Links found so far, reduced to stars whenever many are pending."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.pending = 0
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            self.parts.append((a, b))
-            self.pending += len(a)
-            if self.pending > 1_000_000:
-                self.parts = [self.links()]
-                self.pending = 0
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        return stars(*(np.concatenate(x) for x in zip(*self.parts)))
-
-
 def shard_links(own: np.ndarray, visitors: np.ndarray, max_bits: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """Star forest of all pairs owner-owner and visitor-owner within ``max_bits``."""
-    forest = _Forest()
+    forest = Forest()
     work = [(own, visitors)]
     while work:
         mine, guests = work.pop()
@@ -187,7 +166,7 @@ def link_fingerprints(points: DataFrame, max_bits: int = MAX_BITS, shard: int =
         own = group.column("own").to_numpy()
         # Sorted, as the rows of a group come in any order.
         a, b = shard_links(np.sort(fps[own]), np.sort(fps[~own]), max_bits)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
     dealt = points.select("fp").mapInArrow(deal, "shard long, fp long, own boolean")
     links = dealt.groupBy("shard").applyInArrow(link, "a long, b long")
