@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import covertree, maxscore, packing, simhash, warc
+from truegauge.llm import covertree, lm, maxscore, packing, simhash, warc
 from truegauge.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op10_deleted_interpolation_scores")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
