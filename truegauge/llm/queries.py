@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import covertree, lm, maxscore, packing, simhash, warc
-from truegauge.llm.shared import table
+from truegauge.llm import covertree, lm, maxscore, packing, simhash, toxicity, warc
+from truegauge.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,11 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_deleted_interpolation_scores")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op1_string_kernel_toxicity")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    scored = toxicity.with_score(docs, model)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
