@@ -6,22 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from truegauge.llm import simhash
+from truegauge.llm import mixing, packing, secrets, simhash, toxicity
+from truegauge.llm.queries import tokenizer_path
 from truegauge.llm.shared import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of ``docs``."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: four-word shingles, at most four bits apart."""
     return simhash.one_of_each(docs)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    return secrets.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order that interleaves sources by target weight."""
+    return mixing.interleaved(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their ids and their places in sequences of at most 4096 tokens."""
+    return packing.pack(docs, tokenizer_path(), with_ids=True)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("near_duplicates", near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
-#: A linear classifier, hash fingerprints, a forest and a tokenizer are not SQL.
+#: A trained kernel classifier, hash fingerprints, a forest and a tokenizer are not SQL.
 ORACLE_SQL = None
 
 

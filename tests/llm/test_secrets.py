@@ -1,0 +1,77 @@
+import random
+import re
+
+import pytest
+
+from truegauge.llm import secrets
+
+RNG = random.Random(4)
+
+
+def hexes(n=40):
+    return "".join(RNG.choice("0123456789abcdef") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    plain = "some words of running text that say nothing special at all here "
+    out = []
+    for i in range(60):
+        out.append((i, plain + f'token = "{hexes()}" ' + plain, "src"))
+        out.append((100 + i, plain + f"card {RNG.randrange(10**15, 10**16)} and order {RNG.randrange(10**17, 10**18)} " + plain, "src"))
+    out += [(300, plain * 3, "src"), (301, None, "src"), (302, "", None), (303, "é\x01\x02 " + f'password="{hexes(32)}"', "src"), (None, f'secret: "{hexes()}"', "src")]
+    out += [(304, plain * 4000 + f'token = "{hexes()}"', "src")] * 2
+    return out
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, source string, row int, _found string")
+
+
+def test_candidates_equal_plain_regex(spark, rows):
+    want = [(k, m.start(), m[0]) for k, t, _ in rows for m in re.finditer(secrets._RUN.replace("\\\\", "\\"), t or "")]
+    got = [(r.key, r.start, r.candidate) for r in secrets.candidates(table(spark, rows), ["words"]).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_findings_without_false_positives(spark, rows):
+    found = secrets.findings(table(spark, rows)).collect()
+    want = [(k, m.start(1), m[1]) for k, t, _ in rows for m in re.finditer(r'(?:=|:) ?"([0-9a-f]+)"', t or "")]
+    assert sorted(((r.key, r.start, r.candidate) for r in found), key=repr) == sorted(want, key=repr)
+
+
+def test_redacted_texts(spark, rows):
+    kept = secrets.redacted(table(spark, rows))
+    assert kept.columns == ["doc_id", "text", "source", "row", "_found"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted(((k, t and re.sub(r'((?:=|:) ?")[0-9a-f]+"', r"\1<secret>" + '"', t)) for k, t, _ in rows), key=repr)
+
+
+def test_given_labels_decide(spark, rows):
+    docs = table(spark, rows)
+    found = secrets.candidates(docs, [])
+    labelled = found.selectExpr("*", "case when all_digits > 0 then 1D else 0D end as label")
+    got = {r.key for r in secrets.findings(docs, labelled=labelled).collect()}
+    assert got == set(range(100, 160))
+
+
+def test_nothing_to_learn_from(spark, rows):
+    docs = table(spark, rows)
+    for some in (docs.limit(0), docs.where("doc_id = 300 or doc_id is null or doc_id = 302")):
+        assert secrets.findings(some).count() == 0
+        assert secrets.redacted(some).count() == some.count()
+
+
+def test_no_python_in_the_plan(spark, rows):
+    found = secrets.candidates(table(spark, rows), ["words"])
+    plan = secrets.score(found, secrets.train(secrets.label_by_rules(found)))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_query_finds_the_planted_tokens(spark, data):
+    from truegauge.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    found = {(r.doc_id, r.start) for r in QUERIES["op4_secret_findings"](spark, "/root/testdata/sf0.01").collect()}
+    want = {(d, m.start(1)) for d, t in docs.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{16,})"', t or "")}
+    assert want <= found and len(found - want) <= 2

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import covertree, lm, maxscore, packing, simhash, toxicity, warc
+from truegauge.llm import covertree, lm, maxscore, mixing, packing, repeats, secrets, simhash, toxicity, warc
 from truegauge.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,59 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
     scored = toxicity.with_score(docs, model)
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_secret_findings")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "start", "length", F.sha2("candidate", 256).alias("sha256"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "op7_repeated_passages",
+    r"""
+    with part as (
+        select doc_id, parts[i] as part, i
+        from (
+            select doc_id, parts, unnest(generate_series(1, len(parts))) as i
+            from (
+                select distinct doc_id, text,
+                       string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(30), 'g'), chr(30)) as parts
+                from documents
+            )
+        )
+    ),
+    placed as (
+        select doc_id, i, part, length(part) as length,
+               coalesce(sum(length(part)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as start,
+               list_filter(string_split_regex(lower(part), '[\t\n\v\f\r ]+'), lambda w: w <> '') as words
+        from part
+    ),
+    unit as (
+        select doc_id, start, length, len(words) as words, array_to_string(words, ' ') as body,
+               row_number() over (partition by doc_id order by i) as unit
+        from placed where len(words) > 0
+    ),
+    ranked as (
+        select *, row_number() over (partition by body order by doc_id, unit) as nth,
+               first_value(doc_id) over (partition by body order by doc_id, unit) as kept_doc_id,
+               first_value(start) over (partition by body order by doc_id, unit) as kept_start
+        from unit
+    ),
+    later as (
+        select *, unit - row_number() over (partition by doc_id order by unit) as run from ranked where nth > 1
+    )
+    select doc_id, cast(start as bigint) as start, length, cast(words as integer) as words,
+           kept_doc_id, cast(kept_start as bigint) as kept_start
+    from (select *, sum(words) over (partition by doc_id, run) as run_words from later)
+    where run_words >= 20
+    """,
+)
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = repeats.removed_units(table(spark, sf_dir, "documents"))
+    return gone.select(F.col("key").alias("doc_id"), "start", "length", "words", F.col("kept_key").alias("kept_doc_id"), "kept_start")
+
+
+@query("op9_pfair_mixing")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
