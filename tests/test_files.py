@@ -107,6 +107,31 @@ def test_json_lines(spark, tmp_path):
     assert read_json(spark, path, lines=True).count() == 2
 
 
+def test_json_lines_are_recognised(spark, tmp_path):
+    path = put(tmp_path, "five.json", "".join(f'{{"id": {n}}}\n' for n in range(5)))
+    assert read_dataset(spark, path).count() == 5
+
+
+def test_json_documents_of_all_kinds_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "all.json"
+    folder.mkdir()
+    put(folder, "a.json", '[{"id": 1},\n {"id": 2}]')
+    put(folder, "b.json", '{"data": [{"id": 3}]}\n{"records": [{"id": 4}, {"id": 5}]}\n{"id": 6}\n')
+    put(folder, "c.json", '{\n "items": [{"id": 7}]\n}')
+    assert sorted(r["id"] for r in read_dataset(spark, str(folder)).collect()) == list(range(1, 8))
+
+
+def test_empty_surplus_field_and_stray_quote(spark, tmp_path):
+    path = put(tmp_path, "x.csv", 'a,b\n1,2\n3,4,\n5,"x, ""y"""\n6\n7,5" pipe\n8,9,10\n')
+    assert sorted(map(tuple, read_csv(spark, path).collect())) == [(1, "2"), (5, 'x, "y"'), (6, None), (7, '5" pipe')]
+    assert not files.detect_layout(spark, path).multi_line
+
+
+def test_nineteen_digits_stay_whole(spark, tmp_path):
+    assert read_csv(spark, put(tmp_path, "n.csv", "a\n1234567890123456789\n")).first()[0] == 1234567890123456789
+    assert isinstance(read_csv(spark, put(tmp_path, "m.csv", "a\n9999999999999999999\n")).first()[0], float)
+
+
 def test_dispatch_and_profile(spark, tmp_path):
     good = put(tmp_path, "good.csv", "id,name\n1,a\n2,b\n")
     bad = put(tmp_path, "bad.json", "{")

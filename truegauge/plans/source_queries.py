@@ -95,10 +95,12 @@ def _quoted(i: Inputs):
 @query(
     "a04_bad_lines",
     """select l_orderkey, l_partkey, case when l_linenumber = 2 then null else l_suppkey end as l_suppkey
-       from lineitem where l_linenumber <> 1""",
+       from lineitem where l_linenumber not in (1, 3)""",
 )
 def _bad_lines(i: Inputs):
     line = F.when(
+        F.col("l_linenumber") == 3, F.concat(F.concat_ws(",", "l_orderkey", "l_partkey", "l_suppkey"), F.lit(","))
+    ).when(
         F.col("l_linenumber") == 1, F.concat_ws(",", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     ).when(F.col("l_linenumber") == 2, F.concat_ws(",", "l_orderkey", "l_partkey")).otherwise(
         F.concat_ws(",", "l_orderkey", "l_partkey", "l_suppkey")
@@ -168,7 +170,41 @@ def _flatten(i: Inputs):
     return files.flatten(nested)
 
 
-@query("a09_rejects")
+_MIXED = """select c_custkey as id, c_name as name from customer"""
+
+
+@query("a07_json_mixed", _MIXED)
+def _json_mixed(i: Inputs):
+    """Lists, both kinds of wrappers and plain objects as documents of one folder."""
+    record = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    wrap = F.concat(F.lit('{"status": "ok", "'), F.when(F.col("c_custkey") % 4 == 0, "data").otherwise("items"), F.lit('": ['), record, F.lit("]}"))
+    line = F.when(F.col("c_custkey") % 4 < 2, wrap).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("["), record, F.lit("]"))).otherwise(record)
+    return files.read_dataset(i.spark, _text_file(i, i.customer.select(line.alias("value")), "mixed.json")).select("id", "name")
+
+
+@query("a11_dispatch_csv", _PARTS)
+def _dispatch_csv(i: Inputs):
+    path = _csv_file(i, i.spark.sql(_PARTS.replace("from part", "from {part}"), part=i.part))
+    return files.read_dataset(i.spark, path)
+
+
+@query("a11_dispatch_json", "select o_orderkey, o_custkey, o_totalprice from orders")
+def _dispatch_json(i: Inputs):
+    path = f"{scratch_dir(i.spark, 'files')}/orders.json"
+    i.orders.select("o_orderkey", "o_custkey", "o_totalprice").write.json(path)
+    return files.read_dataset(i.spark, path)
+
+
+@query("a11_dispatch_parquet", "select o_orderkey, o_custkey, o_totalprice from orders")
+def _dispatch_parquet(i: Inputs):
+    return files.read_dataset(i.spark, f"{i.folder}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(
+    "a09_rejects",
+    """select 'cut' as name, 'ERROR' as status, 'Invalid JSON format: the text cannot be parsed as JSON objects' as error from pages having count(*) > 0
+       union all select 'empty', 'ERROR', 'The uploaded file is completely empty.' from pages having count(*) >= 0""",
+)
 def _rejects(i: Inputs):
     """Reasons given for unusable files made from the pages table: cut JSON and no text."""
     cut = i.pages.select(F.substring(F.to_json(F.struct("page_id", "url")), 1, 20).alias("value"))

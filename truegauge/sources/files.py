@@ -7,11 +7,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from truegauge.operators.checks import quoted
+from truegauge.session import scratch_dir
 
 # Fixed values of the readers.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -56,7 +58,9 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def detect_delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter that splits the first lines most evenly; a comma when none does."""
     head, size = [], 0
-    for row in _lines(spark, path).limit(200).toLocalIterator():
+    # No more lines, and no more of a line, than the inspected characters can hold.
+    opening = _lines(spark, path).select(F.substring("value", 1, SNIFF_CHARS).alias("value"))
+    for row in opening.limit(SNIFF_CHARS).toLocalIterator():
         head.append(row["value"])
         size += len(row["value"]) + 1
         if size >= SNIFF_CHARS:
@@ -86,10 +90,13 @@ def detect_layout(spark: SparkSession, path: str) -> Layout:
 
     Encoding and quoting need every line, so both are answered by one distributed
     pass over the splittable text: bytes that are not UTF-8 mean Latin-1, and a line
-    with an odd number of quotes means that a field continues on the next line.
+    with an odd number of quotes, one of which opens a field, means that the field
+    continues on the next line. A lone inch mark inside a field opens nothing.
     """
     value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    quotes = F.when(
+        value.rlike('(^|[,;\t|])\\s*"'), F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    ).otherwise(0)
     seen = _lines(spark, path).agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(~F.is_valid_utf8(value)).alias("foreign"),
@@ -106,7 +113,12 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def _text_rows(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFrame, list[str]]:
-    """All fields as text plus an overflow column, and the header names."""
+    """All fields as text, for the lines without surplus fields, and the header names.
+
+    A line is too long if it has more fields than the header, be they empty. The parser
+    marks lines of another length than its schema; the schema has one field more than
+    the header, so unmarked lines are too long and the fields of marked ones are counted.
+    """
     reader = (
         spark.read.option("sep", layout.delimiter)
         .option("encoding", layout.encoding)
@@ -127,9 +139,12 @@ def _text_rows(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFram
             candidate = f"{name}.{repeat}"
         unique.append(candidate)
     positions = [f"c{n}" for n in range(len(unique))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*positions, OVERFLOW)])
-    rows = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    return rows, unique
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*positions, OVERFLOW, CORRUPT)])
+    marked = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+    rows = marked.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    outside = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*"', "")
+    fields = F.length(outside) - F.length(F.replace(outside, F.lit(layout.delimiter), F.lit(""))) + 1
+    return rows.where(F.col(OVERFLOW).isNull() & (fields <= len(unique))).drop(OVERFLOW, CORRUPT), unique
 
 
 def read_csv(
@@ -146,8 +161,7 @@ def read_csv(
     types, and ``layout`` to skip the one that inspects the text.
     """
     rows, names = _text_rows(spark, path, layout or detect_layout(spark, path))
-    kept = rows.where(F.col(OVERFLOW).isNull())
-    clean = kept.select(
+    clean = rows.select(
         *[
             F.when(~F.col(f"c{n}").isin(NA_TOKENS), F.col(f"c{n}")).alias(name)
             for n, name in enumerate(names)
@@ -163,7 +177,7 @@ def infer_types(df: DataFrame) -> DataFrame:
 
     One aggregate decides for all columns; the schema is fixed from then on.
     """
-    whole = r"^\s*[+-]?\d{1,18}\s*$"
+    whole = r"^\s*[+-]?\d{1,19}\s*$"
     number = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
     flag = r"^(True|False|TRUE|FALSE|true|false)$"
 
@@ -177,7 +191,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         *[
             F.struct(
                 F.count(quoted(n)).alias("filled"),
-                all_match(n, whole).alias("whole"),
+                # Nineteen digits may or may not fit a long.
+                (all_match(n, whole) & (F.count(F.trim(quoted(n)).try_cast("long")) == F.count(quoted(n)))).alias("whole"),
                 all_match(n, number).alias("number"),
                 all_match(n, flag).alias("flag"),
             ).alias(f"f{i}")
@@ -219,45 +234,65 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[leaf for f in df.schema.fields for leaf in leaves("", f, quoted(f.name))])
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
-    """JSON records: a list of objects, an object wrapping such a list, or one object.
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, lines: bool | None = None
+) -> DataFrame:
+    """JSON records: lists of objects, objects wrapping such a list, or single objects.
 
-    A single JSON document cannot be split; large data should come as one document
-    per line (``lines=True``), which Spark reads in parallel.
+    Files in which every line is a JSON text hold one document per line and are read in
+    parallel; ``lines=True`` says so and skips the check. Any other file is one document,
+    which cannot be split. What a document holds is decided for each on its own, so all
+    kinds may be mixed in one folder: of an object the first wrapper key that holds a
+    list gives the records, and an object without one is a record itself.
     """
-    if _lines(spark, path).limit(1).first() is None:
+    documents, single = _documents(spark, path, lines)
+    value = F.regexp_replace("value", r"^\s+", "")
+    wrapped = F.coalesce(
+        *[F.when(w.startswith("["), w) for w in (F.get_json_object(value, f"$.{k}") for k in WRAPPER_KEYS)]
+    )
+    listed = F.when(value.startswith("["), value).otherwise(wrapped)
+    parsed = documents.select(value.alias("value"), listed.alias("listed"))
+    seen = parsed.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.get_json_object("value", "$").isNull() | ~F.col("value").rlike(r"^[\[{]")).alias("broken"),
+        F.count("listed").alias("lists"),
+    ).first()
+    if not seen["documents"]:
         raise InvalidInput(EMPTY_FILE)
-    reader = spark.read.option("multiLine", not lines).option("columnNameOfCorruptRecord", CORRUPT)
-    df = reader.schema(schema).json(path) if schema is not None else reader.json(path)
-    if CORRUPT in df.columns:
+    if seen["broken"]:
         raise InvalidInput("Invalid JSON format: the text cannot be parsed as JSON objects")
-    opening = _opening(spark, path)
+    source = path
+    if seen["lists"] or single:
+        # Records as lines: splittable from here on, whatever they came in.
+        items = F.when(F.col("listed").isNull(), F.array("value")).otherwise(F.from_json("listed", "array<string>"))
+        source = f"{scratch_dir(spark, 'records')}"
+        parsed.select(F.explode(items).alias("value")).where("value is not null").write.text(source)
+    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
+    if spark.read.text(source).isEmpty():
+        raise InvalidInput(NO_RECORDS)
+    df = reader.schema(schema).json(source) if schema is not None else reader.json(source)
+    if CORRUPT in df.columns:
+        raise InvalidInput(NOT_RECORDS)
     if not df.columns:
-        raise InvalidInput(NO_RECORDS if opening == "[]" else NOT_TABULAR)
-    # Only an object wraps records; a list whose objects have such a key is a table.
-    return _trimmed(flatten(df if opening.startswith("[") else _unwrap(df)))
-
-
-def _opening(spark: SparkSession, path: str) -> str:
-    """The first two characters that are not blank."""
-    seen = ""
-    for row in _lines(spark, path).where(F.trim("value") != "").limit(2).toLocalIterator():
-        seen += "".join(row["value"].split())
-    return seen[:2]
-
-
-def _unwrap(df: DataFrame) -> DataFrame:
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    for key in WRAPPER_KEYS:
-        kind = kinds.get(key)
-        if not isinstance(kind, T.ArrayType):
-            continue
-        if df.where(F.size(quoted(key)) > 0).isEmpty():
-            raise InvalidInput(NO_RECORDS)
-        if not isinstance(kind.elementType, T.StructType):
-            raise InvalidInput(NOT_TABULAR)
-        return df.select(F.inline(quoted(key)))
-    return df
+        raise InvalidInput(NOT_TABULAR)
+    return _trimmed(flatten(df))
+
+
+def _documents(spark: SparkSession, path: str, lines: bool | None) -> tuple[DataFrame, bool]:
+    """JSON documents as text, and whether some of them are whole files."""
+    text = _lines(spark, path).where(F.trim("value") != "")
+    if lines:
+        return text, False
+    by_file = text.select("value", F.col("_metadata.file_path").alias("file")).groupBy("file")
+    torn = by_file.agg(F.count_if(F.get_json_object("value", "$").isNull()).alias("torn")).where("torn > 0")
+    files = [r["file"] for r in torn.collect()]
+    if not files and lines is None:
+        return text, False
+    whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
+    if lines is False:
+        return whole, True
+    single = F.col("_metadata.file_path").isin(files)
+    return text.where(~single).select("value").union(whole.where(single).select("value")), True
 
 
 def _trimmed(df: DataFrame) -> DataFrame:
@@ -310,6 +345,6 @@ def profile_many(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
             rows.append(
                 (path, name, "PENDING", seen["row_count"], seen["column_count"], seen["column_names"], seen["dtypes"], None)
             )
-        except Exception as problem:
+        except (InvalidInput, AnalysisException) as problem:
             rows.append((path, name, "ERROR", None, None, None, None, str(problem).splitlines()[0]))
     return spark.createDataFrame(rows, PROFILE_SCHEMA)
