@@ -133,8 +133,12 @@ def dataset_reports(scores: DataFrame, datasets: DataFrame, results: DataFrame)
         ),
         "dataset_id",
     )
-    shown = result_view(score_results(newest, results)).drop("dataset_id")
-    return head.join(shown.withColumnRenamed("id", "result_id"), "report_id", "left")
+    shown = result_view(score_results(newest, results)).drop("dataset_id").withColumnRenamed("id", "result_id")
+    # An inner join can split the results of one very large report over several tasks;
+    # an outer one could not. Reports without results are added afterwards.
+    full = head.join(shown, "report_id")
+    bare = head.join(shown.select("report_id").distinct(), "report_id", "left_anti")
+    return full.unionByName(bare, allowMissingColumns=True)
 
 
 # --- trends ----------------------------------------------------------------
