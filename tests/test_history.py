@@ -2,6 +2,7 @@
 
 from datetime import date, datetime, timedelta, timezone
 
+import glob
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,14 @@ def test_append_then_dedupe(spark, tmp_path):
     assert store.read("fact_quality_checks").where("score = 1.0").count() == 0
 
 
+def test_append_then_dedupe_keeps_the_smallest_id(spark, tmp_path):
+    store = StarStore(spark, str(tmp_path / "star"))
+    one = star.transform(extract.base_extract(history(spark))).star.facts.limit(1)
+    batch = one.withColumn("id", F.lit(1)).withColumn("score", F.lit(50.0)).unionByName(one.withColumn("id", F.lit(2)).withColumn("score", F.lit(10.0)))
+    store.append_then_dedupe(batch.withColumn("id", F.col("id").cast("long")))
+    assert [r["score"] for r in store.read("fact_quality_checks").collect()] == [50.0]
+
+
 def test_upsert_overwrites_dimensions(spark, tmp_path):
     store = StarStore(spark, str(tmp_path / "star"))
     batch = star.transform(extract.base_extract(history(spark))).star
@@ -205,7 +214,8 @@ def test_days_can_be_swapped_again(spark, tmp_path):
     store = StarStore(spark, str(tmp_path / "star"))
     store.load(star.build_star(extract.base_extract(history(spark))))
     before = sorted(map(tuple, store.read("agg_daily_quality").collect()))
-    store.swap_days("agg_daily_quality")
+    staged = glob.glob(store.path("agg_daily_quality") + "__staged/*")
+    store.swap_days("agg_daily_quality", staged[-1])
     assert sorted(map(tuple, store.read("agg_daily_quality").collect())) == before
 
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_THRESHOLD = 80
+# Fixed value: the reason given for a threshold that is not taken.
+OUT_OF_BOUNDS = "Threshold must be between 0 and 100."
 ALERT, RECOVERY = "ALERT", "RECOVERY"
 
 
@@ -117,11 +119,21 @@ def recoveries(scores: DataFrame, configs: DataFrame) -> DataFrame:
     return alert_events(scores, configs).where(F.col("event") == RECOVERY).drop("event")
 
 
+def _lawful(threshold: Column) -> Column:
+    return threshold.between(0, 100)
+
+
+def rejected_thresholds(changes: DataFrame) -> DataFrame:
+    """The changes that ``set_thresholds`` refuses, each with its reason."""
+    refused = changes.where(F.col("threshold").isNotNull() & ~F.coalesce(_lawful(F.col("threshold")), F.lit(False)))
+    return refused.select("dataset_id", "threshold", F.lit(OUT_OF_BOUNDS).alias("reject_reason"))
+
+
 def set_thresholds(configs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Upsert of thresholds (0 to 100, 80 when none is named); a changed dataset may
-    alert again at once."""
+    """Upsert of thresholds (80 when none is named); a changed dataset may alert again
+    at once. Changes that ``rejected_thresholds`` lists are not applied."""
     wanted = F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))
-    lawful = changes.select("dataset_id", wanted.alias("_new")).where(F.col("_new").between(0, 100))
+    lawful = changes.select("dataset_id", wanted.alias("_new")).where(_lawful(F.col("_new")))
     old = configs if "is_alert_active" in configs.columns else configs.withColumn("is_alert_active", F.lit(False))
     return old.join(lawful, "dataset_id", "full").select(
         "dataset_id",

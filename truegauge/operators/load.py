@@ -164,15 +164,17 @@ class StarStore:
     def replace_days(self, table: str, df: DataFrame) -> None:
         """Overwrite only the ``date_key`` partitions that ``df`` contains.
 
-        ``df`` may read those partitions, so it is staged first. Should the job die
-        while the days are swapped, ``swap_days`` repeats that step from the stage.
+        ``df`` may read those partitions, so it is staged first, in a folder of this call's
+        own. Should the job die while the days are swapped, ``swap_days`` repeats that
+        step from the stage.
         """
-        df.write.mode("overwrite").parquet(f"{self.path(table)}__staged")
-        self.swap_days(table)
+        folder = f"{self.path(table)}__staged/{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        self.swap_days(table, folder)
 
-    def swap_days(self, table: str) -> None:
+    def swap_days(self, table: str, folder: str) -> None:
         (
-            self.spark.read.parquet(f"{self.path(table)}__staged")
+            self.spark.read.parquet(folder)
             .hint("rebalance", "date_key")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -199,9 +201,13 @@ class StarStore:
         self.replace(table, merged)
 
     def _stage(self, name: str, df: DataFrame) -> DataFrame:
-        """Compute a batch table once; later steps and retries read the same rows."""
-        path = f"{self.root}/_batch/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Compute a batch table once; later steps and retries read the same rows.
+
+        The folder is this call's own, so a second writer never overwrites a batch that
+        is still being read.
+        """
+        path = f"{self.root}/_batch/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
         return self.spark.read.parquet(path)
 
     def load(self, batch: Star, refresh_daily: bool = True) -> LoadSummary:
@@ -243,19 +249,20 @@ class StarStore:
     def append_then_dedupe(self, batch_facts: DataFrame) -> LoadSummary:
         """The other way to load facts: append first, then drop repeats, oldest row kept.
 
-        ``_arrival`` is 0 for rows already in the table and 1 for new ones; only the
-        days of the batch are rewritten.
+        ``_arrival`` is 0 for rows already in the table and 1 for new ones, which are
+        ranked by their ``id``; only the days of the batch are rewritten.
         """
-        facts = self._stage("facts", batch_facts.select(*FACT_COLUMNS))
+        facts = self._stage("facts", batch_facts.select("id", *FACT_COLUMNS))
         days = [r["date_key"] for r in facts.select("date_key").distinct().toLocalIterator()]
         if not days:
             return LoadSummary()
         table, rows = "fact_quality_checks", facts.withColumn("_arrival", F.lit(1))
         if self.exists(table):
             old = self.read(table).where(F.col("date_key").isin(days)).withColumn("_arrival", F.lit(0))
+            old = old.withColumn("id", F.lit(None).cast(facts.schema["id"].dataType))
             rows = old.select(*rows.columns).unionByName(rows)
         total = rows.count()
-        kept = dedupe_facts(rows, [F.col("_arrival"), F.col("score")]).drop("_arrival")
+        kept = dedupe_facts(rows, [F.col("_arrival"), F.col("id")]).select(*FACT_COLUMNS)
         self.replace_days(table, kept)
         left = self.read(table).where(F.col("date_key").isin(days)).count()
         return LoadSummary(fact_quality_checks=facts.count(), duplicates_removed=total - left)

@@ -130,12 +130,14 @@ def applicable_rules(datasets: DataFrame, rules: DataFrame) -> DataFrame:
     their rules by joining on ``file_type``; (dataset, rule) pairs are never listed.
     """
     active = rules.where(F.col("is_active"))
-    served = datasets.select(F.lower("file_type").alias("file_type")).distinct()
-    everywhere = F.array(*[F.lit(t) for t in FILE_TYPES])
-    scope = F.when(F.col("dataset_type").isin(ANY_DATASET_TYPE), everywhere).otherwise(F.array("dataset_type"))
+    served = datasets.select(F.lower("file_type").alias("file_type")).where("file_type is not null").distinct()
+    general = F.col("dataset_type").isin(ANY_DATASET_TYPE)
+    # A general rule meets every file type in use; their list is one short row.
+    types = F.broadcast(served.agg(F.sort_array(F.collect_set("file_type")).alias("_types")))
+    everywhere = active.where(general).join(types, F.size("_types") > 0).withColumn("file_type", F.explode("_types")).drop("_types")
+    own = active.where(~general).withColumn("file_type", F.col("dataset_type")).join(F.broadcast(served), "file_type", "left_semi")
     return (
-        active.withColumn("file_type", F.explode(scope))
-        .join(served, "file_type", "left_semi")
+        everywhere.unionByName(own)
         .select("file_type", F.col("id").alias("rule_id"), "severity", severity_weight(F.col("severity")).alias("weight"))
     )
 

@@ -80,6 +80,17 @@ def _applicable(i: Inputs):
     return rules.applicable_rules(i.datasets, i.rules)
 
 
+@query(
+    "b04_other_file_types",
+    _APPLICABLE.replace("lower(file_type) as file_type from datasets", "case when id % 2 = 0 then 'xml' else lower(file_type) end as file_type from datasets")
+    + "select * from applicable",
+)
+def _other_types(i: Inputs):
+    """General rules also meet file types that no rule names."""
+    other = i.datasets.withColumn("file_type", F.expr("case when id % 2 = 0 then 'XML' else file_type end"))
+    return rules.applicable_rules(other, i.rules)
+
+
 @query(
     "b04_rule_load",
     _APPLICABLE

@@ -432,6 +432,15 @@ def _thresholds(i: Inputs):
     return alerts.set_thresholds(i.alert_configs, changes)
 
 
+@query(
+    "l04_rejected_thresholds",
+    """select id as dataset_id, cast(column_count * 15 - 20 as int) as threshold, 'Threshold must be between 0 and 100.' as reject_reason
+       from datasets where column_count * 15 - 20 not between 0 and 100""",
+)
+def _rejected(i: Inputs):
+    return alerts.rejected_thresholds(i.datasets.selectExpr("id as dataset_id", "cast(column_count * 15 - 20 as int) as threshold"))
+
+
 @query(
     "l05_alert_messages",
     "with " + _JUDGED + """ select e.id, e.dataset_id, u.email as recipient, 'Data Quality Alert: ' || d.name as subject

@@ -11,6 +11,7 @@ from truegauge.operators.analytics import Selection
 from truegauge.operators.star import Star
 from truegauge.plans.history import Inputs
 from truegauge.plans.registry import query
+from truegauge.session import scratch_dir
 from truegauge.plans.warehouse import stored
 
 AS_OF = datetime(2024, 1, 20, 6, 0)
@@ -345,6 +346,25 @@ def _dedupe(i: Inputs):
     return load.dedupe_facts(star.build_facts(raw(i), dedupe=False))
 
 
+@query(
+    "i05_append_then_dedupe",
+    "with "
+    + EXTRACT
+    + ","
+    + _facts("facts", "extract", "id")
+    + " select * exclude (id) from facts",
+)
+def _append_dedupe(i: Inputs):
+    """Even ids come first, then the odd ones and, again, the even ones with another score."""
+    facts = star.build_facts(raw(i), dedupe=False)
+    store = load.StarStore(i.spark, scratch_dir(i.spark, "dedupe"))
+    oldest = load.dedupe_facts(facts)
+    store.append_then_dedupe(oldest.where("id % 2 = 0"))
+    late = facts.withColumn("score", F.lit(-1.0)).withColumn("id", F.col("id") + 1_000_000_000)
+    store.append_then_dedupe(oldest.where("id % 2 <> 0").unionByName(late))
+    return store.read("fact_quality_checks").select(*star.FACT_COLUMNS)
+
+
 @query(
     "i06_new_facts",
     _SPLIT + " select * from batch b where not exists (select 1 from old_facts o where o.dataset_id = b.dataset_id and o.rule_id = b.rule_id and o.checked_at = b.checked_at)",
