@@ -47,20 +47,20 @@ REMEMBERED = 500_000
 
 # Digits and signs that stand for letters.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
+#: Signs that end or begin a word; those that stand for letters are not among them.
+SIGNS = "!?.,;:*#%&-_()[]{}\"'|/\\=+<>~^`"
 _SINGLES = re.compile(r"(?<!\S)(?:\w\s+){2,}\w(?!\S)")
 
 
 def plain(word: str) -> str:
     """Lower case, without accents, look-alike signs as letters, no other signs at the ends."""
+    word = word.lower().strip(SIGNS)
     if not word.isascii():
-        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
-    word = word.lower()
+        word = "".join([c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)]).lower()
     if not word.isalpha():
         word = word.translate(LOOKALIKES)
-        while word and not word[0].isalpha():
-            word = word[1:].lstrip("!?.,;:*#%&-_()[]{}\"'|/\\=+<>~^` ")
-        while word and not word[-1].isalpha():
-            word = word[:-1].rstrip("!?.,;:*#%&-_()[]{}\"'|/\\=+<>~^` ")
+        letters = [i for i, c in enumerate(word) if c.isalpha()]
+        word = word[letters[0] : letters[-1] + 1] if letters else ""
     return word
 
 
@@ -72,43 +72,62 @@ def instances(text: str | None) -> set[str]:
     return found
 
 
+POWERS = DECAY ** np.arange(WINDOW + 1)
+
+
 class Triples:
     """Letter triples of a batch of words: rows are (word, triple number, weight)."""
 
     def __init__(self, words: list[str]) -> None:
-        places, letters, owner = [], [], []
-        by_size: dict[int, list[int]] = {}
+        owner: list[int] = []
+        plain_ones: dict[int, list[int]] = {}
+        places: dict[int, list[list[int]]] = {}
+        letters: dict[int, list[list[int]]] = {}
+        gapped: dict[int, list[int]] = {}
         for at, word in enumerate(words):
+            if len(word) <= WINDOW and word.isascii() and word.isalpha():
+                if len(word) >= 3:
+                    plain_ones.setdefault(len(word), []).append(len(owner))
+                    owner.append(at)
+                continue
             for start in range(0, max(1, len(word) - WINDOW // 2), WINDOW // 2):
                 part = word[start : start + WINDOW]
                 spots = [i for i, c in enumerate(part) if c.isalpha()]
                 if len(spots) >= 3:
-                    by_size.setdefault(len(spots), []).append(len(owner))
+                    gapped.setdefault(len(spots), []).append(len(owner))
                     owner.append(at)
-                    places.append(spots)
-                    letters.append([min(ord(part[i]) - 97, 26) if part[i] >= "a" else 26 for i in spots])
+                    places.setdefault(len(spots), []).append(spots)
+                    letters.setdefault(len(spots), []).append([min(ord(part[i]) - 97, 26) if part[i] >= "a" else 26 for i in spots])
         self.owner = np.array(owner, np.int64)
         self.parts = len(owner)
         self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        powers = DECAY ** np.arange(WINDOW + 1)
-        for size, rows in by_size.items():
-            first, second, third = _triples(size)
-            for k in range(0, len(rows), max(1, 2_000_000 // len(first))):
-                some = rows[k : k + max(1, 2_000_000 // len(first))]
-                c, p = np.array([letters[r] for r in some]), np.array([places[r] for r in some])
-                code = (c[:, first] * LETTERS + c[:, second]) * LETTERS + c[:, third]
-                self.blocks.append((np.array(some), code, powers[p[:, third] - p[:, first] + 1]))
+        for size, rows in plain_ones.items():
+            text = "".join([words[owner[r]] for r in rows]).encode()
+            self._block(rows, np.frombuffer(text, np.uint8).reshape(-1, size).astype(np.int32) - 97, np.arange(size)[None, :])
+        for size, rows in gapped.items():
+            self._block(rows, np.array(letters[size], np.int32), np.array(places[size]))
+
+    def _block(self, rows: list[int], letters: np.ndarray, places: np.ndarray) -> None:
+        """Words of equally many letters; ``places`` has a row each, or one for all."""
+        first, second, third = _triples(letters.shape[1])
+        step = max(1, 1_000_000 // len(first))
+        for k in range(0, len(rows), step):
+            c, p = letters[k : k + step], places[k : k + step] if len(places) > 1 else places
+            code = (c[:, first] * LETTERS + c[:, second]) * LETTERS + c[:, third]
+            weight = POWERS[p[:, third] - p[:, first] + 1]
+            self.blocks.append((np.array(rows[k : k + step]), code, np.broadcast_to(weight, code.shape)))
 
     def norms(self) -> np.ndarray:
         """Square root of the kernel of each part with itself."""
         out = np.ones(self.parts)
         for rows, code, weight in self.blocks:
-            key = (np.arange(len(rows))[:, None] * LETTERS**3 + code).ravel()
-            order = np.argsort(key, kind="stable")
-            key, flat = key[order], weight.ravel()[order]
-            starts = np.nonzero(np.diff(key, prepend=-1))[0]
+            order = np.argsort(code, axis=1)
+            code, flat = np.take_along_axis(code, order, 1), np.take_along_axis(weight, order, 1).ravel()
+            new = np.ones(code.shape, bool)
+            new[:, 1:] = code[:, 1:] != code[:, :-1]
+            starts = np.nonzero(new.ravel())[0]
             sums = np.add.reduceat(flat, starts)
-            out[rows] = np.sqrt(np.bincount(key[starts] // LETTERS**3, weights=sums * sums, minlength=len(rows)))
+            out[rows] = np.sqrt(np.bincount(starts // code.shape[1], weights=sums * sums, minlength=len(rows)))
         return out
 
     def against(self, table: np.ndarray) -> np.ndarray:
@@ -160,14 +179,14 @@ class Scorer:
         if len(self.known) > REMEMBERED:
             self.known = {}
         known, found = self.known, [instances(t) for t in texts]
-        unseen: dict[str, list[str]] = {}
+        unseen: dict[str, str] = {}
         for words in found:
-            for w in words - known.keys():
-                if w not in unseen:
+            for w in words:
+                if w not in known and w not in unseen:
                     unseen[w] = plain(w)
-        distinct = sorted({*unseen.values()})
-        value = dict(zip(distinct, self.model.margins(distinct).tolist()))
-        known.update({w: value[p] for w, p in unseen.items()})
+        distinct = sorted({p for p in unseen.values() if p not in known})
+        known.update(zip(distinct, self.model.margins(distinct).tolist()))
+        known.update({w: known[p] for w, p in unseen.items()})
         return np.array([max(map(known.__getitem__, words), default=self.model.bias) for words in found])
 
 
