@@ -40,8 +40,9 @@ WINDOW = 24
 DOCUMENTS, WORDS, LANDMARKS = 4000, 20_000, 256
 #: How much more a word of a clean document weighs; the SVM's ridge.
 CLEAN_WEIGHT, RIDGE = 4.0, 1e-6
-#: Toxic documents that a word has to mark before it counts for them by half.
-DOUBT = 5
+#: Toxic documents that a word has to mark before it counts for them by half: so many,
+#: and this share of them.
+DOUBT, DOUBT_SHARE = 5, 0.02
 #: Words that a worker remembers.
 REMEMBERED = 500_000
 
@@ -264,12 +265,13 @@ def word_weights(toxic: np.ndarray, clean: np.ndarray, doubt: float) -> tuple[np
     """Weights of words as toxic and clean from their shares of toxic and clean documents.
 
     A frequent word counts more, but by the root of its frequency, and for either side
-    by its share there; both sides weigh the same in all. ``doubt`` is the share of toxic
+    by its share there, on the toxic side twice over, so that the few sure words outweigh
+    the many doubtful ones; both sides weigh the same in all. ``doubt`` is the share of toxic
     documents that a word has to mark before it counts for them by half: most words that
     only toxic documents hold are rare ones that got there by chance.
     """
     often, share = np.sqrt(toxic + clean), toxic / (toxic + CLEAN_WEIGHT * clean + doubt)
-    marked, other = often * share, often * (1 - share)
+    marked, other = often * share**2, often * (1 - share)
     return marked / max(1e-12, marked.sum()), other / max(1e-12, other.sum())
 
 
@@ -317,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not rows:
         return None
     landmarks = choose_landmarks(names, toxic, clean)
-    model = landmarks.fit(names, *word_weights(toxic, clean, DOUBT / n_toxic))
+    model = landmarks.fit(names, *word_weights(toxic, clean, max(DOUBT / n_toxic, DOUBT_SHARE)))
     prior = {True: sizes[True] / n_toxic / sum(sizes.values()), False: sizes[False] / n_clean / sum(sizes.values())}
     found = with_margin(texts.select("toxic", "text"), model, "text", "margin").select("toxic", "margin").toPandas()
     y = found["toxic"].to_numpy(bool)
