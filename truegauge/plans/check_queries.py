@@ -8,7 +8,9 @@ from truegauge.functions.keyed import pick_one
 from truegauge.operators import checks, rules, scoring
 from truegauge.operators.rules import Rule
 from truegauge.plans.history import Inputs
+from truegauge.plans import check_run
 from truegauge.plans.registry import query
+from truegauge.session import scratch_dir
 
 # --- B: rule catalogue -----------------------------------------------------
 
@@ -624,6 +626,52 @@ query(
 )(_flagship)
 
 
+# Rules as a table, with their parameters as stored JSON.
+_RULE_ROWS = """select * from (values
+    (1, 'total', 'o_totalprice', 'RANGE', 'HIGH', 'all', '{"min": 1000, "max": 200000}', true),
+    (2, 'status', 'o_orderstatus', 'REGEX', 'MEDIUM', 'csv', '{"pattern": "^[FO]$"}', true),
+    (3, 'number', 'o_orderkey', 'UNIQUE', 'LOW', '', '', true),
+    (4, 'priority', 'o_orderpriority', 'NOT_NULL', 'MEDIUM', 'json', null, true),
+    (5, 'unused', 'o_totalprice', 'RANGE', 'HIGH', 'all', '{"max": 0}', false))
+    as r(id, name, field_name, rule_type, severity, dataset_type, parameters, is_active)"""
+
+
+@query(
+    "d09_check_run",
+    """with own as (
+      select o.*, d.id as dataset_id, d.file_type, d.status from orders o join datasets d on d.id = o.o_custkey % 25 where d.status not in ('PROCESSING', 'ERROR')),
+    repeated as (select dataset_id, cast(sum(case when n > 1 then n else 0 end) as bigint) as f3
+                 from (select dataset_id, o_orderkey, count(*) as n from own group by all) group by 1),
+    a as (select dataset_id, file_type, count(*) as t, count(*) filter (where o_totalprice < 1000 or o_totalprice > 200000) as f1,
+                 count(*) filter (where o_orderstatus not in ('F', 'O')) as f2, count(*) filter (where o_orderpriority is null) as f4
+          from own group by all),
+    m as (select *, case when file_type = 'csv' then f2 else f4 end as other from a join repeated using (dataset_id)),
+    s as (select dataset_id, round_even((3 * (t - f1) + 2 * (t - other) + (t - f3))::double / t / 6 * 100, 2) as score, 3::bigint as total_rules,
+                 ((f1 = 0)::int + (other = 0)::int + (f3 = 0)::int)::bigint as passed_rules, f1, other, f3 from m)
+    select s.dataset_id, score, total_rules, passed_rules, 3 - passed_rules as failed_rules, f1 + other + f3 as failing,
+           case when passed_rules = 3 then 'VALIDATED' else 'FAILED' end as status, score < threshold as alerted, 1::bigint as audited
+    from s join alert_configs c using (dataset_id)""",
+)
+def _check_run(i: Inputs):
+    """All datasets of the orders in one run; its tables are appended and read back."""
+    rows = i.orders.withColumn("dataset_id", (F.col("o_custkey") % 25).cast("int"))
+    when = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    done = check_run.run(rows, i.datasets, i.spark.sql(_RULE_ROWS), i.alert_configs, when)
+    root = scratch_dir(i.spark, "run")
+    done.append_to(root)
+    read = {n: i.spark.read.parquet(f"{root}/{n}") for n in ("scores", "results", "audit")}
+    failing = read["results"].groupBy("dataset_id").agg(F.sum("failed_rows").alias("failing"))
+    raised = done.alerts.select("dataset_id", F.lit(True).alias("fired"))
+    audited = read["audit"].groupBy("dataset_id").agg(F.count(F.lit(1)).alias("audited"))
+    status = done.datasets.select(F.col("id").alias("dataset_id"), "status")
+    full = read["scores"].join(failing, "dataset_id").join(audited, "dataset_id").join(status, "dataset_id")
+    full = full.join(i.alert_configs.select("dataset_id"), "dataset_id").join(raised, "dataset_id", "left")
+    return full.select(
+        "dataset_id", "score", "total_rules", "passed_rules", "failed_rules", "failing", "status",
+        F.coalesce("fired", F.lit(False)).alias("alerted"), "audited",
+    )
+
+
 @query(
     "d04_rule_counts",
     _DATASET_SCORES + "select dataset_id, total_rules, passed_rules, failed_rules from scored",
