@@ -77,7 +77,9 @@ def removed_units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     common = stored(found.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "repeated-units")
     again = stored(found.join(common, ["d1", "d2"], "left_semi").dropDuplicates(["key", "doc", "unit"]), "repeats")
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "doc", "unit", "start")
-    first = again.groupBy("d1", "d2").agg(F.min(rank).alias("first"))
+    # Written first, so that the join shuffles both sides anew and can split a unit that
+    # very many documents hold.
+    first = stored(again.groupBy("d1", "d2").agg(F.min(rank).alias("first")), "first-units")
     later = again.join(first, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("first")))
     place = Window.partitionBy("key", "doc").orderBy("unit")
     runs = later.withColumn("run", F.col("unit") - F.row_number().over(place))
