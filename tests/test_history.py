@@ -1,8 +1,8 @@
 """Star schema, loading, integrity, pipeline and state: golden and re-run cases."""
 
+import glob
 from datetime import date, datetime, timedelta, timezone
 
-import glob
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +200,18 @@ def test_upsert_overwrites_dimensions(spark, tmp_path):
     assert {r["id"]: r["name"] for r in store.read("dim_datasets").collect()} == {1: "new", 2: "d2"}
 
 
+def test_daily_rows_follow_a_changed_severity(spark, tmp_path):
+    store = StarStore(spark, str(tmp_path / "star"))
+    batch = star.transform(extract.base_extract(history(spark))).star
+    store.load(batch)
+    one_day = batch.facts.where(F.col("date_key") == batch.facts.agg(F.max("date_key")).first()[0])
+    rules = batch.dim_rules.withColumn("severity", F.lit("LOW"))
+    store.load(Star(batch.dim_datasets, rules, batch.dim_date, one_day))
+    want = load.daily_aggregate(store.read("fact_quality_checks"), store.read("dim_rules"))
+    got = store.read("agg_daily_quality").select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_unfinished_version_is_ignored(spark, tmp_path):
     store = StarStore(spark, str(tmp_path / "star"))
     store.load(star.build_star(extract.base_extract(history(spark))))

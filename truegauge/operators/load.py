@@ -220,6 +220,7 @@ class StarStore:
         rules = self._stage("dim_rules", batch.dim_rules)
         dates = self._stage("dim_date", batch.dim_date)
 
+        stale = self._days_of_changed_rules(rules) if refresh_daily else []
         self._upsert("dim_datasets", datasets, ["id"])
         self._upsert("dim_rules", rules, ["id"])
         absent = insert_ignore(self.read("dim_date"), dates, ["date_key"]) if self.exists("dim_date") else dates
@@ -237,7 +238,8 @@ class StarStore:
         touched = self.read(table).where(F.col("date_key").isin(days))
         inserted = touched.count() - before
         if refresh_daily:
-            self.replace_days("agg_daily_quality", daily_aggregate(touched, self.read("dim_rules")))
+            renewed = self.read(table).where(F.col("date_key").isin(sorted({*days, *stale})))
+            self.replace_days("agg_daily_quality", daily_aggregate(renewed, self.read("dim_rules")))
         return LoadSummary(
             dim_datasets=datasets.count(),
             dim_rules=rules.count(),
@@ -246,6 +248,19 @@ class StarStore:
             skipped=facts.count() - inserted,
         )
 
+    def _days_of_changed_rules(self, rules: DataFrame) -> list[int]:
+        """Days with facts of rules whose severity is about to change: their daily rows
+        hold the old one."""
+        if not (self.exists("dim_rules") and self.exists("fact_quality_checks")):
+            return []
+        now = rules.select("id", F.col("severity").alias("new"))
+        changed = self.read("dim_rules").join(now, "id").where(~F.col("severity").eqNullSafe(F.col("new")))
+        changed = changed.select(F.col("id").alias("rule_id"))
+        if changed.isEmpty():
+            return []
+        old = self.read("fact_quality_checks").select("rule_id", "date_key").join(changed, "rule_id", "left_semi")
+        return [r["date_key"] for r in old.select("date_key").distinct().collect()]
+
     def append_then_dedupe(self, batch_facts: DataFrame) -> LoadSummary:
         """The other way to load facts: append first, then drop repeats, oldest row kept.
 

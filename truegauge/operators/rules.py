@@ -21,10 +21,12 @@ SEVERITIES = ["HIGH", "MEDIUM", "LOW"]
 DEFAULT_SEVERITY = "MEDIUM"
 SEVERITY_WEIGHTS = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
 ANY_DATASET_TYPE = ["all", ""]
-FILE_TYPES = ["csv", "json", "parquet"]
 # A backslash that neither follows a backslash nor starts a JSON escape.
 LONE_BACKSLASH = r'(?<!\\)\\(?![\\"/bfnrtu])'
 
+# Stands for every file type; a blank is no file type.
+EVERY_TYPE = " "
+
 RULE_FIELDS = ["name", "field_name", "rule_type", "severity", "dataset_type", "is_active", "parameters"]
 PARAMETER_SCHEMA = "expected_type STRING, min DOUBLE, max DOUBLE, pattern STRING"
 
@@ -131,13 +133,12 @@ def applicable_rules(datasets: DataFrame, rules: DataFrame) -> DataFrame:
     """
     active = rules.where(F.col("is_active"))
     served = datasets.select(F.lower("file_type").alias("file_type")).where("file_type is not null").distinct()
-    general = F.col("dataset_type").isin(ANY_DATASET_TYPE)
-    # A general rule meets every file type in use; their list is one short row.
-    types = F.broadcast(served.agg(F.sort_array(F.collect_set("file_type")).alias("_types")))
-    everywhere = active.where(general).join(types, F.size("_types") > 0).withColumn("file_type", F.explode("_types")).drop("_types")
-    own = active.where(~general).withColumn("file_type", F.col("dataset_type")).join(F.broadcast(served), "file_type", "left_semi")
+    # A file type answers to its own name and to the mark of general rules.
+    reach = served.withColumn("_scope", F.explode(F.array("file_type", F.lit(EVERY_TYPE))))
+    scope = F.when(F.col("dataset_type").isin(ANY_DATASET_TYPE), EVERY_TYPE).otherwise(F.col("dataset_type"))
     return (
-        everywhere.unionByName(own)
+        active.withColumn("_scope", scope)
+        .join(reach, "_scope")
         .select("file_type", F.col("id").alias("rule_id"), "severity", severity_weight(F.col("severity")).alias("weight"))
     )
 
