@@ -196,7 +196,7 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
                 yield _batch(rows, schema)
 
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    return ranges.repartition("path", "start").mapInArrow(read, schema)
+    return ranges.repartition(max(1, ranges.count()), "path", "start").mapInArrow(read, schema)
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
