@@ -60,7 +60,7 @@ def _known_length(words: Column, known: list[str]) -> Column:
     return F.aggregate(words, F.lit(0), lambda total, w: total + F.when(w.isin(known), F.length(w)).otherwise(0))
 
 
-def candidates(docs: DataFrame, known: list[str], key: str = "doc_id", text: str = "text", path: str = "source", row: Column | None = None) -> DataFrame:
+def candidates(docs: DataFrame, known: list[str], key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """One row per candidate: key, row, start, length, the candidate and its features.
 
     ``start`` counts characters of the original text. Null and empty texts have none.
@@ -68,7 +68,7 @@ def candidates(docs: DataFrame, known: list[str], key: str = "doc_id", text: str
     # Marks around each candidate; the text's own such characters become blanks.
     clean = F.translate(F.col(text), _OPEN + _CLOSE, "  ")
     parts = F.split(F.regexp_replace(clean, _RUN, f"{_OPEN}$1{_CLOSE}"), _OPEN)
-    row = F.monotonically_increasing_id() if row is None else row
+    row = F.monotonically_increasing_id()
     found = docs.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), row.alias("row"), parts.alias("parts")).where(F.size("parts") > 1)
     piece = found.select("key", "path", "row", F.posexplode("parts").alias("pos", "part"))
     piece = piece.select("key", "path", "row", "pos", F.length("part").alias("size"), F.substring_index("part", _CLOSE, 1).alias("candidate"), F.element_at(F.split("part", _CLOSE), -1).alias("rest"))
@@ -134,25 +134,27 @@ def score(found: DataFrame, model: PipelineModel | None) -> DataFrame:
     return model.transform(found).select(*kept, vector_to_array("probability")[1].alias("score"))
 
 
-def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", labelled: DataFrame | None = None, threshold: float = THRESHOLD, row: Column | None = None) -> DataFrame:
+def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The candidates that the forest takes for secrets, with key, row, start and length.
 
     ``labelled`` has the columns of :func:`candidates` and ``label``; without it the
     rules label what they are sure of. Repeated rows give repeated findings. If either
     class has no labelled finding there is no model and nothing is found.
     """
-    found = stored(candidates(docs, dictionary(docs, text), key, text, path, row), "candidates")
+    found = stored(candidates(docs, dictionary(docs, text), key, text, path), "candidates")
     return score(found, train(label_by_rules(found) if labelled is None else labelled)).where(F.col("score") >= threshold)
 
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; all rows and columns stay."""
-    row, found = fresh(docs, "_row"), fresh(docs, "_found")
-    marked = stored(docs.withColumn(row, F.monotonically_increasing_id()), "scanned")
-    secrets = findings(marked, key, text, path, labelled, row=F.col(row))
+    text_hash, found = fresh(docs, "_hash"), fresh(docs, "_found")
+    # What is replaced depends on the text alone, so its hash joins the findings back; a
+    # text that shares another's hash does not hold the other's secrets.
+    hashed = docs.withColumn(text_hash, F.xxhash64(text))
+    secrets = findings(hashed, text_hash, text, path, labelled)
     # Longest first, so that no secret is cut by a shorter one inside it.
-    per_row = secrets.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias(found))
+    per_text = secrets.groupBy(F.col("key").alias(text_hash)).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias(found))
     without = F.aggregate(F.col(found), F.col(text), lambda t, s: F.replace(t, s["candidate"], F.lit(REPLACEMENT)))
     cleaned = F.when(F.col(found).isNull(), F.col(text)).otherwise(without)
-    joined = marked.join(per_row, row, "left")
+    joined = hashed.join(per_text, text_hash, "left")
     return joined.select(*[cleaned.alias(c) if c.lower() == text.lower() else F.col(c) for c in docs.columns])
