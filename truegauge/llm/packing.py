@@ -96,7 +96,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """Token pieces of whole texts: key, piece, start, length, ids_crc32, and ids if asked for.
 
     A null text is an empty one, whose one piece is the end id. Repeated rows give
-    repeated pieces. ``ids`` are little-endian unsigned 32-bit ids.
+    repeated pieces. ``ids`` are little-endian and unsigned, of two bytes each where the
+    vocabulary has no larger id, else of four; ``ids_crc32`` is always that of four bytes.
     """
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
     kind = docs.schema[key].dataType
@@ -104,6 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
+        short = words.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         for batch in batches:
             rows, number, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
@@ -116,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     if with_ids:
-                        ids.append(part)
+                        ids.append(np.frombuffer(part, "<u4").astype("<u2").tobytes() if short else part)
             columns = [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(number, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.binary())] * with_ids], schema.fieldNames())
 
