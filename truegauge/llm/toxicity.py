@@ -191,20 +191,26 @@ class Scorer:
         return np.array([max(map(known.__getitem__, words), default=self.model.bias) for words in found])
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Linear SVM with squared hinge loss by Newton steps; the last weight is the bias."""
+def squared_hinge(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Linear SVM with squared hinge loss by Newton steps; the last weight is the bias.
+
+    Every row counts as a toxic and as a clean one, with a weight for each.
+    """
     x = np.column_stack([x, np.ones(len(x))])
     penalty = ridge * np.eye(x.shape[1])
     penalty[-1, -1] = 1e-9
     w = np.zeros(x.shape[1])
 
     def loss(w: np.ndarray) -> float:
-        return float(weight @ np.maximum(0, 1 - y * (x @ w)) ** 2 + w @ penalty @ w)
+        m = x @ w
+        return float(toxic @ np.maximum(0, 1 - m) ** 2 + clean @ np.maximum(0, 1 + m) ** 2 + w @ penalty @ w)
 
     for _ in range(50):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        target = np.linalg.solve((xa * wa[:, None]).T @ xa + penalty, (xa * wa[:, None]).T @ y[active])
+        m = x @ w
+        pull, push = toxic * (m < 1), clean * (m > -1)
+        # One scaled copy of the rows at a time; the driver's memory is small.
+        scaled = x * np.sqrt(pull + push)[:, None]
+        target = np.linalg.solve(scaled.T @ scaled + penalty, x.T @ (pull - push))
         step, before = 1.0, loss(w)
         while step > 1e-4 and loss(w + step * (target - w)) > before:
             step /= 2
@@ -255,9 +261,9 @@ class Landmarks:
         """The SVM on words with their weights as toxic and as clean ones."""
         parts = Triples(words)
         features = (parts.against(self.table) / parts.norms()[:, None]) @ self.whiten
-        y = np.repeat([1.0, -1.0], len(features))
-        weight = np.concatenate([toxic[parts.owner], clean[parts.owner]])
-        w = squared_hinge(np.concatenate([features, features]), y, weight / max(1e-12, weight.sum()))
+        t, c = toxic[parts.owner], clean[parts.owner]
+        whole = max(1e-12, t.sum() + c.sum())
+        w = squared_hinge(features, t / whole, c / whole)
         return Model(self.table @ (self.whiten @ w[:-1]), float(w[-1]))
 
 
