@@ -34,8 +34,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their ids and their places in sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer_path(), with_ids=True)
+    """Token pieces with their ids and their places in sequences of at most 4096 tokens.
+
+    Sequences are made of neighbours in the mixed order and numbered along it.
+    """
+    return packing.pack_in_order(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm.test_packing import check_whole, plain_ids
+from truegauge.llm import mixing
 from truegauge.llm.queries import QUERIES
 from truegauge.llm.shared import stored, table
 
@@ -43,3 +44,20 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+
+
+def test_sequences_follow_the_mixed_order(spark):
+    # Equally many documents of each source, mixed three to one until the first is used up.
+    rows = [(i, "word " * (40 + i * 37 % 500), "ab"[i % 2]) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = stored(mixing.interleaved(docs, weights={"a": 3.0, "b": 1.0}, block=4096), "test-mixed")
+    got = corpus_pipeline.STAGES[-1][1](spark, mixed, "").orderBy("sequence_id").collect()
+    tokens = [(r.length, r.doc_id % 2 == 0) for r in got]
+    both = sum(n for n, _ in tokens) * 2 // 3  # all of a and a third of b
+    at, shares = 0, [[0, 0] for _ in range(8)]
+    for n, is_a in tokens:
+        if at < both * 0.9:
+            shares[int(at / both * 0.9999 / 0.9 * 8)][is_a] += n
+        at += n
+    assert all(0.7 < a / (a + b) < 0.8 for b, a in shares)
+    assert check_whole([r.asDict() for r in got], 4096) <= 1.01 * at / 4096

@@ -1,12 +1,14 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
 1. Every text becomes token ids with the end id; longer ones are cut to the capacity.
-2. Pieces are dealt by hash to groups of bounded size. Each group packs its pieces best
-   fit, longest first, and closes the bins that are nearly full.
+2. Pieces are dealt by hash to groups of bounded size, or, if the order of the documents
+   is to be kept, by contiguous ranges of it. Each group packs its pieces best fit,
+   longest first, and closes the bins that are nearly full.
 3. The underfull bins of ``FAN_IN`` groups are the items of the next round, and so on up
    a tree until one group is left. A group passes on its ``CARRY`` emptiest bins at most
    and closes the others, so no round gathers an unbounded number of items.
-4. Offsets add up along the tree: piece in bin, bin in bin of the next round.
+4. Offsets add up along the tree: piece in bin, bin in bin of the next round. A bin has
+   the number of its first and longest piece, so sequences are numbered in piece order.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,9 @@ END_ID = 1
 #: Items of a first-round group, groups merged per round, open bins passed on by a group,
 #: and the room up to which a bin counts as full.
 GROUP, FAN_IN, CARRY, NEARLY_FULL = 50_000, 8, 8192, 16
+#: Items of a first-round group where the order counts: a piece moves no further in it,
+#: unless its bin is left underfull.
+ORDERED_GROUP = 1000
 #: A worker remembers the ids of about so many words of at most this many bytes.
 WORDS, WORD_BYTES = 600_000, 48
 #: Byte-level vocabularies write each byte as a visible character: itself where that is
@@ -154,7 +159,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _round(items: DataFrame, number: int, groups: int, capacity: int, nearly_full: int, carry: int) -> DataFrame:
+def _round(items: DataFrame, number: int, groups: int, capacity: int, nearly_full: int, carry: int, total: int | None) -> DataFrame:
     """One round over ``items`` (id, size): id, bin, offset, fill and whether the bin is closed."""
     last = groups == 1
 
@@ -166,19 +171,26 @@ def _round(items: DataFrame, number: int, groups: int, capacity: int, nearly_ful
         closed = (fills >= capacity - nearly_full) | last
         fullest = np.argsort(fills[~closed], kind="stable")[carry:]
         closed[np.nonzero(~closed)[0][fullest]] = True
-        name = (number << 56) + (int(group.column("group")[0].as_py()) << 28) + bins
+        # Bins are numbered as they are opened, so these are their first items in turn.
+        name = ids[offsets == 0][bins]
         return pa.table({"id": ids, "bin": name, "offset": offsets, "fill": fills[bins], "closed": closed[bins]})
 
-    dealt = items.select("id", "size", F.pmod(F.xxhash64("id", F.lit(number)), F.lit(groups)).alias("group"))
+    hashed = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(groups))
+    group = hashed if total is None else F.floor(F.col("id") / F.lit(-(-total // groups)))
+    dealt = items.select("id", "size", group.cast("long").alias("group"))
     return dealt.groupBy("group").applyInArrow(pack, "id long, bin long, offset long, fill long, closed boolean")
 
 
-def place(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan_in: int = FAN_IN, carry: int = CARRY, nearly_full: int = NEARLY_FULL) -> DataFrame:
-    """``items`` (id, size from 1 to ``capacity``) to rows (id, sequence_id, offset)."""
-    groups, number = tasks_for(items.count(), group), 0
+def place(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan_in: int = FAN_IN, carry: int = CARRY, nearly_full: int = NEARLY_FULL, ordered: bool = False) -> DataFrame:
+    """``items`` (id, size from 1 to ``capacity``) to rows (id, sequence_id, offset).
+
+    ``ordered`` takes the ids, which then are 0, 1, 2 and so on, for an order to keep.
+    """
+    total = items.count()
+    groups, number = tasks_for(total, group), 0
     placed = None
     while True:
-        done = stored(_round(items, number, groups, capacity, nearly_full, carry), "packing-round")
+        done = stored(_round(items, number, groups, capacity, nearly_full, carry, total if ordered and total else None), "packing-round")
         if placed is None:
             placed = done.select("id", "bin", "offset")
         else:
@@ -200,3 +212,31 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     cut = stored(pieces(docs, tokenizer, key, text, capacity, end_id, with_ids).withColumn(row, F.monotonically_increasing_id()), "pieces")
     placed = place(cut.select(F.col(row).alias("id"), F.col("length").alias("size")), capacity, **tree)
     return cut.join(placed, F.col(row) == F.col("id")).drop(row, "id")
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, **tree: int) -> DataFrame:
+    """:func:`pack` of a table as it was written, sequences numbered in its order.
+
+    ``docs`` is read from Parquet files; their order is that of the tasks that wrote them
+    and of the rows inside. Sequences made within a group hold neighbouring documents.
+    """
+    file = docs.metadataColumn("_metadata")
+    # part-<task>-<job>.c<file of the task>; readers take files by size, not by name.
+    number = [F.regexp_extract(file["file_name"], p, 1).cast("long") for p in (r"^part-(\d+)", r"[-.]c(\d+)\.")]
+    where = F.struct(number[0].alias("part"), F.coalesce(number[1], F.lit(0)).alias("file"), file["row_index"].alias("row"))
+    marked = docs.select(F.struct(F.col(key).alias("key"), where.alias("where")).alias("marked"), F.col(text).alias("text"))
+    cut = stored(pieces(marked, tokenizer, "marked", "text", capacity, end_id, with_ids), "pieces")
+
+    at = cut.select("marked.where.*", "piece", "length")
+    sizes = at.groupBy("part", "file").agg(F.count(F.lit(1)).alias("n"))
+    # One row per written file.
+    earlier = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("part", "file").orderBy("row", "piece"))
+    numbered = at.withColumn("id", inside - 1).join(starts, ["part", "file"])
+    numbered = stored(numbered.select("part", "file", "row", "piece", "length", (F.col("id") + F.col("first")).alias("id")), "piece-order")
+    placed = place(numbered.select("id", F.col("length").alias("size")), capacity, ordered=True, **{"group": ORDERED_GROUP, **tree})
+    places = numbered.drop("length").join(placed, "id").drop("id").withColumnRenamed("piece", "number")
+    same = [F.col(f"marked.where.{c}") == F.col(c) for c in ("part", "file", "row")]
+    joined = cut.join(places, [*same, F.col("piece") == F.col("number")])
+    return joined.select(F.col("marked.key").alias(key), *[c for c in cut.columns if c != "marked"], "sequence_id", "offset")
