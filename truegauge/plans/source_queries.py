@@ -92,6 +92,39 @@ def _quoted(i: Inputs):
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
+# Texts that are null tokens of the reader come back as null.
+_NULL_TEXTS = "text in (" + ", ".join(f"'{t}'" for t in files.NA_TOKENS) + ")"
+_WHOLE_TEXTS = f"doc_id, md5(case when {_NULL_TEXTS} then null else text end) as digest"
+
+
+def _text_digests():
+    return F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest")
+
+
+@query(
+    "a03_encoding_whole",
+    f"""with held as (select * from documents where regexp_matches(text, '^[\\x00-\\xff]*$'))
+    select (select case when bool_or(regexp_matches(text, '[\\x80-\\xff]')) then 'ISO-8859-1' else 'UTF-8' end from held) as encoding,
+    {_WHOLE_TEXTS} from held""",
+)
+def _encoding_whole(i: Inputs):
+    """Every text that Latin-1 can hold, unchanged."""
+    docs = i.documents.where(F.col("text").rlike(r"^[\x00-\xFF]*$")).select("doc_id", "text")
+    path = _csv_file(i, docs, encoding="ISO-8859-1", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    layout = files.detect_layout(i.spark, path)
+    df = files.read_csv(i.spark, path, layout=layout, infer=False)
+    return df.select(F.lit(layout.encoding).alias("encoding"), *_text_digests())
+
+
+@query("a03_quoted_documents_whole", f"select {_WHOLE_TEXTS} from documents")
+def _quoted_whole(i: Inputs):
+    """Every text, those with a backslash and empty ones too."""
+    docs = i.documents.select("doc_id", "text")
+    path = _csv_file(i, docs, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df = files.read_csv(i.spark, path, layout=files.detect_layout(i.spark, path), infer=False)
+    return df.select(*_text_digests())
+
+
 @query(
     "a04_bad_lines",
     """select l_orderkey, l_partkey, case when l_linenumber = 2 then null else l_suppkey end as l_suppkey
@@ -430,7 +463,11 @@ _STREAM_RULES = [
     union all select user_id, day, 2, f2, total from a union all select user_id, day, 3, f3, total from u""",
 )
 def _stream_checks(i: Inputs):
-    """Days that the watermark has closed at the end of the stream."""
+    return _emitted_checks(i).where("day < date '2024-01-29'")
+
+
+def _emitted_checks(i: Inputs):
+    """All that the stream has emitted: the days that its last watermark has closed."""
     out, checkpoint = scratch_dir(i.spark, "out"), scratch_dir(i.spark, "ckpt")
 
     def start(stream):
@@ -440,11 +477,22 @@ def _stream_checks(i: Inputs):
 
     _feed(i, i.events, "ts", start)
     day = F.to_date("window.start")
-    return (
-        i.spark.read.parquet(out)
-        .select("user_id", day.alias("day"), "rule_id", "failed_rows", "total_rows")
-        .where("day < date '2024-01-29'")
-    )
+    return i.spark.read.parquet(out).select("user_id", day.alias("day"), "rule_id", "failed_rows", "total_rows")
+
+
+@query(
+    "m04_stream_checks_whole",
+    """with keyed as (select user_id, cast(ts as date) as day, value, event_type from events),
+    closed as (select * from keyed where day + interval 1 day <= (select max(ts) - interval 12 hour from events)),
+    a as (select user_id, day, count(*) as total, count(*) filter (where value < 1 or value > 90) as f1,
+          count(*) filter (where event_type = 'error') as f2 from closed group by all),
+    u as (select user_id, day, cast(coalesce(sum(case when n > 1 then n end), 0) as bigint) as f3, cast(sum(n) as bigint) as total
+          from (select user_id, day, event_type, count(*) as n from closed group by all) group by all)
+    select user_id, day, 1::bigint as rule_id, f1 as failed_rows, total as total_rows from a
+    union all select user_id, day, 2, f2, total from a union all select user_id, day, 3, f3, total from u""",
+)
+def _stream_checks_whole(i: Inputs):
+    return _emitted_checks(i)
 
 
 @query(

@@ -142,7 +142,9 @@ def _text_rows(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFram
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*positions, OVERFLOW, CORRUPT)])
     marked = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
     rows = marked.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    outside = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*"', "")
+    # A doubled quote ends one quoted part and starts the next. An alternation here would
+    # recurse once per character and overflow the stack on a long field.
+    outside = F.regexp_replace(F.col(CORRUPT), r'"[^"]*"', "")
     fields = F.length(outside) - F.length(F.replace(outside, F.lit(layout.delimiter), F.lit(""))) + 1
     return rows.where(F.col(OVERFLOW).isNull() & (fields <= len(unique))).drop(OVERFLOW, CORRUPT), unique
 
