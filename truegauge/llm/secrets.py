@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-All of it is DataFrame functions. A candidate is a run of at least ``LEAST`` letters,
-digits and +/_- with a digit in it. The forest sees its length, its character classes and
+All of it is DataFrame functions. A candidate is a value assigned to a name of a secret,
+whatever its length and characters, a key with a known prefix, or a run of at least
+``LEAST`` letters, digits and +/_- with a digit in it. The forest sees its length, its character classes and
 the transitions between them, how much of it dictionary words cover (the corpus's own most
 frequent words), the path of the document, and the words next to it. It is trained on
 labelled findings; without any, on those that two plain rules agree to label.
@@ -30,16 +31,25 @@ REPLACEMENT = "<secret>"
 # Words that name a secret when they stand before it, and parts of paths
 # that hold examples or settings.
 NAMES = ["token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer", "api"]
+PASSWORDS = ["password", "passwd", "pwd"]
 EXAMPLE_PATHS = "test|example|sample|doc|mock|lock"
 SETTING_PATHS = r"conf|\.env|secret|deploy|setting"
 
 _OPEN, _CLOSE = "\x01", "\x02"
 _RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])([A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}})"
+# Name and sign of an assignment, then the value: in double or single quotes, or bare.
+_NAMED = r"(?:token|secret|password|passwd|pwd|credentials?|bearer|api_?key|(?<![a-z])(?:key|auth|api)|(?-i:(?<=[a-z])Key))"
+_ASSIGNED = rf"(?i)({_NAMED}[\"']?\s{{0,4}}(?:=>|:=|[:=]{{1,2}})\s{{0,4}})(?:(\")([^\"\r\n]+)|(')([^'\r\n]+)|([^\s\"']*[^\s\"',;.)\]}}]))"
+# Keys that their first characters give away.
+_PREFIXED = (
+    r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}"
+    r"|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)"
+)
 _TURN = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])|(?<=[A-Za-z0-9])(?=[+/_-])"
 
 FEATURES = [
     "length", "digits", "upper", "turns", "distinct", "covered", "hex", "all_digits", "padded",
-    "assigned", "quoted", "slashes", *[f"before_{n}" for n in NAMES], "near_known", "example_path", "setting_path",
+    "assigned", "quoted", "slashes", *[f"before_{n}" for n in NAMES], "near_known", "example_path", "setting_path", "known_prefix",
 ]
 
 
@@ -67,7 +77,10 @@ def candidates(docs: DataFrame, known: list[str], key: str = "doc_id", text: str
     """
     # Marks around each candidate; the text's own such characters become blanks.
     clean = F.translate(F.col(text), _OPEN + _CLOSE, "  ")
-    parts = F.split(F.regexp_replace(clean, _RUN, f"{_OPEN}$1{_CLOSE}"), _OPEN)
+    assigned = F.regexp_replace(clean, _ASSIGNED, f"$1$2$4{_OPEN}$3$5$6{_CLOSE}")
+    # What is marked is passed over; the empty marks behind it go again.
+    others = F.regexp_replace(assigned, f"({_OPEN}[^{_CLOSE}]*{_CLOSE})|{_PREFIXED}|{_RUN}", f"$1{_OPEN}$2$3{_CLOSE}")
+    parts = F.split(F.replace(others, F.lit(_OPEN + _CLOSE), F.lit("")), _OPEN)
     row = F.monotonically_increasing_id()
     found = docs.select(F.col(key).alias("key"), F.col(path).cast("string").alias("path"), row.alias("row"), parts.alias("parts")).where(F.size("parts") > 1)
     piece = found.select("key", "path", "row", F.posexplode("parts").alias("pos", "part"))
@@ -99,6 +112,7 @@ def candidates(docs: DataFrame, known: list[str], key: str = "doc_id", text: str
         "near_known": F.when(read > 0, _known_length(words, known) / read).otherwise(0.0),
         "example_path": F.lower("path").rlike(EXAMPLE_PATHS),
         "setting_path": F.lower("path").rlike(SETTING_PATHS),
+        "known_prefix": c.rlike(f"^{_PREFIXED}"),
     }
     return placed.select("key", "row", "start", F.length(c).alias("size"), "candidate", *[F.coalesce(features[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
 
@@ -106,13 +120,19 @@ def candidates(docs: DataFrame, known: list[str], key: str = "doc_id", text: str
 def label_by_rules(found: DataFrame) -> DataFrame:
     """``found`` with ``label``: 1 and 0 where the rules are sure, else null.
 
-    Sure secrets are assigned to a name of a secret and look random; sure others are plain
-    numbers or words, or stand in running text without a name or an assignment.
+    Sure secrets have a known prefix, or are assigned to a name of a secret, look random
+    or are named a password, and are quoted or hold a digit. Sure others are plain numbers, known words or very
+    short bare values, or stand in running text without a name or an assignment and do
+    not look random. What looks random there may be a key, so it gets no label.
     """
     named = reduce(lambda a, b: a | b, (F.col(f"before_{n}") > 0 for n in NAMES))
     random_looking = (F.col("all_digits") == 0) & (F.col("covered") < 0.3) & (F.col("distinct") > 0.2)
-    plain = (F.col("all_digits") > 0) | (F.col("covered") > 0.6) | ~named & (F.col("assigned") == 0)
-    return found.withColumn("label", F.when(named & (F.col("assigned") > 0) & random_looking, 1.0).when(plain, 0.0))
+    evident = (F.col("quoted") > 0) | (F.col("digits") > 0)
+    bare = ~evident & (F.col("length") < 6)
+    plain = (F.col("all_digits") > 0) | (F.col("covered") > 0.6) | bare | ~named & (F.col("assigned") == 0) & ~random_looking
+    password = reduce(lambda a, b: a | b, (F.col(f"before_{n}") > 0 for n in PASSWORDS))
+    sure = (F.col("known_prefix") > 0) | named & (F.col("assigned") > 0) & (random_looking | password) & evident
+    return found.withColumn("label", F.when(sure, 1.0).when(plain, 0.0))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
@@ -138,11 +158,20 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """The candidates that the forest takes for secrets, with key, row, start and length.
 
     ``labelled`` has the columns of :func:`candidates` and ``label``; without it the
-    rules label what they are sure of. Repeated rows give repeated findings. If either
-    class has no labelled finding there is no model and nothing is found.
+    rules label what they are sure of, the sure secrets are found and the forest decides
+    on the others. Repeated rows give repeated findings. If either class has no labelled
+    finding there is no model; then only keys of a known prefix are found, with score 0.
     """
     found = stored(candidates(docs, dictionary(docs, text), key, text, path), "candidates")
-    return score(found, train(label_by_rules(found) if labelled is None else labelled)).where(F.col("score") >= threshold)
+    if labelled is not None:
+        return score(found, train(labelled)).where(F.col("score") >= threshold)
+    ruled = label_by_rules(found)
+    model = train(ruled)
+    # What the rules are sure of needs no vote: few short values are in the forest's sample.
+    sure = (F.col("label") == 1) if model else (F.col("known_prefix") > 0)
+    certain = ruled.where(F.coalesce(sure, F.lit(False)))
+    rest = ruled.where(~F.coalesce(sure, F.lit(False)))
+    return score(certain, model).union(score(rest, model).where(F.col("score") >= threshold))
 
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", labelled: DataFrame | None = None) -> DataFrame:
