@@ -68,3 +68,29 @@ def test_query_against_plain_pages(spark, data):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
     got = QUERIES["op6_warc"](spark, data).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == want(rows)
+
+
+def test_very_long_address(spark):
+    address = "data:;base64," + random.Random(5).randbytes(300_000).hex()
+    pages = spark.createDataFrame([(1, "u", "a"), (2, address, "b"), (3, "u", "c")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == [1, 2, 3]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    def other(kind, block, *lines):
+        head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", *lines, f"Content-Length: {len(block)}"])
+        return gzip.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = "Content-Type: application/http; msgtype=response"
+    data = other("warcinfo", b"software: x") + other("response", b"HTTP/1.1 200 OK\r\n\r\npage", http) + other("revisit", b"HTTP/1.1 200 OK\r\n\r\n", http)
+    (tmp_path / "o.warc.gz").write_bytes(data)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/o.warc.gz", len(data))], "path string, bytes long")
+    got = {r.key: (r.record_type, r.payload_bytes, r.payload_digest) for r in warc.read_archives(archives).collect()}
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    assert got == {
+        "<urn:uuid:warcinfo>": ("warcinfo", 11, sha(b"software: x")),
+        "<urn:uuid:response>": ("response", 4, sha(b"page")),
+        "<urn:uuid:revisit>": ("revisit", None, None),
+    }

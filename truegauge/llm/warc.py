@@ -26,8 +26,8 @@ from truegauge.session import scratch_dir
 
 #: Equal payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-#: Bytes of a range, of an archive file, of one read, and of the longest header.
-RANGE_BYTES, ARCHIVE_BYTES, READ_BYTES, HEADER_BYTES = 16 << 20, 1 << 30, 1 << 20, 1 << 16
+#: Bytes of a range, of an archive file, and of one read.
+RANGE_BYTES, ARCHIVE_BYTES, READ_BYTES = 16 << 20, 1 << 30, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Pages carry no fetch time.
@@ -40,7 +40,30 @@ def urn(key) -> str:
 
 
 def key_of(name: str | None) -> str | None:
-    return (name or "").removeprefix("<urn:page:").removesuffix(">") or None
+    """The page's key; the id itself where another writer made it."""
+    if not (name or "").startswith("<urn:page:"):
+        return name or None
+    return name.removeprefix("<urn:page:").removesuffix(">") or None
+
+
+def content(headers: dict[str, str], block: bytes) -> bytes | None:
+    """The payload of a record: what follows HTTP headers, else the block; None for revisits."""
+    if headers["warc-type"] == "revisit":
+        return None
+    return block.partition(b"\r\n\r\n")[2] if _is_http(headers, block) else block
+
+
+def _is_http(headers: dict[str, str], block: bytes) -> bool:
+    named = headers.get("content-type")
+    return named.lower().startswith("application/http") if named else block.startswith(b"HTTP/")
+
+
+def declared_sha1(headers: dict[str, str]) -> str | None:
+    """The payload's SHA-1 in hex as the header has it, in base 32 or 16; None without one."""
+    kind, _, value = headers.get("warc-payload-digest", "").partition(":")
+    if kind.strip().lower() != "sha1":
+        return None
+    return base64.b32decode(value.strip().upper()).hex() if len(value.strip()) == 32 else value.strip().lower()
 
 
 def record(key, url: str | None, payload: bytes, refers_to, revisit: bool) -> bytes:
@@ -122,28 +145,30 @@ class Archive:
         return -1
 
     def member(self, at: int) -> tuple[dict[str, str], bytes, int] | None:
-        """Headers, block and end of the record at ``at``; None if there is none."""
-        unpack, plain, position, headers = zlib.decompressobj(31), bytearray(), at, None
+        """Headers, block and end of the record at ``at``; None if there is none.
+
+        What starts as a WARC header is read to its end, however long it is.
+        """
+        unpack, plain, position, headers, searched = zlib.decompressobj(31), bytearray(), at, None, 0
         while not unpack.eof:
             chunk = self.read(position, READ_BYTES // 16)
             if not chunk:
-                if headers is None:
+                if not plain.startswith(b"WARC/1."):
                     return None
                 raise ValueError(f"record at byte {at} is cut off")
             position += len(chunk)
             try:
                 plain += unpack.decompress(chunk)
             except zlib.error:
-                if headers is None:
+                if not plain.startswith(b"WARC/1."):
                     return None
                 raise
             if headers is None:
                 if not plain.startswith(b"WARC/1."[: len(plain)]):
                     return None
-                stop = plain.find(b"\r\n\r\n")
+                stop = plain.find(b"\r\n\r\n", searched)
                 if stop < 0:
-                    if len(plain) > HEADER_BYTES:
-                        return None
+                    searched = max(0, len(plain) - 3)
                     continue
                 fields = (line.partition(":") for line in plain[:stop].decode("utf-8", "replace").split("\r\n")[1:])
                 headers = {name.strip().lower(): value.strip() for name, _, value in fields}
@@ -168,8 +193,9 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
     """The records of the listed archives (``path``, ``bytes``), range by range.
 
     Rows: key and refers_to as text (null if absent), url, record_type, payload_bytes,
-    payload_digest (hex) and, if asked for, the payload (null for revisits). A response
-    whose payload does not have its declared digest is an error.
+    payload_digest (hex) and, if asked for, the payload (null for revisits). Length and
+    digest are those of the payload; a revisit has what its headers declare, else null. A
+    response whose payload does not have its declared SHA-1 is an error.
     """
     fields = [T.StructField(n, T.StringType()) for n in ("key", "refers_to", "url", "record_type", "payload_digest")]
     schema = T.StructType([*fields, T.StructField("payload_bytes", T.LongType()), *[T.StructField("payload", T.BinaryType())] * with_payload])
@@ -183,11 +209,15 @@ def read_archives(archives: DataFrame, range_bytes: int = RANGE_BYTES, with_payl
                 with fs.open_input_file(place) as file:
                     for headers, block in Archive(file, size).records(start, min(start + range_bytes, size)):
                         kind = headers["warc-type"]
-                        declared = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                        if payload is not None and hashlib.sha1(payload).hexdigest() != declared:
-                            raise ValueError(f"{path}: payload of {headers.get('warc-record-id')} is damaged")
-                        row = (key_of(headers.get("warc-record-id")), key_of(headers.get("warc-refers-to")), headers.get("warc-target-uri"), kind, declared, int(headers["x-payload-length"]))
+                        payload, declared = content(headers, block), declared_sha1(headers)
+                        if payload is not None:
+                            digest = hashlib.sha1(payload).hexdigest()
+                            if kind == "response" and declared not in (None, digest):
+                                raise ValueError(f"{path}: payload of {headers.get('warc-record-id')} is damaged")
+                            declared = digest
+                        length = headers.get("x-payload-length", "")
+                        length = len(payload) if payload is not None else int(length) if length.isdigit() else None
+                        row = (key_of(headers.get("warc-record-id")), key_of(headers.get("warc-refers-to")), headers.get("warc-target-uri"), kind, declared, length)
                         rows.append((*row, payload) if with_payload else row)
                         held += len(payload or b"") if with_payload else 0
                         if len(rows) >= 4096 or held > READ_BYTES * 8:
