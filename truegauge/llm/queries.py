@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import covertree, lm, maxscore, mixing, packing, repeats, secrets, simhash, toxicity, warc
+from truegauge.llm import alignment, covertree, lm, maxscore, mixing, packing, repeats, secrets, simhash, toxicity, warc
 from truegauge.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: The vocabulary that the packing contract names.
+#: The vocabulary that the packing contract names, and the two that are aligned.
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def query(name: str, sql: str | None = None):
@@ -181,3 +182,15 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pfair_mixing")
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def alignment_digests(found: DataFrame) -> DataFrame:
+    """Alignments with the SHA-256 of their groups in place of the groups; '' without any."""
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+@query("op11_tokenizer_alignment")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [tokenizer_path(n) for n in ALIGNED]
+    return alignment_digests(alignment.alignments(table(spark, sf_dir, "documents"), *paths))
