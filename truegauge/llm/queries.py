@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import alignment, covertree, lm, maxscore, mixing, packing, repeats, secrets, simhash, toxicity, warc
+from truegauge.llm import alignment, covertree, lm, maxscore, mixing, packing, repeats, secrets, sharding, simhash, toxicity, warc
 from truegauge.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,9 @@ def alignment_digests(found: DataFrame) -> DataFrame:
 def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [tokenizer_path(n) for n in ALIGNED]
     return alignment_digests(alignment.alignments(table(spark, sf_dir, "documents"), *paths))
+
+
+@query("op13_differencing_shards")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
