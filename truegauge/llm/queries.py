@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm import alignment, covertree, lm, maxscore, mixing, packing, repeats, secrets, sharding, simhash, toxicity, warc
+from truegauge.llm import alignment, collocations, covertree, lm, maxscore, mixing, packing, repeats, secrets, sharding, simhash, toxicity, warc
 from truegauge.llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,49 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    "op12_trie_collocations",
+    r"""
+    with piece as (
+        select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') as w
+        from (
+            select coalesce(lang, 'und') as lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents
+        )
+    ),
+    gram as (
+        select lang, k, w[i : i + k - 1] as g
+        from (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from piece, (select unnest([1, 2, 3, 4]) as k))
+    ),
+    f as (select lang, k, g, count(*) as f from gram group by lang, k, g),
+    n as (select lang, sum(f) as n from f where k = 1 group by lang),
+    cand as (select * from f where k > 1 and f >= 30),
+    cut as (
+        select c.lang, c.g, c.k, c.f as a, c.j, x.f as l, y.f as r, (2000000 :: hugeint * c.f) // (x.f + y.f) as score
+        from (select *, unnest(generate_series(1, k - 1)) as j from cand) c
+        join f x on x.lang = c.lang and x.g = c.g[1 : c.j]
+        join f y on y.lang = c.lang and y.g = c.g[c.j + 1 : c.k]
+    ),
+    lowest as (select * from cut qualify row_number() over (partition by lang, g order by score, j) = 1),
+    inside as (
+        select lang, g[i : i + m - 1] as g, max(f) as longer
+        from (select lang, g, f, k, m, unnest(generate_series(1, k - m + 1)) as i from (select *, unnest(generate_series(2, k - 1)) as m from cand where k > 2))
+        group by 1, 2
+    ),
+    kept as (
+        select lowest.*, array_to_string(lowest.g, ' ') as phrase
+        from lowest left join inside on inside.lang = lowest.lang and inside.g = lowest.g
+        where longer is null or 100 * longer < 80 * a
+    ),
+    ranked as (
+        select *, cast(row_number() over (partition by lang order by score desc, a desc, phrase) as integer) as rank from kept
+    )
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+    from ranked join n using (lang) where rank <= 2000
+    """,
+)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
