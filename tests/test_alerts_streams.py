@@ -200,3 +200,76 @@ def test_streamed_alerts_equal_batch(spark, data, tmp_path):
     want = alerts.alert_events(rows, configs)
     assert got.select("batch").distinct().count() > 1
     assert sorted((r.id, r.event) for r in got.collect()) == sorted((r.id, r.event) for r in want.collect())
+
+
+def versions(spark, rows):
+    return spark.createDataFrame(rows, "dataset_id bigint, threshold int, email_notifications boolean, effective_from timestamp_ntz")
+
+
+def streamed(spark, tmp_path, batches, configs):
+    """Events and states of a stream that takes the batches one by one."""
+    folder, root = str(tmp_path / "scores"), str(tmp_path / "alerts")
+    for n, batch in enumerate(batches):
+        batch.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(batch.schema).parquet(folder)
+        query = stream_alerts(stream, lambda n=n: configs[min(n, len(configs) - 1)], root, str(tmp_path / "ckpt"))
+        query.awaitTermination(600)
+        assert query.exception() is None
+    events = [(r.id, r.event) for r in spark.read.parquet(f"{root}/events").orderBy("id").collect()]
+    states = [sorted(map(tuple, spark.read.parquet(f"{root}/state/batch={n}").collect())) for n in range(len(batches))]
+    return events, states
+
+
+def test_two_settings_raise_no_repeated_alert(spark, tmp_path):
+    both = versions(spark, [(1, 80, True, T0 - timedelta(days=9)), (1, 90, True, T0 + timedelta(days=9))])
+    rows = scores(spark, [0, 0, 0])
+    events, states = streamed(spark, tmp_path, [rows.where(f"id = {n}") for n in range(3)], [both])
+    assert events == [(0, "ALERT")]
+    assert states == [[(1, True, T0 - timedelta(days=9))]] * 3
+
+
+def test_threshold_set_in_mid_stream_alerts_again(spark, tmp_path):
+    first = versions(spark, [(1, 80, True, T0 - timedelta(days=9))])
+    changes = spark.createDataFrame([(1, 80), (2, 70), (3, 300)], "dataset_id bigint, threshold int")
+    # Set between the second score (5 hours after the first) and the third.
+    second = alerts.set_thresholds_at(first, changes, F.lit(T0 + timedelta(hours=6)).cast("timestamp_ntz"))
+    assert {tuple(r)[:3] for r in second.collect()} == {(1, 80, True), (2, 70, True)} and second.count() == 3
+    rows = scores(spark, [0, 0, 0, 0, 85, 0])
+    events, states = streamed(spark, tmp_path, [rows.where("id < 2"), rows.where("id in (2, 3)"), rows.where("id > 3")], [first, second])
+    assert events == [(0, "ALERT"), (2, "ALERT"), (4, "RECOVERY"), (5, "ALERT")]
+    assert [len(s) for s in states] == [1, 1, 1] and states[-1] == [(1, True, T0 + timedelta(hours=6))]
+
+
+def test_a_setting_waits_for_its_first_score(spark, tmp_path):
+    settings = versions(spark, [(1, 80, True, T0), (1, 80, True, T0 + timedelta(hours=12))])
+    rows = scores(spark, [0, 0, 0, 0])  # at 0, 5, 10 and 15 hours
+    other = spark.createDataFrame([(9, 2, 0.0, T0 + timedelta(hours=13))], SCORES)
+    events, states = streamed(spark, tmp_path, [rows.where("id < 3"), other, rows.where("id = 3")], [settings])
+    assert events == [(0, "ALERT"), (3, "ALERT")]
+    assert [s[0][2] for s in states] == [T0, T0, T0 + timedelta(hours=12)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_streamed_changes_equal_batch_and_state_stays_small(spark, data, tmp_path, parts):
+    inputs = Inputs(spark, data)
+    rows = inputs.quality_scores.select("id", "dataset_id", "score", "checked_at")
+    base = inputs.alert_configs.drop("is_alert_active")
+    when = [datetime(2023, 1, 1), datetime(2024, 1, 9), datetime(2024, 1, 20)]
+    settings = None
+    for n, at in enumerate(when):
+        version = base.select("dataset_id", (F.col("threshold") + 5 * n).alias("threshold"), F.lit(n != 1).alias("email_notifications"), F.lit(at).cast("timestamp_ntz").alias("effective_from"))
+        settings = version if settings is None else settings.unionByName(version)
+    ordered = rows.orderBy("checked_at", "id").collect()
+    size = -(-len(ordered) // parts)
+    batches = [spark.createDataFrame(ordered[n * size : (n + 1) * size], rows.schema) for n in range(parts)]
+    events, states = streamed(spark, tmp_path, batches, [settings])
+    assert events == brute_force(ordered, settings.collect()) and events
+    assert len(states[-1]) == len({s[0] for s in states[-1]}) <= base.count()
+
+
+def test_a_hot_day_is_spread_over_slices(spark):
+    rows = spark.range(4000).select("id", F.lit(1).cast("long").alias("dataset_id"), (F.col("id") % 7 * 20).cast("double").alias("score"), (F.lit(T0).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id").cast("decimal(18,6)"))).cast("timestamp_ntz").alias("checked_at"))
+    configs = versions(spark, [(1, 80, True, T0 - timedelta(days=1)), (1, 50, True, T0 + timedelta(minutes=30))])
+    want = brute_force([r.asDict() for r in rows.collect()], configs.collect())
+    for slice_by in ("second", "minute", "day"):
+        assert sorted((r.id, r.event) for r in alerts.alert_events(rows, configs, slice_by).collect()) == want

@@ -19,44 +19,69 @@ OUT_OF_BOUNDS = "Threshold must be between 0 and 100."
 ALERT, RECOVERY = "ALERT", "RECOVERY"
 
 
-def _intervals(configs: DataFrame) -> DataFrame:
-    """Each setting with the time it holds. Without ``effective_from`` it always held."""
-    for column, default in (("epoch", F.lit(0)), ("is_alert_active", F.lit(False))):
+def _versions(configs: DataFrame) -> DataFrame:
+    """Settings as ``_dataset, _at, setting``. Without ``effective_from`` (or with a null
+    one) a setting always held. Every setting of a dataset but the first is a change."""
+    for column, default in (("effective_from", F.lit(None).cast("timestamp_ntz")), ("is_alert_active", F.lit(False))):
         if column not in configs.columns:
             configs = configs.withColumn(column, default)
+    changes = Window.partitionBy("dataset_id").orderBy(F.asc_nulls_first("effective_from"), "threshold")
+    setting = F.struct("threshold", "email_notifications", "is_alert_active", (F.row_number().over(changes) > 1).alias("changed"))
+    return configs.select(F.col("dataset_id").alias("_dataset"), F.col("effective_from").alias("_at"), setting.alias("_setting"))
+
+
+def _as_of(scores: DataFrame, configs: DataFrame, slice_by: str) -> DataFrame:
+    """Scores and changes of settings as one timeline, each row with the setting that holds.
+
+    Columns: those of ``scores``, ``_dataset``, ``_at`` (null first), ``_is_score``,
+    ``_slice`` and ``_setting``. A change comes before the scores of its own instant.
+    """
+    kinds = {f.name: f.dataType for f in scores.schema.fields}
+    shown = scores.where("score is not null").select("*", F.col("dataset_id").alias("_dataset"), F.col("checked_at").alias("_at"))
+    versions = _versions(configs)
     if "effective_from" not in configs.columns:
-        never = F.lit(None).cast("timestamp_ntz")
-        return configs.withColumn("valid_from", never).withColumn("valid_to", never)
-    changes = Window.partitionBy("dataset_id").orderBy("effective_from")
-    return (
-        configs.withColumn("valid_from", F.col("effective_from"))
-        .withColumn("valid_to", F.lead("effective_from").over(changes))
-        .withColumn("epoch", F.row_number().over(changes))
-    )
+        rows = shown.withColumn("_is_score", F.lit(True)).join(versions.drop("_at"), "_dataset")
+        return rows.withColumn("_slice", F.date_trunc(slice_by, "_at"))
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]
+    changes = versions.select(*nothing, "_dataset", F.col("_at").cast(kinds["checked_at"]).alias("_at"), F.lit(False).alias("_is_score"), F.col("_setting").alias("_own"))
+    shown = shown.withColumn("_is_score", F.lit(True)).withColumn("_own", F.lit(None).cast(changes.schema["_own"].dataType))
+    rows = shown.unionByName(changes).withColumn("_slice", F.date_trunc(slice_by, "_at"))
+    return _carried(rows, "_own", "_setting", current=True).drop("_own").where("_setting is not null")
 
 
-def judged(scores: DataFrame, configs: DataFrame) -> DataFrame:
-    """Scores of datasets that have a setting, with threshold, epoch and breach flag."""
-    settings = _intervals(configs).select(
-        F.col("dataset_id").alias("_dataset"),
-        "threshold",
-        "email_notifications",
-        "epoch",
-        "is_alert_active",
-        "valid_from",
-        "valid_to",
-    )
-    at = F.col("checked_at")
-    holds = (F.col("valid_from").isNull() | (at >= F.col("valid_from"))) & (
-        F.col("valid_to").isNull() | (at < F.col("valid_to"))
-    )
-    return (
-        scores.where("score is not null")
-        .join(settings, F.col("dataset_id") == F.col("_dataset"))
-        .where(holds)
-        .withColumn("breach", F.col("score") < F.col("threshold"))
-        .drop("_dataset", "valid_from", "valid_to")
-    )
+def _carried(rows: DataFrame, value: str, name: str, current: bool) -> DataFrame:
+    """``rows`` with the last ``value`` that is not null before them, or up to them.
+
+    A time slice leaves one value behind. These few are carried over the slices, and each
+    slice then only needs its own rows, so that a dataset with very many is spread out.
+    """
+    when = F.struct(F.col("_at").isNotNull(), "_at", "_is_score", "id")
+    ends = rows.groupBy("_dataset", "_slice").agg(F.max_by(value, F.when(F.col(value).isNotNull(), when)).alias("_left"))
+    before = Window.partitionBy("_dataset").orderBy(F.asc_nulls_first("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_dataset", "_slice", F.last("_left", ignorenulls=True).over(before).alias("_carried"))
+    time = [F.asc_nulls_first("_at"), F.col("_is_score"), F.asc_nulls_first("id")]
+    within = Window.partitionBy("_dataset", "_slice").orderBy(*time).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    joined = rows.alias("r").join(carried.alias("c"), (F.col("r._dataset") == F.col("c._dataset")) & F.col("r._slice").eqNullSafe(F.col("c._slice")))
+    return joined.select("r.*", "c._carried").withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(within), "_carried")).drop("_carried")
+
+
+def _effects(scores: DataFrame, configs: DataFrame, slice_by: str) -> DataFrame:
+    """The timeline with ``_effect``: 1 raises, 0 clears, null leaves the state as it is.
+
+    These maps of the two states onto themselves are closed under composition (a later
+    raise or clear hides all before it), so any stretch of time is one of the three.
+    """
+    breach = F.col("score") < F.col("_setting.threshold")
+    score = F.when(~breach, 0).when(breach & F.col("_setting.email_notifications"), 1)
+    change = F.when(F.col("_setting.changed"), 0)
+    return _as_of(scores, configs, slice_by).withColumn("_effect", F.when(F.col("_is_score"), score).otherwise(change))
+
+
+def judged(scores: DataFrame, configs: DataFrame, slice_by: str = "day") -> DataFrame:
+    """Scores of datasets that have a setting, with its threshold and the breach flag."""
+    rows = _as_of(scores, configs, slice_by).where("_is_score")
+    threshold = F.col("_setting.threshold")
+    return rows.select(*scores.columns, threshold.alias("threshold"), F.col("_setting.email_notifications").alias("email_notifications"), (F.col("score") < threshold).alias("breach"))
 
 
 def breaches(scores: DataFrame, configs: DataFrame) -> DataFrame:
@@ -66,48 +91,54 @@ def breaches(scores: DataFrame, configs: DataFrame) -> DataFrame:
 def alert_events(scores: DataFrame, configs: DataFrame, slice_by: str = "day") -> DataFrame:
     """Alerts and recoveries: ``id, dataset_id, score, threshold, checked_at, event``.
 
-    The scores of a dataset are worked off in time slices. What a slice leaves
-    behind is one value, its last raise or clear; these few values are carried
-    forward over the slices, and each slice then only needs its own rows. A dataset
-    holding a third of all scores is so spread over its slices.
+    A change of a dataset's setting clears its alert without an event.
     """
-    effect = F.when(~F.col("breach"), 0).when(F.col("email_notifications"), 1)
-    key = ["dataset_id", "epoch"]
-    rows = judged(scores, configs).withColumn("effect", effect).withColumn("slice", F.date_trunc(slice_by, "checked_at"))
-    when = F.struct("checked_at", "id")
-
-    ends = rows.groupBy(*key, "slice").agg(F.max_by("effect", F.when(F.col("effect").isNotNull(), when)).alias("left_as"))
-    before = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*key, "slice", F.last("left_as", ignorenulls=True).over(before).alias("carried"))
-
-    within = Window.partitionBy(*key, "slice").orderBy("checked_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    # Only the first setting starts from the stored flag; a later change resets it.
-    initial = F.when(F.col("epoch") <= F.lit(1), F.col("is_alert_active").cast("int")).otherwise(0)
-    active = F.coalesce(F.last("effect", ignorenulls=True).over(within), F.col("carried"), initial)
-    event = F.when((F.col("effect") == 1) & (F.col("active") == 0), ALERT).when(
-        (F.col("effect") == 0) & (F.col("active") == 1), RECOVERY
-    )
-    return (
-        rows.join(carried, [*key, "slice"])
-        .withColumn("active", active)
-        .withColumn("event", event)
-        .where("event is not null")
-        .select("id", "dataset_id", "score", "threshold", "checked_at", "event")
-    )
+    rows = _carried(_effects(scores, configs, slice_by), "_effect", "_before", current=False).where("_is_score")
+    active = F.coalesce("_before", F.coalesce("_setting.is_alert_active", F.lit(False)).cast("int"))
+    event = F.when((F.col("_effect") == 1) & (active == 0), ALERT).when((F.col("_effect") == 0) & (active == 1), RECOVERY)
+    found = rows.withColumn("event", event).where("event is not null")
+    return found.select("id", "dataset_id", "score", F.col("_setting.threshold").alias("threshold"), "checked_at", "event")
+
 
+def alert_states(scores: DataFrame, configs: DataFrame, slice_by: str = "day") -> DataFrame:
+    """State of every dataset with a judged score: ``dataset_id, active, set_from``.
 
-def alert_states(scores: DataFrame, configs: DataFrame) -> DataFrame:
-    """Flag of every configured dataset after these scores: ``dataset_id, active``."""
-    effect = F.when(~F.col("breach"), False).when(F.col("email_notifications"), True)
-    last = (
-        judged(scores, configs)
-        .withColumn("effect", effect)
-        .where("effect is not null")
-        .groupBy("dataset_id")
-        .agg(F.max_by("effect", F.struct("checked_at", "id")).alias("effect"))
+    ``set_from`` is the start of the setting that its last score met (null: it always
+    held); a later one has not taken effect yet. One row per dataset.
+    """
+    rows = _effects(scores, configs, slice_by)
+    when = F.struct(F.col("_at").isNotNull(), "_at", "_is_score", "id")
+    met = rows.groupBy("_dataset").agg(F.max(F.when(F.col("_is_score"), F.col("_at"))).alias("_last"))
+    rows = rows.join(met, "_dataset").where("_last is not null and (_at is null or _at <= _last)")
+    last = rows.groupBy("_dataset").agg(
+        F.max_by("_effect", F.when(F.col("_effect").isNotNull(), when)).alias("effect"),
+        F.max(F.when(~F.col("_is_score"), F.col("_at"))).alias("set_from"),
+        F.max_by("_setting.is_alert_active", F.when(F.col("_is_score"), when)).alias("was"),
     )
-    return configs.join(last, "dataset_id", "left").select(
-        "dataset_id", F.coalesce("effect", "is_alert_active").alias("active")
+    return last.select(F.col("_dataset").alias("dataset_id"), F.coalesce(F.col("effect") == 1, "was", F.lit(False)).alias("active"), "set_from")
+
+
+def settings_from(configs: DataFrame, states: DataFrame) -> DataFrame:
+    """``configs`` as they hold for scores that come after ``states``.
+
+    A dataset's setting that the state has met goes on with the state's flag, for late
+    scores too; earlier ones are over, later ones will still clear the flag.
+    """
+    if "effective_from" not in configs.columns:
+        configs = configs.withColumn("effective_from", F.lit(None).cast("timestamp_ntz"))
+    if "is_alert_active" not in configs.columns:
+        configs = configs.withColumn("is_alert_active", F.lit(False))
+    state = states.select("dataset_id", "active", F.col("set_from").cast(configs.schema["effective_from"].dataType).alias("set_from"), F.lit(True).alias("known"))
+    joined = configs.join(state, "dataset_id", "left")
+    since, met = F.col("effective_from"), F.col("set_from")
+    same = F.col("known") & since.eqNullSafe(met)
+    later = F.col("known").isNull() | since.isNotNull() & (met.isNull() | (since > met))
+    return joined.where(same | later).select(
+        "dataset_id",
+        "threshold",
+        "email_notifications",
+        F.when(same, F.col("active")).otherwise(F.col("is_alert_active")).alias("is_alert_active"),
+        F.when(~F.coalesce(same, F.lit(False)), since).alias("effective_from"),
     )
 
 
@@ -143,6 +174,20 @@ def set_thresholds(configs: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def set_thresholds_at(settings: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
+    """``settings`` with the lawful ``changes`` as further versions that hold from ``at`` on.
+
+    A dataset keeps its notifications (on, if it is new). Its alert is cleared by the new
+    version, also when the threshold stays the same.
+    """
+    wanted = F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))
+    lawful = changes.select("dataset_id", wanted.cast(settings.schema["threshold"].dataType).alias("threshold")).where(_lawful(F.col("threshold")))
+    newest = settings.groupBy("dataset_id").agg(F.max_by("email_notifications", F.struct(F.col("effective_from").isNotNull(), "effective_from")).alias("email_notifications"))
+    added = lawful.join(newest, "dataset_id", "left").withColumn("email_notifications", F.coalesce("email_notifications", F.lit(True)))
+    added = added.withColumn("effective_from", at.cast(settings.schema["effective_from"].dataType))
+    return settings.unionByName(added, allowMissingColumns=True)
+
+
 def alert_messages(
     raised: DataFrame, datasets: DataFrame, users: DataFrame, site: str = "", columns: Sequence[str] = ("id",)
 ) -> DataFrame:

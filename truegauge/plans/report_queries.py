@@ -388,13 +388,13 @@ def judged_sql(settings: str) -> str:
     return _JUDGED_TEXT.replace("{settings}", settings)
 
 
-_JUDGED = judged_sql(
+JUDGED = judged_sql(
     """select dataset_id, threshold::double as threshold, email_notifications, timestamp '2023-01-01 00:00:00' as effective_from from alert_configs
     union all select dataset_id, 100 - threshold / 2.0, threshold > 60, timestamp '2024-01-15 00:00:00' from alert_configs"""
 )
 
 
-def _configs(i: Inputs):
+def changing_configs(i: Inputs):
     text = CONFIG_HISTORY.replace("from alert_configs", "from {configs}")
     return (
         i.spark.sql(text, configs=i.alert_configs)
@@ -411,14 +411,14 @@ def _breaches(i: Inputs):
     return alerts.breaches(i.quality_scores, i.alert_configs)
 
 
-@query("l02_alerts", "with " + _JUDGED + " select id, dataset_id, score, threshold, checked_at from events where fires")
+@query("l02_alerts", "with " + JUDGED + " select id, dataset_id, score, threshold, checked_at from events where fires")
 def _alerts(i: Inputs):
-    return alerts.alerts(i.quality_scores, _configs(i))
+    return alerts.alerts(i.quality_scores, changing_configs(i))
 
 
-@query("l03_recoveries", "with " + _JUDGED + " select id, dataset_id, score, threshold, checked_at from events where recovers")
+@query("l03_recoveries", "with " + JUDGED + " select id, dataset_id, score, threshold, checked_at from events where recovers")
 def _recoveries(i: Inputs):
-    return alerts.recoveries(i.quality_scores, _configs(i))
+    return alerts.recoveries(i.quality_scores, changing_configs(i))
 
 
 @query(
@@ -443,9 +443,9 @@ def _rejected(i: Inputs):
 
 @query(
     "l05_alert_messages",
-    "with " + _JUDGED + """ select e.id, e.dataset_id, u.email as recipient, 'Data Quality Alert: ' || d.name as subject
+    "with " + JUDGED + """ select e.id, e.dataset_id, u.email as recipient, 'Data Quality Alert: ' || d.name as subject
     from events e join datasets d on d.id = e.dataset_id left join users u on u.id = d.uploaded_by where e.fires""",
 )
 def _messages(i: Inputs):
-    raised = alerts.alerts(i.quality_scores, _configs(i))
+    raised = alerts.alerts(i.quality_scores, changing_configs(i))
     return alerts.alert_messages(raised, i.datasets, i.users).drop("message")

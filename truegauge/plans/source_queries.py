@@ -17,7 +17,7 @@ from truegauge.operators.rules import Rule
 from truegauge.plans import pipeline
 from truegauge.plans.history import TABLES, Inputs
 from truegauge.plans.registry import query
-from truegauge.plans.report_queries import judged_sql
+from truegauge.plans.report_queries import JUDGED, changing_configs
 from truegauge.plans.star_queries import EXTRACT, SELECTED, STAR, BY_TYPE, FIELDS, KPI, TRENDS, WEEKDAYS, selection
 from truegauge.plans.warehouse import stored
 from truegauge.session import scratch_dir
@@ -497,14 +497,13 @@ def _stream_checks_whole(i: Inputs):
 
 @query(
     "m05_stream_alerts",
-    "with "
-    + judged_sql("select dataset_id, threshold, email_notifications, timestamp '2023-01-01 00:00:00' as effective_from from alert_configs")
-    + " select id, dataset_id, case when fires then 'ALERT' else 'RECOVERY' end as event from events where fires or recovers",
+    "with " + JUDGED + " select id, dataset_id, case when fires then 'ALERT' else 'RECOVERY' end as event from events where fires or recovers",
 )
 def _stream_alerts(i: Inputs):
+    """Settings change in mid-stream; each micro-batch asks for them anew."""
     root, checkpoint = scratch_dir(i.spark, "alerts"), scratch_dir(i.spark, "ckpt")
     scores = i.quality_scores.select("id", "dataset_id", "score", "checked_at")
-    _feed(i, scores, "checked_at", lambda s: stream_alerts(s, i.alert_configs, root, checkpoint))
+    _feed(i, scores, "checked_at", lambda s: stream_alerts(s, lambda: changing_configs(i), root, checkpoint), parts=4)
     return i.spark.read.parquet(f"{root}/events").select("id", "dataset_id", "event")
 
 
