@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -67,17 +68,39 @@ PARTS = st.sampled_from(["the", " ", "  ", "\n", "\n\n", "\t", " \n", "don't", "
 @given(st.lists(st.one_of(PARTS, st.text(max_size=6)), max_size=14))
 def test_units_give_the_groups_of_the_whole_text(parts):
     text = "".join(parts).encode("utf-8", "ignore").decode()
+    assert groups_of(KNOWN.units(text)) == whole_groups(text)
+
+
+def groups_of(units):
+    if units == [" "]:
+        return []
     found = []
-    for unit in KNOWN.units(text) if text else []:
-        groups = KNOWN.groups(unit)
-        if groups is None:
-            found = []
-            break
-        a, b, in_a, in_b = groups
+    for record in KNOWN.records(list(dict.fromkeys(units))) if units else []:
+        n_a, n_b, n, *rest = np.frombuffer(record, "<i4").tolist()
+        if n < 0:
+            return []
+        a, b, in_a, in_b = rest[:n_a], rest[n_a : n_a + n_b], rest[n_a + n_b : n_a + n_b + n], rest[n_a + n_b + n :]
+        groups = []
         for x, y in zip(in_a, in_b):
-            found.append((a[:x], b[:y]))
+            groups.append((a[:x], b[:y]))
             a, b = a[x:], b[y:]
-    assert found == whole_groups(text)
+        assert not a and not b
+        found.append(groups)
+    number = {u: i for i, u in enumerate(dict.fromkeys(units))}
+    return [g for u in units for g in found[number[u]]]
+
+
+def test_a_unit_that_is_not_spelled_leaves_the_others_alone():
+    text = "one ▁two three four"
+    by_unit = dict(zip(KNOWN.units(text), KNOWN.align(KNOWN.units(text))))
+    assert [np.frombuffer(by_unit[u], "<i4")[2] < 0 for u in by_unit] == ["▁" in u for u in by_unit]
+    assert groups_of([" one", " three", " four"]) == whole_groups("one three four")
+
+
+def test_both_encoders_of_a_agree():
+    slow = alignment.Aligner._encoder(A, {"merges": [["x", "y"]], "vocab": {}}, {})
+    for text in ("The cat", " don't  <|endoftext|>\n\n été 中文 🙂", " 1234567 x" * 50):
+        assert KNOWN.encode_a(text) == slow(text)
 
 
 def digests(found):

@@ -18,9 +18,10 @@ chunks, which sum them over their documents.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from truegauge.llm.lm import expand, squeeze
 from truegauge.llm.shared import stored
 
 CHUNK = 8_000_000
-#: A worker remembers about so many units of at most this many characters.
-UNITS, UNIT_CHARS = 300_000, 40
+#: A worker remembers about so many units of at most this many characters, and encodes so
+#: many new ones at a time.
+UNITS, UNIT_CHARS, BATCH = 500_000, 40, 20_000
 #: A pair of ids as one number: A's above these bits, B's below.
 LOW = 32
 
@@ -48,64 +50,112 @@ def visible_bytes() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of A and of B each group has: both lists are cut where both end."""
-    a_at = {end: i for i, end in enumerate(a_ends, 1)}
-    b_at = {end: i for i, end in enumerate(b_ends, 1)}
-    a_cuts, b_cuts = [0], [0]
-    for end in sorted(a_at.keys() & b_at.keys()):
-        a_cuts.append(a_at[end])
-        b_cuts.append(b_at[end])
-    return [y - x for x, y in zip(a_cuts, a_cuts[1:])], [y - x for x, y in zip(b_cuts, b_cuts[1:])]
+def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ends that A and B share, in order, and how many tokens of each end up to there."""
+    a_at, b_at = dict(zip(a_ends, itertools.count(1))), dict(zip(b_ends, itertools.count(1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return np.array(common, np.int64), *(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (a_at, b_at))
 
 
 class Aligner(dict):
     """Unit -> [A tokens, B tokens, groups, A ids, B ids, A's group sizes, B's] as int32 bytes.
 
-    The third number is -1 for a unit whose tokens do not spell it.
+    The third number is -1 for a unit whose tokens do not spell it. Units that are not
+    known are encoded as one text, in which they are units too.
     """
 
     def __init__(self, a_path: str, b_path: str) -> None:
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_path)
-        byte = visible_bytes()
         with open(a_path, encoding="utf-8") as file:
             entries = json.load(file)
-        names = {i: t for t, i in entries["model"]["vocab"].items()} | {t["id"]: t["content"] for t in entries["added_tokens"]}
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for i, t in names.items()}
+        byte = visible_bytes()
+        vocabulary = {i: bytes(byte[c] for c in t) for t, i in entries["model"]["vocab"].items() if all(c in byte for c in t)}
+        special = {t["id"]: t["content"].encode() for t in entries["added_tokens"]}
+        self.encode_a = self._encoder(a_path, entries["model"], {i: t for i, t in vocabulary.items() if i not in special})
+        a_bytes = vocabulary | special
+        self.a_bytes = [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         # A line end starts a unit only if no piece holds one, a blank if none has one inside.
         starts = " " * all("▁" not in p.lstrip("▁") for p in pieces) + "\n" * all("\n" not in p for p in pieces)
         self.cut = re.compile(rf"(?<=\S)(?=[{starts}]\S)") if starts else None
 
+    @staticmethod
+    def _encoder(path: str, model: dict, vocabulary: dict[int, bytes]) -> Callable[[str], list[int]]:
+        """Text to ids of A, special strings as plain text.
+
+        Where every merge makes the next id, ids are ranks, and the encoder made for
+        ranks gives the same ids several times as fast.
+        """
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if all(model["vocab"].get(x + y) == 256 + i for i, (x, y) in enumerate(pairs)):
+            import public_tokenizers
+            import tiktoken
+
+            ranks = {t: i for i, t in vocabulary.items()}
+            return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        return lambda text: whole.encode(text, add_special_tokens=False).ids
+
     def units(self, text: str) -> list[str]:
         """The units of a blank and ``text``."""
         whole = " " + text
         return self.cut.split(whole) if self.cut else [whole]
 
-    def groups(self, unit: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
-        a = self.a.encode(unit, add_special_tokens=False).ids
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B; None if either does not spell the text."""
+        a = self.encode_a(text)
         # B puts a blank before what it encodes. Behind it a line end is a token of its own.
-        b = self.b.encode(unit[1:]) if unit[0] == " " else self.b.encode(unit)[1:]
-        a_parts, b_parts, body = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], unit.encode()
-        if b"".join(a_parts) != body or b"".join(b_parts) != body:
-            return None
-        ends = [np.cumsum(list(map(len, x))).tolist() for x in (a_parts, b_parts)]
-        return a, b, *common_ends(*ends)
-
-    def __missing__(self, unit: str) -> bytes:
-        found = self.groups(unit)
-        packed = np.array([0, 0, -1] if found is None else [len(found[0]), len(found[1]), len(found[2]), *(x for part in found for x in part)], "<i4").tobytes()
-        if len(unit) <= UNIT_CHARS:
-            if len(self) >= UNITS:
-                self.clear()
-            self[unit] = packed
-        return packed
+        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        body = text.encode()
+        for ids, names in ((a, self.a_bytes), (b, self.b_bytes)):
+            if b"".join(map(names.__getitem__, ids)) != body:
+                return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def align(self, units: list[str]) -> list[bytes]:
+        """Records of units that follow one another in a text."""
+        found = self.encode("".join(units))
+        if found is None:
+            if len(units) == 1:
+                return [np.array([0, 0, -1], "<i4").tobytes()]
+            half = len(units) // 2
+            return self.align(units[:half]) + self.align(units[half:])
+        a, b = found
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        common, a_cuts, b_cuts = common_ends(a_ends.tolist(), b_ends.tolist())
+        ends = np.cumsum([len(u.encode()) for u in units])
+        to_a, to_b, to_group = (np.searchsorted(x, ends, side="right") for x in (a_ends, b_ends, common))
+        n_a, n_b, n = (np.diff(x, prepend=0) for x in (to_a, to_b, to_group))
+        size = 3 + n_a + n_b + 2 * n
+        at = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), "<i4")
+        flat[at], flat[at + 1], flat[at + 2] = n_a, n_b, n
+        flat[_ranges(at + 3, n_a)], flat[_ranges(at + 3 + n_a, n_b)] = a, b
+        flat[_ranges(at + 3 + n_a + n_b, n)] = np.diff(a_cuts, prepend=0)
+        flat[_ranges(at + 3 + n_a + n_b + n, n)] = np.diff(b_cuts, prepend=0)
+        body, cuts = flat.tobytes(), (4 * at).tolist()
+        return [body[x:y] for x, y in zip(cuts, [*cuts[1:], len(body)])]
+
+    def records(self, units: list[str]) -> list[bytes]:
+        """The records of distinct units."""
+        found = list(map(self.get, units))
+        missing = [i for i, r in enumerate(found) if r is None]
+        for first in range(0, len(missing), BATCH):
+            part = missing[first : first + BATCH]
+            for i, record in zip(part, self.align([units[i] for i in part])):
+                found[i] = record
+                if len(units[i]) <= UNIT_CHARS:
+                    self[units[i]] = record
+        if len(self) > UNITS:
+            self.clear()
+        return found
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -194,24 +244,20 @@ def chunked(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, chun
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, key_type = aligner(a_path, b_path), pa.null()
-        keys, numbers, number, records, chars = [], [], {}, [], 0
+        keys, numbers, number, chars = [], [], {}, 0
         for batch in batches:
             key_type = batch.column(0).type
             for k, value in zip(batch.column(0), batch.column(1)):
-                body, mine = value.as_py() or "", []
-                for unit in known.units(body) if body else ():
-                    n = number.setdefault(unit, len(number))
-                    if n == len(records):
-                        records.append(known[unit])
-                    mine.append(n)
+                body = value.as_py() or ""
+                mine = [number.setdefault(unit, len(number)) for unit in known.units(body)] if body else []
                 keys.append(k.as_py())
                 numbers.append(np.array(mine, np.int32))
                 chars += len(body)
                 if chars >= chunk:
-                    yield pack(keys, numbers, records, key_type)
-                    keys, numbers, number, records, chars = [], [], {}, [], 0
+                    yield pack(keys, numbers, known.records(list(number)), key_type)
+                    keys, numbers, number, chars = [], [], {}, 0
         if keys:
-            yield pack(keys, numbers, records, key_type)
+            yield pack(keys, numbers, known.records(list(number)), key_type)
 
     rows = docs.select(F.col(key), F.col(text)).mapInArrow(gather, schema)
     return stored(rows.withColumn("chunk", F.monotonically_increasing_id()), "aligned")
