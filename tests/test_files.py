@@ -121,6 +121,42 @@ def test_json_documents_of_all_kinds_in_one_folder(spark, tmp_path):
     assert sorted(r["id"] for r in read_dataset(spark, str(folder)).collect()) == list(range(1, 8))
 
 
+def test_json_values_of_differing_types_are_kept(spark, tmp_path):
+    texts = ['{"a": 1, "b": {"c": 2.5, "d": null}, "e": [1, "x"]}', '[{"a": "s", "b": {"c": 3}}, null, {"a": {"z": [1]}, "w \\"q": true}]', '{"data": [{"a": null, "b": 7}]}']
+    df = read_json(spark, put(tmp_path, "mixed.json", "\n".join(texts)))
+    # One record has a scalar where others have an object: the whole cell is text.
+    assert sorted(df.columns) == ["a", "b", "e", 'w "q'] and df.count() == 4
+    assert sorted(str(r["a"]) for r in df.collect()) == ["1", "None", "s", '{"z":[1]}']
+    assert {r["b"] for r in df.collect()} == {'{"c":2.5,"d":null}', '{"c":3}', "7", None}
+    assert [r["e"] for r in df.where("e is not null").collect()] == [["1", "x"]]
+    assert dict(df.dtypes)['w "q'] == "boolean"
+
+
+def test_json_scalars_in_a_list_are_no_records(spark, tmp_path):
+    for text in ("[1, 2]", '["a", {"b": 1}]'):
+        with pytest.raises(InvalidInput, match="array of objects"):
+            read_json(spark, put(tmp_path, "scalars.json", text))
+
+
+def test_json_schema_given_and_torn_files_over_splits(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        folder = tmp_path / "torn.json"
+        folder.mkdir()
+        put(folder, "a.json", json.dumps([{"id": n, "v": {"x": n / 2}} for n in range(200)], indent=1))
+        put(folder, "b.json", "".join(json.dumps({"id": 200 + n}) + "\n" for n in range(200)))
+        df = read_json(spark, str(folder))
+        assert dict(df.dtypes) == {"id": "bigint", "v.x": "double"}
+        assert sorted(r["id"] for r in df.collect()) == list(range(400))
+        schema = spark.createDataFrame([], "id string, v struct<x: double, y: string>").schema
+        typed = read_json(spark, str(folder), schema=schema)
+        assert typed.columns == ["id", "v.x", "v.y"] and typed.where("id = '7' and `v.x` = 3.5 and `v.y` is null").count() == 1
+        assert read_json(spark, str(folder / "b.json"), lines=True).count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_empty_surplus_field_and_stray_quote(spark, tmp_path):
     path = put(tmp_path, "x.csv", 'a,b\n1,2\n3,4,\n5,"x, ""y"""\n6\n7,5" pipe\n8,9,10\n')
     assert sorted(map(tuple, read_csv(spark, path).collect())) == [(1, "2"), (5, 'x, "y"'), (6, None), (7, '5" pipe')]

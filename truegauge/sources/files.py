@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from truegauge.operators.checks import quoted
-from truegauge.session import scratch_dir
+from truegauge.sources import csv_records, json_records
 
 # Fixed values of the readers.
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_CHARS = 4096
-WRAPPER_KEYS = ["data", "records", "results", "items"]
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -30,6 +29,7 @@ EMPTY_FILE = "The uploaded file is completely empty."
 NO_COLUMNS = "The CSV file has no columns or data."
 NO_RECORDS = "The uploaded JSON file is empty or contains no records."
 NOT_RECORDS = "JSON must contain an array of objects."
+BROKEN_JSON = "Invalid JSON format: the text cannot be parsed as JSON objects"
 NOT_TABULAR = "The JSON file has no parsable tabular structure."
 
 PROFILE_SCHEMA = (
@@ -140,8 +140,15 @@ def _text_rows(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFram
         unique.append(candidate)
     positions = [f"c{n}" for n in range(len(unique))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*positions, OVERFLOW, CORRUPT)])
-    marked = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
-    rows = marked.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    if layout.multi_line:
+        # Read by lines, so that one file is many tasks; records are put together first.
+        found = csv_records.records(spark, path, layout.delimiter, layout.encoding).where(~F.col("first"))
+        options = {"sep": layout.delimiter, "quote": '"', "escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": CORRUPT}
+        ddl = ", ".join(f"{f.name} STRING" for f in schema.fields)
+        rows = found.select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+    else:
+        marked = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+        rows = marked.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
     # A doubled quote ends one quoted part and starts the next. An alternation here would
     # recurse once per character and overflow the stack on a long field.
     outside = F.regexp_replace(F.col(CORRUPT), r'"[^"]*"', "")
@@ -245,60 +252,29 @@ def read_json(
     parallel; ``lines=True`` says so and skips the check. Any other file is one document,
     which cannot be split. What a document holds is decided for each on its own, so all
     kinds may be mixed in one folder: of an object the first wrapper key that holds a
-    list gives the records, and an object without one is a record itself.
+    list gives the records, and an object without one is a record itself. One pass finds
+    the columns; a key whose values differ in type between records is text.
     """
-    documents, single = _documents(spark, path, lines)
-    value = F.regexp_replace("value", r"^\s+", "")
-    wrapped = F.coalesce(
-        *[F.when(w.startswith("["), w) for w in (F.get_json_object(value, f"$.{k}") for k in WRAPPER_KEYS)]
-    )
-    listed = F.when(value.startswith("["), value).otherwise(wrapped)
-    parsed = documents.select(value.alias("value"), listed.alias("listed"))
-    seen = parsed.agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.count_if(F.get_json_object("value", "$").isNull() | ~F.col("value").rlike(r"^[\[{]")).alias("broken"),
-        F.count("listed").alias("lists"),
-    ).first()
+    rows = json_records.records(json_records.documents(spark, path, lines))
+    seen = rows.agg(*json_records.facts()).first()
+    problem = _json_problem(seen)
+    if problem:
+        raise InvalidInput(problem)
+    kind = schema if schema is not None else json_records.shape_type(spark, seen["shape"])
+    return json_records.columns(rows, kind)
+
+
+def _json_problem(seen) -> str | None:
+    """Why the records with these facts are no table."""
     if not seen["documents"]:
-        raise InvalidInput(EMPTY_FILE)
+        return EMPTY_FILE
     if seen["broken"]:
-        raise InvalidInput("Invalid JSON format: the text cannot be parsed as JSON objects")
-    source = path
-    if seen["lists"] or single:
-        # Records as lines: splittable from here on, whatever they came in.
-        items = F.when(F.col("listed").isNull(), F.array("value")).otherwise(F.from_json("listed", "array<string>"))
-        source = f"{scratch_dir(spark, 'records')}"
-        parsed.select(F.explode(items).alias("value")).where("value is not null").write.text(source)
-    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
-    if spark.read.text(source).isEmpty():
-        raise InvalidInput(NO_RECORDS)
-    df = reader.schema(schema).json(source) if schema is not None else reader.json(source)
-    if CORRUPT in df.columns:
-        raise InvalidInput(NOT_RECORDS)
-    if not df.columns:
-        raise InvalidInput(NOT_TABULAR)
-    return _trimmed(flatten(df))
-
-
-def _documents(spark: SparkSession, path: str, lines: bool | None) -> tuple[DataFrame, bool]:
-    """JSON documents as text, and whether some of them are whole files."""
-    text = _lines(spark, path).where(F.trim("value") != "")
-    if lines:
-        return text, False
-    by_file = text.select("value", F.col("_metadata.file_path").alias("file")).groupBy("file")
-    torn = by_file.agg(F.count_if(F.get_json_object("value", "$").isNull()).alias("torn")).where("torn > 0")
-    files = [r["file"] for r in torn.collect()]
-    if not files and lines is None:
-        return text, False
-    whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
-    if lines is False:
-        return whole, True
-    single = F.col("_metadata.file_path").isin(files)
-    return text.where(~single).select("value").union(whole.where(single).select("value")), True
-
-
-def _trimmed(df: DataFrame) -> DataFrame:
-    return df.select(*[quoted(c).alias(c.strip()) for c in df.columns])
+        return BROKEN_JSON
+    if not seen["records"]:
+        return NO_RECORDS
+    if not seen["shape"].startswith("OBJECT<"):
+        return NOT_RECORDS
+    return NOT_TABULAR if seen["shape"] == "OBJECT<>" else None
 
 
 def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
