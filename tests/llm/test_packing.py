@@ -16,11 +16,10 @@ WORDS = packing.WordIds(PATH)
 def plain_ids(text):
     whole = Tokenizer.from_file(PATH) if not hasattr(plain_ids, "t") else plain_ids.t
     plain_ids.t = whole
-    whole.encode_special_tokens = True
     return whole.encode(text or "", add_special_tokens=False).ids
 
 
-PARTS = st.sampled_from(["the", "Été", "don't", "it's,", "H̱", "é", "́", "İ", "ΣΑΣ", "ß.", "1a.", "...", "a-b", "\x1c", "\x85", " ", "x1,000", "ñ!!", "'s", "<|endoftext|>", "中文", "🙂", "ª", "­"])
+PARTS = st.sampled_from(["the", "Été", "don't", "it's,", "H̱", "é", "́", "İ", "ΣΑΣ", "ß.", "1a.", "...", "a-b", "\x1c", "\x85", " ", "x1,000", "ñ!!", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "中文", "🙂", "ª", "­"])
 
 
 @settings(max_examples=300, deadline=None)
@@ -89,3 +88,25 @@ def test_odd_rows(spark):
     assert all(len(w) == r["length"] and zlib.crc32(w.tobytes()) == r["ids_crc32"] for w, r in zip(wide, rows))
     assert check_whole(rows, 4096) == 3
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_special_strings_are_their_tokens():
+    assert np.frombuffer(WORDS.of("a <|endoftext|> b <|startoftext|>c"), "<u4").tolist() == [320, 49407, 321, 49406, 322]
+
+
+def test_order_of_files_with_other_names_and_of_two_writes(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 30) for i in range(42)], "doc_id long, text string")
+    whole = f"{tmp_path}/whole.parquet"
+    docs.coalesce(1).write.parquet(whole)
+    # A single file of another name, as other writers leave it.
+    import shutil
+    from glob import glob
+
+    other = shutil.copy(glob(f"{whole}/part-*.parquet")[0], f"{tmp_path}/documents.parquet")
+    twice = f"{tmp_path}/twice.parquet"
+    docs.where("doc_id < 20").repartition(2).write.parquet(twice)
+    docs.where("doc_id >= 20").repartition(2).write.mode("append").parquet(twice)
+    for path in (other, twice):
+        rows = [r.asDict() for r in packing.pack_in_order(spark.read.parquet(path), PATH).collect()]
+        assert sorted(r["doc_id"] for r in rows) == list(range(42))
+        check_whole(rows, 4096)

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -47,14 +48,19 @@ class WordIds(dict):
     The tokenizer lower-cases, never joins anything across ASCII white space and always
     parts punctuation from letters. So a text's ids are those of its words in turn, and
     a word met before needs no second encoding. Letter words skip the tokenizer's
-    normaliser, which has nothing to do there.
+    normaliser, which has nothing to do there. Strings of special tokens are taken out of
+    a text first, as the tokenizer does.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Only as they are written; "<|ENDOFTEXT|>" in lower case is still ordinary text.
         self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {text: np.array([i], "<u4").tobytes() for text, i in added.items()}
+        self.any_special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.merge = self.tokenizer.model.tokenize
 
     def encode(self, word: bytes) -> bytes:
@@ -84,6 +90,12 @@ class WordIds(dict):
     def of(self, text: str | None) -> bytes:
         if len(self) > WORDS:
             self.clear()
+        if text and self.any_special and self.any_special.search(text):
+            parts = self.any_special.split(text)
+            return b"".join(self.special[part] if n % 2 else self.plain(part) for n, part in enumerate(parts))
+        return self.plain(text)
+
+    def plain(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
@@ -221,22 +233,23 @@ def pack_in_order(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     and of the rows inside. Sequences made within a group hold neighbouring documents.
     """
     file = docs.metadataColumn("_metadata")
-    # part-<task>-<job>.c<file of the task>; readers take files by size, not by name.
-    number = [F.regexp_extract(file["file_name"], p, 1).cast("long") for p in (r"^part-(\d+)", r"[-.]c(\d+)\.")]
-    where = F.struct(number[0].alias("part"), F.coalesce(number[1], F.lit(0)).alias("file"), file["row_index"].alias("row"))
+    # part-<task>-<job>.c<file of the task>; readers take files by size, not by name. Files
+    # of other names, and of several writes, come in the order of their names.
+    part, nth = (F.coalesce(F.regexp_extract(file["file_name"], p, 1).try_cast("long"), F.lit(0)) for p in (r"^part-(\d+)", r"[-.]c(\d+)\."))
+    where = F.struct(part.alias("part"), nth.alias("nth"), file["file_path"].alias("file"), file["row_index"].alias("row"))
     marked = docs.select(F.struct(F.col(key).alias("key"), where.alias("where")).alias("marked"), F.col(text).alias("text"))
     cut = stored(pieces(marked, tokenizer, "marked", "text", capacity, end_id, with_ids), "pieces")
 
     at = cut.select("marked.where.*", "piece", "length")
-    sizes = at.groupBy("part", "file").agg(F.count(F.lit(1)).alias("n"))
+    sizes = at.groupBy("part", "nth", "file").agg(F.count(F.lit(1)).alias("n"))
     # One row per written file.
-    earlier = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("part", "file").orderBy("row", "piece"))
-    numbered = at.withColumn("id", inside - 1).join(starts, ["part", "file"])
-    numbered = stored(numbered.select("part", "file", "row", "piece", "length", (F.col("id") + F.col("first")).alias("id")), "piece-order")
+    earlier = Window.orderBy("part", "nth", "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("row", "piece"))
+    numbered = at.withColumn("id", inside - 1).join(starts, "file")
+    numbered = stored(numbered.select("file", "row", "piece", "length", (F.col("id") + F.col("first")).alias("id")), "piece-order")
     placed = place(numbered.select("id", F.col("length").alias("size")), capacity, ordered=True, **{"group": ORDERED_GROUP, **tree})
     places = numbered.drop("length").join(placed, "id").drop("id").withColumnRenamed("piece", "number")
-    same = [F.col(f"marked.where.{c}") == F.col(c) for c in ("part", "file", "row")]
+    same = [F.col(f"marked.where.{c}") == F.col(c) for c in ("file", "row")]
     joined = cut.join(places, [*same, F.col("piece") == F.col("number")])
     return joined.select(F.col("marked.key").alias(key), *[c for c in cut.columns if c != "marked"], "sequence_id", "offset")

@@ -37,9 +37,10 @@ SETTING_PATHS = r"conf|\.env|secret|deploy|setting"
 
 _OPEN, _CLOSE = "\x01", "\x02"
 _RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])([A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}})"
-# Name and sign of an assignment, then the value: in double or single quotes, or bare.
+# Name and sign of an assignment, then the value: in double or single quotes, or else (also
+# behind a quote that is not closed on its line) up to the next blank.
 _NAMED = r"(?:token|secret|password|passwd|pwd|credentials?|bearer|api_?key|(?<![a-z])(?:key|auth|api)|(?-i:(?<=[a-z])Key))"
-_ASSIGNED = rf"(?i)({_NAMED}[\"']?\s{{0,4}}(?:=>|:=|[:=]{{1,2}})\s{{0,4}})(?:(\")([^\"\r\n]+)|(')([^'\r\n]+)|([^\s\"']*[^\s\"',;.)\]}}]))"
+_ASSIGNED = rf"(?i)({_NAMED}[\"']?\s{{0,4}}(?:=>|:=|[:=]{{1,2}})\s{{0,4}})(?:(\")([^\"\r\n]+)(?=\")|(')([^'\r\n]+)(?=')|([\"']?)([^\s\"']*[^\s\"',;.)\]}}]))"
 # Keys that their first characters give away.
 _PREFIXED = (
     r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}"
@@ -77,7 +78,7 @@ def candidates(docs: DataFrame, known: list[str], key: str = "doc_id", text: str
     """
     # Marks around each candidate; the text's own such characters become blanks.
     clean = F.translate(F.col(text), _OPEN + _CLOSE, "  ")
-    assigned = F.regexp_replace(clean, _ASSIGNED, f"$1$2$4{_OPEN}$3$5$6{_CLOSE}")
+    assigned = F.regexp_replace(clean, _ASSIGNED, f"$1$2$4$6{_OPEN}$3$5$7{_CLOSE}")
     # What is marked is passed over; the empty marks behind it go again.
     others = F.regexp_replace(assigned, f"({_OPEN}[^{_CLOSE}]*{_CLOSE})|{_PREFIXED}|{_RUN}", f"$1{_OPEN}$2$3{_CLOSE}")
     parts = F.split(F.replace(others, F.lit(_OPEN + _CLOSE), F.lit("")), _OPEN)
@@ -146,9 +147,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
     return PipelineModel([assembler, forest.fit(assembler.transform(rows))])
 
 
-def score(found: DataFrame, model: PipelineModel | None) -> DataFrame:
+def score(found: DataFrame, model: PipelineModel | None, *more: str) -> DataFrame:
     """Key, row, start, length, candidate and the forest's ``score``; 0 without a model."""
-    kept = ("key", "row", "start", F.col("size").alias("length"), "candidate")
+    kept = ("key", "row", "start", F.col("size").alias("length"), "candidate", *more)
     if model is None:
         return found.select(*kept, F.lit(0.0).alias("score"))
     return model.transform(found).select(*kept, vector_to_array("probability")[1].alias("score"))
@@ -157,33 +158,40 @@ def score(found: DataFrame, model: PipelineModel | None) -> DataFrame:
 def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The candidates that the forest takes for secrets, with key, row, start and length.
 
-    ``labelled`` has the columns of :func:`candidates` and ``label``; without it the
-    rules label what they are sure of, the sure secrets are found and the forest decides
-    on the others. Repeated rows give repeated findings. If either class has no labelled
-    finding there is no model; then only keys of a known prefix are found, with score 0.
+    The forest decides on every candidate, except that known prefixes need no vote.
+    ``labelled`` has the columns of :func:`candidates` and ``label``; without it the rules
+    label what they are sure of, for training only: what they take for a secret is
+    dropped if the forest disagrees. Repeated rows give repeated findings. If either class
+    has no labelled finding there is no model; then only keys of a known prefix are found,
+    with score 0.
     """
     found = stored(candidates(docs, dictionary(docs, text), key, text, path), "candidates")
-    if labelled is not None:
-        return score(found, train(labelled)).where(F.col("score") >= threshold)
-    ruled = label_by_rules(found)
-    model = train(ruled)
-    # What the rules are sure of needs no vote: few short values are in the forest's sample.
-    sure = (F.col("label") == 1) if model else (F.col("known_prefix") > 0)
-    certain = ruled.where(F.coalesce(sure, F.lit(False)))
-    rest = ruled.where(~F.coalesce(sure, F.lit(False)))
-    return score(certain, model).union(score(rest, model).where(F.col("score") >= threshold))
+    model = train(label_by_rules(found) if labelled is None else labelled)
+    return score(found, model, "known_prefix").where((F.col("known_prefix") > 0) | (F.col("score") >= threshold)).drop("known_prefix")
 
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced; all rows and columns stay."""
+    """``docs`` with every secret in ``text`` replaced; all rows and columns stay.
+
+    A secret is cut out where it was found, by its offset; the same characters elsewhere
+    in the text, and all others, stay as they are.
+    """
     text_hash, found = fresh(docs, "_hash"), fresh(docs, "_found")
-    # What is replaced depends on the text alone, so its hash joins the findings back; a
-    # text that shares another's hash does not hold the other's secrets.
+    # What is replaced depends on the text alone, so its hash joins the findings back.
     hashed = docs.withColumn(text_hash, F.xxhash64(text))
     secrets = findings(hashed, text_hash, text, path, labelled)
-    # Longest first, so that no secret is cut by a shorter one inside it.
-    per_text = secrets.groupBy(F.col("key").alias(text_hash)).agg(F.sort_array(F.collect_set(F.struct(F.length("candidate").alias("n"), "candidate")), asc=False).alias(found))
-    without = F.aggregate(F.col(found), F.col(text), lambda t, s: F.replace(t, s["candidate"], F.lit(REPLACEMENT)))
+    span = F.struct("start", "length", F.xxhash64("candidate").alias("of"))
+    per_text = secrets.groupBy(F.col("key").alias(text_hash)).agg(F.sort_array(F.collect_set(span)).alias(found))
+
+    def cut(done, s):
+        # Another text of this hash has other characters there and keeps them.
+        same = F.xxhash64(F.substring(F.col(text), s["start"] + 1, s["length"])) == s["of"]
+        out = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, s["start"] - done["at"]), F.lit(REPLACEMENT))
+        return F.when(same, F.struct((s["start"] + s["length"]).alias("at"), out.alias("out"))).otherwise(done)
+
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    spans = F.transform(F.col(found), lambda s: F.struct(s["start"].cast("long").alias("start"), s["length"].cast("long").alias("length"), s["of"].alias("of")))
+    without = F.aggregate(spans, begin, cut, lambda done: F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(text))))
     cleaned = F.when(F.col(found).isNull(), F.col(text)).otherwise(without)
     joined = hashed.join(per_text, text_hash, "left")
     return joined.select(*[cleaned.alias(c) if c.lower() == text.lower() else F.col(c) for c in docs.columns])
