@@ -1,6 +1,7 @@
 """Star schema, loading, integrity, pipeline and state: golden and re-run cases."""
 
 import glob
+import uuid
 from datetime import date, datetime, timedelta, timezone
 
 import pytest
@@ -247,6 +248,107 @@ def test_pipeline_runs(spark, tmp_path):
     assert [(r["mode"], r["status"], r["records_loaded"]) for r in log] == [("full", "success", 3), ("incremental", "success", 1)]
 
 
+def scans(folder):
+    return len(glob.glob(f"{folder}/*"))
+
+
+def watched(df, folder):
+    """``df`` from a source that leaves a file behind each time it is read."""
+    folder.mkdir(exist_ok=True)
+
+    def read(batches):
+        (folder / uuid.uuid4().hex).touch()
+        yield from batches
+
+    return df.coalesce(1).mapInArrow(read, df.schema)
+
+
+def test_a_run_reads_the_source_once(spark, tmp_path):
+    h, root = history(spark), str(tmp_path / "run")
+    for n, mode in enumerate(("full", "incremental")):
+        marks = tmp_path / mode
+        more = history(spark, [(4, 1, 1, True, 0, 10, T0 + timedelta(days=4))]) if n else h
+        results = watched(more.check_results, marks)
+        run = pipeline.run(spark, History(results, more.rules, more.datasets), root, mode=mode)
+        assert run.success and run.validation_passed and run.summary.fact_quality_checks == (1 if n else 3)
+        assert scans(marks) == 1
+    kept = state.load_state(spark, f"{root}/_state")
+    assert (kept.source_rows, kept.rows_at_mark) == (4, 1) and run.findings == []
+
+
+def test_watermark_ahead_of_the_source_means_a_full_run(spark, tmp_path):
+    root = str(tmp_path / "run")
+    state.save_state(spark, f"{root}/_state", state.State(datetime(2099, 1, 1, tzinfo=timezone.utc), "x", "x"))
+    run = pipeline.run(spark, history(spark), root, mode="incremental")
+    assert (run.records_extracted, run.summary.fact_quality_checks) == (3, 3)
+    assert state.load_state(spark, f"{root}/_state").high_watermark == (T0 + timedelta(days=3)).replace(tzinfo=timezone.utc)
+
+
+def test_source_rows_without_a_rule_count_but_do_not_load(spark, tmp_path):
+    stray = history(spark, [(4, 1, 99, True, 0, 10, T0 + timedelta(days=2))])
+    run = pipeline.run(spark, stray, str(tmp_path / "run"))
+    assert run.records_extracted == 3 and [f["check"] for f in run.findings] == ["ROW_COUNT"]
+    assert "Source: 4, Target: 3" in run.findings[0]["message"]
+
+
+def test_validation_of_increments_equals_the_full_one(spark, tmp_path):
+    store = StarStore(spark, str(tmp_path / "star"))
+    batch = star.transform(extract.base_extract(history(spark))).star
+    days = sorted(r.date_key for r in batch.facts.select("date_key").distinct().collect())
+    known = batch.dim_rules.where("id <> 3")
+    for n, day in enumerate(days):
+        part = batch.facts.where(F.col("date_key") == day)
+        # A repeated fact and a score out of range come with the first day.
+        part = part.unionByName(part.withColumn("id", F.col("id") + 100).withColumn("score", F.lit(150.0))) if n == 0 else part
+        summary = store.load(Star(batch.dim_datasets, known, batch.dim_date, part))
+        store.append_facts(part.where("score > 100"))
+        got = store.refresh_validation(summary.days).first()
+        want = integrity.totals(integrity.day_figures(store.star())).first()
+        assert got == want
+    # The missing rule arrives with a batch of another day: its orphans are gone.
+    assert got.orphan_rules > 0
+    summary = store.load(Star(batch.dim_datasets, batch.dim_rules, batch.dim_date, batch.facts.where(F.col("date_key") == days[0])))
+    got = store.refresh_validation(summary.days).first()
+    assert got.orphan_rules == 0 and got == integrity.totals(integrity.day_figures(store.star())).first()
+    assert got.duplicate_groups >= 1 and got.invalid_scores >= 1
+
+
+def test_validation_reads_only_the_given_days(spark, tmp_path):
+    store = StarStore(spark, str(tmp_path / "star"))
+    batch = star.transform(extract.base_extract(history(spark))).star
+    summary = store.load(batch)
+    store.refresh_validation(summary.days)
+    before = {r.date_key: r.asDict() for r in store.read("validation_by_day").collect()}
+    files = set(glob.glob(store.path("validation_by_day") + "/date_key=*/*.parquet"))
+    store.refresh_validation(summary.days[:1])
+    after = {r.date_key: r.asDict() for r in store.read("validation_by_day").collect()}
+    changed = files ^ set(glob.glob(store.path("validation_by_day") + "/date_key=*/*.parquet"))
+    assert before == after and {f.split("date_key=")[1].split("/")[0] for f in changed} == {str(summary.days[0])}
+
+
+def test_upsert_without_changes_writes_nothing(spark, tmp_path):
+    store = StarStore(spark, str(tmp_path / "star"))
+    rules = spark.range(500).select("id", F.concat(F.lit("r"), "id").alias("name"), F.lit(None).cast("string").alias("note"))
+    store.replace("dim_rules", rules)
+
+    def files():
+        return set(glob.glob(store.path("dim_rules") + "/**/*.parquet", recursive=True))
+
+    before = files()
+    store._upsert("dim_rules", rules)
+    assert files() == before
+    one = rules.where("id = 7").withColumn("note", F.lit("new"))
+    store._upsert("dim_rules", one.unionByName(spark.createDataFrame([(1000, "r1000", None)], rules.schema)))
+    # Two rows changed: at most two buckets were written.
+    assert 1 <= len(files() - before) <= 2
+    rows = {r.id: r.note for r in store.read("dim_rules").collect()}
+    assert len(rows) == 501 and rows[7] == "new" and rows[8] is None
+    store.replace("dim_rules", rules.where("id < 0"))
+    assert store.read("dim_rules").count() == 0 and store.read("dim_rules").columns == rules.columns
+    store._upsert("dim_rules", one)
+    assert [tuple(r) for r in store.read("dim_rules").collect()] == [(7, "r7", "new")]
+
+
 def test_pipeline_failure_keeps_watermark(spark, tmp_path):
     root = str(tmp_path / "bad")
     broken = history(spark, [(4, 1, 1, True, -50, 10, T0 + timedelta(days=4))])

@@ -28,12 +28,7 @@ def since(results: DataFrame, mode: str, last_run: datetime | str | None) -> Dat
     return results.where(F.col("checked_at") >= bound)
 
 
-def base_extract(history: History) -> DataFrame:
-    """Results with rule and dataset attributes; results of unknown rules or datasets drop out.
-
-    No join hint: the planner broadcasts a dimension only when its measured size
-    allows, and otherwise sort-merge joins with skewed partitions split.
-    """
+def _dimensions(history: History) -> tuple[DataFrame, DataFrame]:
     rules = history.rules.select(
         F.col("id").alias("rule_id"),
         F.col("name").alias("rule_name"),
@@ -52,10 +47,33 @@ def base_extract(history: History) -> DataFrame:
         "uploaded_at",
         F.col("status").alias("dataset_status"),
     )
-    results = history.check_results.select(
-        "id", "dataset_id", "rule_id", "passed", "failed_rows", "total_rows", "checked_at"
-    )
-    return results.join(rules, "rule_id").join(datasets, "dataset_id")
+    return rules, datasets
+
+
+RESULT_COLUMNS = ["id", "dataset_id", "rule_id", "passed", "failed_rows", "total_rows", "checked_at"]
+
+
+def base_extract(history: History) -> DataFrame:
+    """Results with rule and dataset attributes; results of unknown rules or datasets drop out.
+
+    No join hint: the planner broadcasts a dimension only when its measured size
+    allows, and otherwise sort-merge joins with skewed partitions split.
+    """
+    rules, datasets = _dimensions(history)
+    return history.check_results.select(*RESULT_COLUMNS).join(rules, "rule_id").join(datasets, "dataset_id")
+
+
+def marked_extract(history: History) -> DataFrame:
+    """All results, with the attributes of ``base_extract`` and ``known``: whether it has them.
+
+    A run reads the source once through it: what is known is loaded, and all of it counts
+    as what the source holds.
+    """
+    rules, datasets = _dimensions(history)
+    found = history.check_results.select(*RESULT_COLUMNS)
+    found = found.join(rules.withColumn("_rule", F.lit(True)), "rule_id", "left")
+    found = found.join(datasets.withColumn("_dataset", F.lit(True)), "dataset_id", "left")
+    return found.withColumn("known", F.col("_rule").isNotNull() & F.col("_dataset").isNotNull()).drop("_rule", "_dataset")
 
 
 def build_extract(history: History, mode: str = "full", last_run: datetime | str | None = None) -> DataFrame:
@@ -83,13 +101,13 @@ def extract_with_watermark(
     newest = history.check_results.agg(
         F.unix_micros(F.max(F.col("checked_at").cast("timestamp"))).alias("w")
     ).first()["w"]
-    current = _from_micros(newest)
+    current = from_micros(newest)
     behind = stored is not None and current is not None and stored <= current
     mode = "incremental" if behind else "full"
     return build_extract(history, mode, stored.replace(tzinfo=None) if behind else None), current, mode
 
 
-def _from_micros(micros: int | None) -> datetime | None:
+def from_micros(micros: int | None) -> datetime | None:
     if micros is None:
         return None
     return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)

@@ -37,24 +37,31 @@ def row_counts(source: DataFrame, facts: DataFrame) -> DataFrame:
 def orphans(star: Star) -> DataFrame:
     """Facts without their dataset, rule or date: ``entity, orphans``.
 
-    Facts are counted per foreign key first; the anti join then runs over distinct
-    keys, so it does not matter how many facts one dataset holds.
+    Facts are read once and counted per combination of keys; the dimensions are joined
+    to those, so it does not matter how many facts one dataset holds.
     """
-    parts = [
-        _orphans(star.facts, "dataset_id", star.dim_datasets, "id", "dataset"),
-        _orphans(star.facts, "rule_id", star.dim_rules, "id", "rule"),
-        _orphans(star.facts, "date_key", star.dim_date, "date_key", "date"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def _orphans(facts: DataFrame, key: str, dimension: DataFrame, dim_key: str, entity: str) -> DataFrame:
-    per_key = facts.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        per_key.join(dimension.select(F.col(dim_key).alias("k")), "k", "left_anti")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("orphans"))
-        .select(F.lit(entity).alias("entity"), "orphans")
-    )
+    cells = star.facts.groupBy("date_key", "dataset_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = _with_dimensions(cells, star).agg(*[_orphans_of(key).alias(entity) for entity, key in ENTITIES.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(e).alias("entity"), F.col(e).alias("orphans")) for e in ENTITIES])))
+
+
+ENTITIES = {"dataset": "dataset_id", "rule": "rule_id", "date": "date_key"}
+
+
+def _with_dimensions(cells: DataFrame, star: Star) -> DataFrame:
+    """Cells of facts with a flag for each dimension that knows them."""
+    for dimension, dim_key, key in (
+        (star.dim_datasets, "id", "dataset_id"),
+        (star.dim_rules, "id", "rule_id"),
+        (star.dim_date, "date_key", "date_key"),
+    ):
+        known = dimension.select(F.col(dim_key).alias(key)).distinct().withColumn(f"has_{key}", F.lit(True))
+        cells = cells.join(known, key, "left")
+    return cells
+
+
+def _orphans_of(key: str) -> Column:
+    return F.coalesce(F.sum(F.when(F.col(f"has_{key}").isNull(), F.col("n"))), F.lit(0)).cast("long")
 
 
 def score_range(facts: DataFrame, low: float = MIN_SCORE, high: float = MAX_SCORE) -> DataFrame:
@@ -142,57 +149,63 @@ def high_failure_rules(star: Star, above: float = HIGH_FAILURE_RATE) -> DataFram
     return rule_failure_summary(star).where(F.col("failure_rate") > above)
 
 
-def _finding(counted: DataFrame, n: str, check: str, message: Column, severity: str, details: Column) -> DataFrame:
-    return counted.where(F.col(n) > 0).select(
-        F.lit(check).alias("check"),
-        message.alias("message"),
-        F.lit(severity).alias("severity"),
-        F.to_json(details).alias("details"),
+def day_figures(star: Star, low: float = MIN_SCORE, high: float = MAX_SCORE) -> DataFrame:
+    """What validation counts, per day: ``date_key, facts, invalid_scores, duplicate_groups,
+    orphan_datasets, orphan_rules, orphan_dates``.
+
+    A business key lies within one day, so the figures of days add up. Facts are read and
+    shuffled once; the dimensions are joined to (day, dataset, rule) cells.
+    """
+    outside = (F.col("score") < low) | (F.col("score") > high)
+    per_key = star.facts.groupBy("date_key", *BUSINESS_KEY).agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("bad"))
+    cells = per_key.groupBy("date_key", "dataset_id", "rule_id").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count_if(F.col("n") > 1).alias("repeated")
+    )
+    cells = _with_dimensions(cells, star)
+    return cells.groupBy("date_key").agg(
+        F.sum("n").alias("facts"),
+        F.sum("bad").alias("invalid_scores"),
+        F.sum("repeated").alias("duplicate_groups"),
+        _orphans_of("dataset_id").alias("orphan_datasets"),
+        _orphans_of("rule_id").alias("orphan_rules"),
+        _orphans_of("date_key").alias("orphan_dates"),
     )
 
 
+DAY_FIGURES = ["facts", "invalid_scores", "duplicate_groups", "orphan_datasets", "orphan_rules", "orphan_dates"]
+
+
+def totals(per_day: DataFrame) -> DataFrame:
+    """``day_figures`` added up, in one row; zeros without days."""
+    return per_day.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in DAY_FIGURES])
+
+
+def findings(figures: DataFrame, low: float = MIN_SCORE, high: float = MAX_SCORE) -> DataFrame:
+    """``totals`` with ``source`` as findings: ``check, message, severity, details``."""
+    delta = (F.col("facts") - F.col("source")).alias("delta")
+    target = F.col("facts").alias("target")
+
+    def one(check: str, n: Column, message: Column, severity: str, details: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), message.alias("message"), F.lit(severity).alias("severity"), F.to_json(details).alias("details"), n.alias("n"))
+
+    text = "Source: %d, Target: %d. Delta may indicate multiple ETL runs or deduplication."
+    rows = [one("ROW_COUNT", F.col("facts") - F.col("source"), F.format_string(text, "source", "facts"), "WARNING", F.struct("source", target, delta))]
+    for entity in ("dataset", "rule", "date"):
+        n = F.col(f"orphan_{entity}s")
+        message = F.format_string(f"%d orphaned {entity} references", n)
+        rows.append(one(f"FK_{entity.upper()}", n, message, "ERROR", F.struct(n.alias("count"), F.lit(entity).alias("entity"))))
+    n = F.col("invalid_scores")
+    bounds = F.struct(n.alias("count"), F.lit(low).alias("min_allowed"), F.lit(high).alias("max_allowed"))
+    rows.append(one("INVALID_SCORE", n, F.concat(n, F.lit(f" scores outside [{low}, {high}]")), "ERROR", bounds))
+    n = F.col("duplicate_groups")
+    rows.append(one("DUPLICATE_FACTS", n, F.concat(n, F.lit(" duplicate fact groups detected")), "WARNING", F.struct("duplicate_groups")))
+    return figures.select(F.inline(F.array(*rows))).where("n <> 0").select(*FINDING)
+
+
 def validate(source: DataFrame, star: Star, low: float = MIN_SCORE, high: float = MAX_SCORE) -> DataFrame:
     """One row per finding: ``check, message, severity, details``."""
-    counts = row_counts(source, star.facts).where("delta <> 0")
-    found = counts.select(
-        F.lit("ROW_COUNT").alias("check"),
-        F.format_string(
-            "Source: %d, Target: %d. Delta may indicate multiple ETL runs or deduplication.", "source", "target"
-        ).alias("message"),
-        F.lit("WARNING").alias("severity"),
-        F.to_json(F.struct("source", "target", "delta")).alias("details"),
-    )
-    keys = orphans(star)
-    found = found.unionByName(
-        keys.where("orphans > 0").select(
-            F.concat(F.lit("FK_"), F.upper("entity")).alias("check"),
-            F.format_string("%d orphaned %s references", "orphans", "entity").alias("message"),
-            F.lit("ERROR").alias("severity"),
-            F.to_json(F.struct(F.col("orphans").alias("count"), "entity")).alias("details"),
-        )
-    )
-    found = found.unionByName(
-        _finding(
-            score_range(star.facts, low, high),
-            "invalid_scores",
-            "INVALID_SCORE",
-            F.concat(F.col("invalid_scores"), F.lit(f" scores outside [{low}, {high}]")),
-            "ERROR",
-            F.struct(
-                F.col("invalid_scores").alias("count"), F.lit(low).alias("min_allowed"), F.lit(high).alias("max_allowed")
-            ),
-        )
-    )
-    return found.unionByName(
-        _finding(
-            duplicate_groups(star.facts),
-            "duplicate_groups",
-            "DUPLICATE_FACTS",
-            F.concat(F.col("duplicate_groups"), F.lit(" duplicate fact groups detected")),
-            "WARNING",
-            F.struct("duplicate_groups"),
-        )
-    )
+    figures = totals(day_figures(star, low, high)).crossJoin(_count(source, "source"))
+    return findings(figures, low, high)
 
 
 def verdict(findings: DataFrame) -> DataFrame:

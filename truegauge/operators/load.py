@@ -11,12 +11,13 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from truegauge.functions.keyed import pick_one
 from truegauge.functions.numeric import plain_mean, score_cents
+from truegauge.operators.integrity import day_figures, totals
 from truegauge.operators.star import BUSINESS_KEY, FACT_COLUMNS, Star
 
 
@@ -95,6 +96,16 @@ def daily_aggregate(facts: DataFrame, dim_rules: DataFrame) -> DataFrame:
     )
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` and what will tell its number of rows once it has been written."""
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def rows_of(seen: Observation) -> int:
+    return seen.get.get("n") or 0
+
+
 @dataclass(frozen=True)
 class LoadSummary:
     dim_datasets: int = 0
@@ -103,6 +114,8 @@ class LoadSummary:
     fact_quality_checks: int = 0
     duplicates_removed: int = 0
     skipped: int = 0
+    #: Days whose facts the load has met.
+    days: tuple[int, ...] = ()
 
     @property
     def total_loaded(self) -> int:
@@ -112,13 +125,16 @@ class LoadSummary:
 class StarStore:
     """The star schema as Parquet folders under one root on shared storage.
 
-    The two upserted dimensions are written whole, each time into a folder of its
-    own; a row in ``_versions`` then makes that folder the current one. A job that
-    dies before that row leaves the previous version in force.
+    The two upserted dimensions are cut into ``BUCKETS`` by a hash of the key. An upsert
+    compares rows by hash and writes only buckets with a changed row, each time into a
+    folder of its own; rows in ``_versions`` then make those folders the current ones. A
+    job that dies before them leaves the previous version in force.
     """
 
     TABLES = ("dim_datasets", "dim_rules", "dim_date", "fact_quality_checks")
     VERSIONED = ("dim_datasets", "dim_rules")
+    BUCKETS = 32
+    VERSION_SCHEMA = "name STRING, bucket INT, folder STRING, n BIGINT"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -126,14 +142,17 @@ class StarStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _versions(self) -> dict[str, tuple[str, int]]:
-        """Current folder of each versioned table."""
+    def _versions(self) -> dict[str, dict[int, tuple[str | None, int]]]:
+        """Current folder of each bucket of the versioned tables; none if it has no rows."""
         try:
-            rows = self.spark.read.schema("name STRING, folder STRING, n BIGINT").parquet(f"{self.root}/_versions")
+            rows = self.spark.read.schema(self.VERSION_SCHEMA).parquet(f"{self.root}/_versions")
         except AnalysisException:
             return {}
-        newest = rows.groupBy("name").agg(F.max_by("folder", "n").alias("folder"), F.max("n").alias("n"))
-        return {r["name"]: (r["folder"], r["n"]) for r in newest.collect()}
+        newest = rows.groupBy("name", "bucket").agg(F.max_by("folder", "n").alias("folder"), F.max("n").alias("n"))
+        out: dict[str, dict[int, tuple[str | None, int]]] = {}
+        for r in newest.collect():
+            out.setdefault(r["name"], {})[r["bucket"]] = (r["folder"], r["n"])
+        return out
 
     def exists(self, table: str) -> bool:
         if table in self.VERSIONED:
@@ -144,33 +163,57 @@ class StarStore:
             return False
         return True
 
-    def read(self, table: str) -> DataFrame:
-        if table in self.VERSIONED:
-            folder, _ = self._versions()[table]
-            return self.spark.read.parquet(f"{self.path(table)}/{folder}")
-        return self.spark.read.parquet(self.path(table))
+    def read(self, table: str, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The table; of an upserted dimension only some buckets, if asked for."""
+        if table not in self.VERSIONED:
+            return self.spark.read.parquet(self.path(table))
+        current = {b: folder for b, (folder, _) in self._versions()[table].items() if folder}
+        paths = {b: f"{self.path(table)}/{folder}/_bucket={b}" for b, folder in sorted(current.items())}
+        if buckets is None:
+            return self.spark.read.parquet(*paths.values())
+        schema = self.spark.read.parquet(next(iter(paths.values()))).schema
+        chosen = [paths[b] for b in buckets if b in paths]
+        return self.spark.read.schema(schema).parquet(*chosen) if chosen else self.spark.createDataFrame([], schema)
 
     def star(self) -> Star:
         return Star(*(self.read(t) for t in self.TABLES))
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.BUCKETS)).cast("int")
+
     def replace(self, table: str, df: DataFrame) -> None:
-        """New version of a dimension; ``df`` may read the current one."""
-        _, last = self._versions().get(table, (None, 0))
-        folder = f"v{last + 1}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path(table)}/{folder}")
-        row = self.spark.createDataFrame([(table, folder, last + 1)], "name STRING, folder STRING, n BIGINT")
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
+        """New version of a whole dimension; ``df`` may read the current one."""
+        self._write_buckets(table, df, range(self.BUCKETS))
 
-    def replace_days(self, table: str, df: DataFrame) -> None:
-        """Overwrite only the ``date_key`` partitions that ``df`` contains.
+    def _write_buckets(self, table: str, df: DataFrame, buckets: Sequence[int]) -> None:
+        """``df``, all rows of these buckets, becomes their current version."""
+        last = max((n for _, n in self._versions().get(table, {}).values()), default=0)
+        folder = f"v{last + 1}-{uuid.uuid4().hex[:8]}"
+        filled = Observation(f"buckets-{uuid.uuid4().hex}")
+        dealt = df.withColumn("_bucket", self._bucket()).repartition("_bucket")
+        dealt = dealt.observe(filled, F.collect_set("_bucket").alias("buckets"))
+        dealt.write.partitionBy("_bucket").parquet(f"{self.path(table)}/{folder}")
+        held = set(filled.get.get("buckets") or [])
+        if not held and len(buckets) == self.BUCKETS:
+            # An empty table still has its columns.
+            df.limit(0).write.parquet(f"{self.path(table)}/{folder}/_bucket={buckets[0]}")
+            held = {buckets[0]}
+        rows = [(table, b, folder if b in held else None, last + 1) for b in buckets]
+        versions = self.spark.createDataFrame(rows, self.VERSION_SCHEMA).coalesce(1)
+        versions.write.mode("append").parquet(f"{self.root}/_versions")
+
+    def replace_days(self, table: str, df: DataFrame) -> int:
+        """Overwrite only the ``date_key`` partitions that ``df`` contains; the rows written.
 
         ``df`` may read those partitions, so it is staged first, in a folder of this call's
         own. Should the job die while the days are swapped, ``swap_days`` repeats that
         step from the stage.
         """
         folder = f"{self.path(table)}__staged/{uuid.uuid4().hex}"
-        df.write.parquet(folder)
+        staged, seen = counted(df)
+        staged.write.parquet(folder)
         self.swap_days(table, folder)
+        return rows_of(seen)
 
     def swap_days(self, table: str, folder: str) -> None:
         (
@@ -185,68 +228,65 @@ class StarStore:
     def append(self, table: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(table))
 
-    def append_facts(self, facts: DataFrame) -> None:
-        """Add facts to their days. The rebalance hint lets AQE split a busy day over
-        several tasks and merge quiet ones, by measured size."""
-        (
-            facts.select(*FACT_COLUMNS)
-            .hint("rebalance", "date_key")
-            .write.mode("append")
-            .partitionBy("date_key")
-            .parquet(self.path("fact_quality_checks"))
-        )
-
-    def _upsert(self, table: str, source: DataFrame, keys: Sequence[str]) -> None:
-        merged = upsert(self.read(table), source, keys) if self.exists(table) else source
-        self.replace(table, merged)
-
-    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+    def append_facts(self, facts: DataFrame) -> int:
+        """Add facts to their days and tell how many. The rebalance hint lets AQE split a
+        busy day over several tasks and merge quiet ones, by measured size."""
+        added, seen = counted(facts.select(*FACT_COLUMNS).hint("rebalance", "date_key"))
+        added.write.mode("append").partitionBy("date_key").parquet(self.path("fact_quality_checks"))
+        return rows_of(seen)
+
+    def _upsert(self, table: str, source: DataFrame) -> None:
+        """Rows of ``source`` replace those of their id. Only buckets in which a row is new
+        or differs are read in full and written; without one nothing is."""
+        if not self.exists(table):
+            self.replace(table, source)
+            return
+        current = self.read(table)
+        row = F.xxhash64(*current.columns)
+        old = current.select("id", row.alias("_old"))
+        fresh = source.select("id", row.alias("_new")).join(old, "id", "left").where("_old is null or _old <> _new")
+        touched = sorted(r["bucket"] for r in fresh.select(self._bucket().alias("bucket")).distinct().collect())
+        if touched:
+            mine = source.where(self._bucket().isin(touched))
+            self._write_buckets(table, upsert(self.read(table, touched), mine, ["id"]), touched)
+
+    def _stage(self, name: str, df: DataFrame) -> tuple[DataFrame, int]:
         """Compute a batch table once; later steps and retries read the same rows.
 
         The folder is this call's own, so a second writer never overwrites a batch that
-        is still being read.
+        is still being read. The number of rows comes from the write itself.
         """
         path = f"{self.root}/_batch/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        written, seen = counted(df)
+        written.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), rows_of(seen)
 
     def load(self, batch: Star, refresh_daily: bool = True) -> LoadSummary:
         """Dimensions, then facts not yet present, then the daily rows of those days."""
-        facts = self._stage("facts", batch.facts.select("id", *FACT_COLUMNS))
+        facts, n_facts = self._stage("facts", batch.facts.select("id", *FACT_COLUMNS))
         days = [r["date_key"] for r in facts.select("date_key").distinct().toLocalIterator()]
         if not days:
             return LoadSummary()
-        datasets = self._stage("dim_datasets", batch.dim_datasets)
-        rules = self._stage("dim_rules", batch.dim_rules)
-        dates = self._stage("dim_date", batch.dim_date)
+        datasets, n_datasets = self._stage("dim_datasets", batch.dim_datasets)
+        rules, n_rules = self._stage("dim_rules", batch.dim_rules)
+        dates, n_dates = self._stage("dim_date", batch.dim_date)
 
         stale = self._days_of_changed_rules(rules) if refresh_daily else []
-        self._upsert("dim_datasets", datasets, ["id"])
-        self._upsert("dim_rules", rules, ["id"])
+        self._upsert("dim_datasets", datasets)
+        self._upsert("dim_rules", rules)
         absent = insert_ignore(self.read("dim_date"), dates, ["date_key"]) if self.exists("dim_date") else dates
         self.append("dim_date", absent)
 
         table = "fact_quality_checks"
         fresh = dedupe_facts(facts, [F.col("id").desc()])
-        before = 0
         if self.exists(table):
             # Only the partitions of the incoming days are read.
-            present = self.read(table).where(F.col("date_key").isin(days))
-            before = present.count()
-            fresh = new_facts(present, fresh)
-        self.append_facts(fresh)
-        touched = self.read(table).where(F.col("date_key").isin(days))
-        inserted = touched.count() - before
+            fresh = new_facts(self.read(table).where(F.col("date_key").isin(days)), fresh)
+        inserted = self.append_facts(fresh)
         if refresh_daily:
             renewed = self.read(table).where(F.col("date_key").isin(sorted({*days, *stale})))
             self.replace_days("agg_daily_quality", daily_aggregate(renewed, self.read("dim_rules")))
-        return LoadSummary(
-            dim_datasets=datasets.count(),
-            dim_rules=rules.count(),
-            dim_date=dates.count(),
-            fact_quality_checks=inserted,
-            skipped=facts.count() - inserted,
-        )
+        return LoadSummary(n_datasets, n_rules, n_dates, inserted, skipped=n_facts - inserted, days=tuple(sorted(days)))
 
     def _days_of_changed_rules(self, rules: DataFrame) -> list[int]:
         """Days with facts of rules whose severity is about to change: their daily rows
@@ -267,17 +307,29 @@ class StarStore:
         ``_arrival`` is 0 for rows already in the table and 1 for new ones, which are
         ranked by their ``id``; only the days of the batch are rewritten.
         """
-        facts = self._stage("facts", batch_facts.select("id", *FACT_COLUMNS))
+        facts, n_facts = self._stage("facts", batch_facts.select("id", *FACT_COLUMNS))
         days = [r["date_key"] for r in facts.select("date_key").distinct().toLocalIterator()]
         if not days:
             return LoadSummary()
-        table, rows = "fact_quality_checks", facts.withColumn("_arrival", F.lit(1))
+        table, rows, before = "fact_quality_checks", facts.withColumn("_arrival", F.lit(1)), 0
         if self.exists(table):
-            old = self.read(table).where(F.col("date_key").isin(days)).withColumn("_arrival", F.lit(0))
-            old = old.withColumn("id", F.lit(None).cast(facts.schema["id"].dataType))
+            old, before = self._stage("old-facts", self.read(table).where(F.col("date_key").isin(days)))
+            old = old.withColumn("_arrival", F.lit(0)).withColumn("id", F.lit(None).cast(facts.schema["id"].dataType))
             rows = old.select(*rows.columns).unionByName(rows)
-        total = rows.count()
-        kept = dedupe_facts(rows, [F.col("_arrival"), F.col("id")]).select(*FACT_COLUMNS)
-        self.replace_days(table, kept)
-        left = self.read(table).where(F.col("date_key").isin(days)).count()
-        return LoadSummary(fact_quality_checks=facts.count(), duplicates_removed=total - left)
+        left = self.replace_days(table, dedupe_facts(rows, [F.col("_arrival"), F.col("id")]).select(*FACT_COLUMNS))
+        return LoadSummary(fact_quality_checks=n_facts, duplicates_removed=before + n_facts - left, days=tuple(sorted(days)))
+
+    def refresh_validation(self, days: Sequence[int]) -> DataFrame:
+        """Validation figures of all days, in one row, after a load of ``days``.
+
+        Figures are kept per day. Only the given days are counted anew, and those in which
+        a fact had no dimension row, which may have come since.
+        """
+        table, facts = "validation_by_day", self.read("fact_quality_checks")
+        if self.exists(table):
+            broken = F.col("orphan_datasets") + F.col("orphan_rules") + F.col("orphan_dates") > 0
+            again = [r["date_key"] for r in self.read(table).where(broken).select("date_key").distinct().collect()]
+            facts = facts.where(F.col("date_key").isin(sorted({*days, *again})))
+        star = Star(self.read("dim_datasets"), self.read("dim_rules"), self.read("dim_date"), facts)
+        self.replace_days(table, day_figures(star))
+        return totals(self.read(table))

@@ -6,14 +6,15 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from truegauge.operators import integrity
-from truegauge.operators.extract import History, build_extract, extract_with_watermark
+from truegauge.operators.extract import History, from_micros, marked_extract, since
 from truegauge.operators.integrity import IntegrityError
 from truegauge.operators.load import LoadSummary, StarStore
 from truegauge.operators.star import SchemaError, transform
-from truegauge.session import prepare
+from truegauge.session import prepare, scratch_dir
 from truegauge.sources.state import State, append_run, load_state, save_state
 
 
@@ -51,8 +52,10 @@ def run(
 ) -> PipelineResult:
     """One run into the star schema under ``root`` (shared storage).
 
-    The watermark moves only after validation passed. ``strict`` raises on integrity
-    errors; otherwise failures are reported in the result.
+    The source is read once: its rows are staged, and their number and newest time come
+    from that write. Transform, warnings, load and validation work on the stage, and an
+    increment validates only its days. The watermark moves only after validation passed.
+    ``strict`` raises on integrity errors; otherwise failures are reported in the result.
     """
     result = PipelineResult(f"run_{uuid.uuid4().hex[:12]}", mode, dry_run, started_at=datetime.now(timezone.utc))
     state_path, log_path = f"{root}/_state", f"{root}/etl_run_log"
@@ -60,11 +63,13 @@ def run(
     try:
         state = load_state(spark, state_path)
         stored = state.high_watermark if mode == "incremental" else None
-        if use_watermark:
-            raw, newest, _ = extract_with_watermark(history, stored)
-        else:
-            raw, newest = build_extract(history, mode, stored), None
-        result.records_extracted = raw.count()
+        staged, seen = _staged(spark, history, mode, stored)
+        if stored is not None and use_watermark and not seen["n"]:
+            # Nothing at or after the watermark: it is ahead of the source.
+            stored = None
+            staged, seen = _staged(spark, history, "full", None)
+        raw = staged.where("known").drop("known")
+        result.records_extracted = seen["known"]
         if result.records_extracted == 0:
             result.warnings.append("No data to process")
             result.success = True
@@ -77,11 +82,18 @@ def run(
             return result
 
         result.summary = store.load(made.star)
-        star = store.star()
-        result.findings = [r.asDict() for r in integrity.validate(history.check_results, star).collect()]
+        known = stored is None or state.source_rows is not None
+        if known:
+            source_rows = seen["n"] + (0 if stored is None else state.source_rows - state.rows_at_mark)
+        else:
+            source_rows = history.check_results.count()
+        figures = store.refresh_validation(result.summary.days).withColumn("source", F.lit(source_rows).cast("long"))
+        result.findings = [r.asDict() for r in integrity.findings(figures).collect()]
         if result.validation_passed:
-            mark = newest or state.high_watermark
-            save_state(spark, state_path, State(mark, result.run_id, result.started_at.isoformat()))
+            newest = from_micros(seen["newest"])
+            at_mark = staged.where(F.unix_micros(F.col("checked_at").cast("timestamp")) == F.lit(seen["newest"])).count()
+            mark, rows = (newest or state.high_watermark, source_rows) if use_watermark else (state.high_watermark, None)
+            save_state(spark, state_path, State(mark, result.run_id, result.started_at.isoformat(), rows, at_mark))
         elif strict:
             raise IntegrityError("Pipeline validation failed: " + "; ".join(f["message"] for f in result.findings))
         result.success = True
@@ -101,6 +113,22 @@ def run(
     return result
 
 
+def _staged(spark: SparkSession, history: History, mode: str, stored: datetime | None) -> tuple[DataFrame, dict]:
+    """The marked extract as written, and its figures: ``n``, ``known``, ``newest`` in microseconds."""
+    bound = stored.replace(tzinfo=None) if stored is not None else None
+    rows = marked_extract(History(since(history.check_results, mode, bound), history.rules, history.datasets))
+    seen = Observation(f"extract-{uuid.uuid4().hex}")
+    watched = rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("known").alias("known"),
+        F.max(F.unix_micros(F.col("checked_at").cast("timestamp"))).alias("newest"),
+    )
+    path = scratch_dir(spark, "extract")
+    watched.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), {"n": 0, "known": 0, "newest": None} | dict(seen.get)
+
+
 def _log_row(result: PipelineResult) -> dict:
     return {
         "run_id": result.run_id,

@@ -15,7 +15,10 @@ from pyspark.sql.utils import AnalysisException
 
 from truegauge.functions.timing import parse_watermark
 
-STATE_SCHEMA = "high_watermark STRING, last_run_id STRING, last_successful_run STRING, saved_at TIMESTAMP"
+STATE_SCHEMA = (
+    "high_watermark STRING, last_run_id STRING, last_successful_run STRING, saved_at TIMESTAMP, "
+    "source_rows BIGINT, rows_at_mark BIGINT"
+)
 RUN_LOG_SCHEMA = (
     "run_id STRING, started_at TIMESTAMP, finished_at TIMESTAMP, status STRING, mode STRING, records_extracted BIGINT, "
     "records_loaded BIGINT, duplicates_removed BIGINT, duration_seconds DOUBLE, error_message STRING"
@@ -27,6 +30,9 @@ class State:
     high_watermark: datetime | None = None
     last_run_id: str | None = None
     last_successful_run: str | None = None
+    #: Source rows seen so far, and how many of them lie on the watermark itself.
+    source_rows: int | None = None
+    rows_at_mark: int | None = None
 
 
 def load_state(spark: SparkSession, path: str) -> State:
@@ -37,12 +43,25 @@ def load_state(spark: SparkSession, path: str) -> State:
         return State()
     if row is None:
         return State()
-    return State(parse_watermark(row["high_watermark"]), row["last_run_id"], row["last_successful_run"])
+    return State(
+        parse_watermark(row["high_watermark"]),
+        row["last_run_id"],
+        row["last_successful_run"],
+        row["source_rows"],
+        row["rows_at_mark"],
+    )
 
 
 def save_state(spark: SparkSession, path: str, state: State) -> None:
     mark = state.high_watermark.isoformat() if state.high_watermark else None
-    row = (mark, state.last_run_id, state.last_successful_run, datetime.now(timezone.utc))
+    row = (
+        mark,
+        state.last_run_id,
+        state.last_successful_run,
+        datetime.now(timezone.utc),
+        state.source_rows,
+        state.rows_at_mark,
+    )
     spark.createDataFrame([row], STATE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
