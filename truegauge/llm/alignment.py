@@ -32,10 +32,10 @@ from pyspark.sql import types as T
 from truegauge.llm.lm import expand, squeeze
 from truegauge.llm.shared import stored
 
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: A worker remembers about so many units of at most this many characters, and encodes so
 #: many new ones at a time.
-UNITS, UNIT_CHARS, BATCH = 500_000, 40, 20_000
+UNITS, UNIT_CHARS, BATCH = 300_000, 40, 20_000
 #: A pair of ids as one number: A's above these bits, B's below.
 LOW = 32
 
@@ -201,7 +201,9 @@ class Units:
 
     def texts(self) -> list[str]:
         """The groups of each unit as text: ids of A, a bar, ids of B; semicolons between."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        # One string per id, not one per token.
+        name = list(map(str, range(1 + int(max(self.a.max(initial=0), self.b.max(initial=0))))))
+        a, b = (list(map(name.__getitem__, x.tolist())) for x in (self.a, self.b))
         parts, i, j = [], 0, 0
         for x, y in zip(self.in_a.tolist(), self.in_b.tolist()):
             parts.append(f"{a[i]}|{b[j]}" if x == y == 1 else f"{','.join(a[i : i + x])}|{','.join(b[j : j + y])}")
@@ -296,6 +298,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", t
     schema = T.StructType([T.StructField(key, kind), T.StructField("groups", T.StringType()), *[T.StructField(c, T.LongType()) for c in names]])
 
     def total(_, left: pa.Table, found: pa.Table) -> pa.Table:
+        # The worker may be one that has encoded; nothing is encoded from here on.
+        _ALIGNERS.clear()
         row = {c: left.column(c)[0].as_py() for c in ("lengths", "numbers", "sizes", "units")}
         lengths, every = expand(row["lengths"], "<i4").astype(np.int64), expand(row["numbers"], "<i4")
         units = Units(expand(row["units"], "<i4"), expand(row["sizes"], "<i4").astype(np.int64))
