@@ -35,9 +35,11 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 NESTED = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
+#: Parts of a language that are ranked on their own first.
+PARTS = 32
 #: Words of a chunk, bucket entries of a range, phrases of a trie, bytes of tries per
 #: pass, and states of a slice.
-CHUNK, RANGE, TRIE, BROADCAST, SLICE = 1 << 20, 1 << 21, 1 << 18, 1 << 25, 1 << 15
+CHUNK, RANGE, TRIE, BROADCAST, SLICE = 1 << 20, 1 << 20, 1 << 18, 1 << 25, 1 << 15
 
 _MARK = b"\xff"
 #: A-Z to lower case, signs and line ends to the mark, which no UTF-8 text holds.
@@ -186,6 +188,8 @@ def _filled(rows: DataFrame, sizes: tuple[int, ...], bits: int, least: int, entr
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])], names=["asking", "size", "range", "n", "bits"])
 
     asked = rows.mapInArrow(ask, "range long, asking long, size int, buckets binary, counts binary")
+    # As many tasks as there are ranges, whatever the session's number is.
+    asked = asked.repartition(ranges, "range")
     return stored(asked.groupBy("range").applyInArrow(add_up, "asking long, size int, range long, n long, bits binary"), "full-buckets")
 
 
@@ -449,6 +453,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
 
     spelled_out = kept.select("gram", "a", "l", "r", "score", F.posexplode("gram").alias("at", "id")).join(known.select("id", "lang", "word"), "id")
     spelled_out = spelled_out.groupBy("gram", "a", "l", "r", "score", "lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # The first of each part of a language, then of those few: no language in one task.
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).orderBy(*order)
+    spelled_out = spelled_out.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= top)
+    best = Window.partitionBy("lang").orderBy(*order)
     ranked = spelled_out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", *[F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")])
