@@ -10,7 +10,7 @@ from truegauge.operators import alerts, checks, extract, reports, star
 from truegauge.operators.load import StarStore
 from truegauge.operators.rules import Rule
 from truegauge.plans.history import Inputs
-from truegauge.streaming.history_etl import stream_history
+from truegauge.streaming.history_etl import merge_late, stream_history
 from truegauge.streaming.live_alerts import stream_alerts
 from truegauge.streaming.windowed_checks import stream_checks
 
@@ -273,3 +273,27 @@ def test_a_hot_day_is_spread_over_slices(spark):
     want = brute_force([r.asDict() for r in rows.collect()], configs.collect())
     for slice_by in ("second", "minute", "day"):
         assert sorted((r.id, r.event) for r in alerts.alert_events(rows, configs, slice_by).collect()) == want
+
+
+def test_late_rows_wait_and_are_merged_once(spark, tmp_path):
+    kinds = "id bigint, dataset_id bigint, rule_id bigint, passed boolean, failed_rows bigint, total_rows bigint, checked_at timestamp"
+    rules = spark.createDataFrame([(1, "a", "RANGE", "HIGH", "f", "csv", True)], "id bigint, name string, rule_type string, severity string, field_name string, dataset_type string, is_active boolean")
+    sets = spark.createDataFrame([(1, "d", "csv", 10, 2, None, "OK")], "id bigint, name string, file_type string, row_count bigint, column_count int, uploaded_at timestamp_ntz, status string")
+    store, source = StarStore(spark, str(tmp_path / "star")), str(tmp_path / "source")
+
+    def deliver(*days):
+        rows = [(100 * d, 1, 1, True, 0, 10, T0 + timedelta(days=d)) for d in days]
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(source)
+        query = stream_history(spark.readStream.schema(kinds).parquet(source), rules, sets, store, str(tmp_path / "ckpt"), lateness="2 days")
+        query.awaitTermination(600)
+        assert query.exception() is None
+        return sorted(r.checked_at for r in store.read("fact_quality_checks").collect())
+
+    assert len(deliver(10)) == 1
+    assert len(deliver(9, 8, 3, 10)) == 2  # day 8 lies on the bound, day 10 came before
+    assert len(deliver(20)) == 3
+    assert len(deliver(11)) == 3
+    assert merge_late(store, rules, sets).fact_quality_checks == 3
+    assert merge_late(store, rules, sets).fact_quality_checks == 0
+    assert store.read("fact_quality_checks").count() == 6
+    assert store.read("agg_daily_quality").agg(F.sum("total_checks")).first()[0] == 6

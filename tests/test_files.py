@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from truegauge.sources import files
+from truegauge.sources import files, profiles
 from truegauge.sources.files import InvalidInput, read_csv, read_dataset, read_json
 
 
@@ -172,7 +172,7 @@ def test_dispatch_and_profile(spark, tmp_path):
     good = put(tmp_path, "good.csv", "id,name\n1,a\n2,b\n")
     bad = put(tmp_path, "bad.json", "{")
     other = put(tmp_path, "sheet.xlsx", "x")
-    rows = {r["name"]: r for r in files.profile_many(spark, [good, bad, other]).collect()}
+    rows = {r["name"]: r for r in profiles.profile_many(spark, [good, bad, other]).collect()}
     assert rows["good"]["status"] == "PENDING" and rows["good"]["row_count"] == 2
     assert json.loads(rows["good"]["column_names"]) == ["id", "name"]
     assert rows["good"]["dtypes"] == {"id": "bigint", "name": "string"}

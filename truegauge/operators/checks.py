@@ -333,13 +333,12 @@ def violations(df: DataFrame, rules: DataFrame | Iterable[Rule], null_text: str
     checks = compile_rules(df, rules, null_text)
     masked = [c for c in checks if c.failing is not None]
     texts = [c for c in masked if c.needs_number is not None]
-    if texts:
-        seen = df.agg(*[F.count(c.needs_number).alias(f"n{i}") for i, c in enumerate(texts)]).first()
-        whole = {id(c) for i, c in enumerate(texts) if seen[i] == 0}
-        masked = [c for c in masked if id(c) not in whole]
+    # A text without any number fails as a whole. One row tells, read with the rows.
+    seen = df.agg(F.struct(*[F.count(c.needs_number).alias(f"n{i}") for i, c in enumerate(texts)])).scalar() if texts else None
+    numeric = {id(c): seen[f"n{i}"] > 0 for i, c in enumerate(texts)}
     tagged = []
     if masked:
-        hits = F.array(*[F.when(c.failing, F.lit(c.rule.id).cast("long")) for c in masked])
+        hits = F.array(*[F.when(c.failing & numeric.get(id(c), F.lit(True)), F.lit(c.rule.id).cast("long")) for c in masked])
         tagged.append(df.withColumn("rule_id", F.explode(F.array_compact(hits))))
     for check in (c for c in checks if c.unique):
         field = check.rule.field_name

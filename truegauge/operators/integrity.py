@@ -204,8 +204,8 @@ def findings(figures: DataFrame, low: float = MIN_SCORE, high: float = MAX_SCORE
 
 def validate(source: DataFrame, star: Star, low: float = MIN_SCORE, high: float = MAX_SCORE) -> DataFrame:
     """One row per finding: ``check, message, severity, details``."""
-    figures = totals(day_figures(star, low, high)).crossJoin(_count(source, "source"))
-    return findings(figures, low, high)
+    figures = totals(day_figures(star, low, high))
+    return findings(figures.withColumn("source", _count(source, "n").scalar()), low, high)
 
 
 def verdict(findings: DataFrame) -> DataFrame:

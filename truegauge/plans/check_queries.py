@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from truegauge.functions import paging
 from truegauge.functions.keyed import pick_one
 from truegauge.operators import checks, rules, scoring
 from truegauge.operators.rules import Rule
@@ -152,6 +153,12 @@ def _page(i: Inputs):
     return rules.page(i.rules, 3, 20)
 
 
+@query("b09_page_by_index", "select * from rules order by id limit 20 offset 40")
+def _page_by_index(i: Inputs):
+    """The same page between two page starts of an index."""
+    return paging.page_index(i.rules, ["id"], 20).page(i.rules, 3)
+
+
 # --- C: checks -------------------------------------------------------------
 
 # Nulls, blanks and bad text put into the benchmark tables, on both sides alike.

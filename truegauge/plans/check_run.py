@@ -50,6 +50,10 @@ def run(
         found = checks.run_checks_by(rows.join(mine, "dataset_id", "left_semi"), compiled, ["dataset_id"])
         results.append(found)
         scores.append(scoring.score_results(found, compiled, ["dataset_id"]))
+    if not results:
+        # No eligible dataset: the same tables without rows, of a run over no rules.
+        found = checks.run_checks_by(rows.limit(0), [], ["dataset_id"])
+        results, scores = [found], [scoring.score_results(found, [], ["dataset_id"])]
     result = _all(results)
     number = F.col("dataset_id").cast("long") * 10_000_000_000 + F.unix_timestamp("checked_at")
     score = _all(scores).withColumn("checked_at", checked_at).withColumn("id", number)

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from truegauge.functions import paging
 from truegauge.functions.bands import score_band
 from truegauge.functions.timing import days_back
 from truegauge.operators import alerts, reports, rollups
@@ -152,6 +153,28 @@ def _paginate(i: Inputs):
     return reports.paginate(i.datasets, 3, 20)
 
 
+@query("e14_paginate_by_index", "select *, (select count(*) from datasets) as total from datasets order by id limit 20 offset 40")
+def _paginate_by_index(i: Inputs):
+    """The same page by a jump: only rows between two page starts are read and sorted."""
+    index = paging.page_index(i.datasets, ["id"], 20)
+    return index.page(i.datasets, 3).withColumn("total", F.lit(index.total).cast("long"))
+
+
+@query(
+    "e14_pages_of_audit",
+    "select page, id, \"timestamp\" as at from (select *, (row_number() over (order by \"timestamp\", id) - 1) // 50 + 1 as page from audit_logs) where page in (1, 2, 7)",
+)
+def _audit_pages(i: Inputs):
+    """Pages in the order of time: the first, the one after its last row, and a jump."""
+    log, order = i.audit_logs, ["timestamp", "id"]
+    first = paging.page_after(log, order, 50)
+    last = first.orderBy(F.desc("timestamp"), F.desc("id")).first()
+    second = paging.page_after(log, order, 50, [last[c] for c in order])
+    jump = paging.page_index(log, order, 50).page(log, 7)
+    parts = [df.select(F.lit(n).cast("long").alias("page"), "id", F.col("timestamp").alias("at")) for n, df in ((1, first), (2, second), (7, jump))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _NAMES = """case when column_names is null then '' when column_names like '["%' then array_to_string(cast(json(column_names) as varchar[]), '|')
     {other} end"""
 

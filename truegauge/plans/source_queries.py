@@ -21,8 +21,8 @@ from truegauge.plans.report_queries import JUDGED, changing_configs
 from truegauge.plans.star_queries import EXTRACT, SELECTED, STAR, BY_TYPE, FIELDS, KPI, TRENDS, WEEKDAYS, selection
 from truegauge.plans.warehouse import stored
 from truegauge.session import scratch_dir
-from truegauge.sources import exports, files, relational, state
-from truegauge.streaming.history_etl import stream_history
+from truegauge.sources import exports, files, profiles, relational, state
+from truegauge.streaming.history_etl import merge_late, stream_history
 from truegauge.streaming.live_alerts import stream_alerts
 from truegauge.streaming.windowed_checks import stream_checks
 
@@ -61,37 +61,6 @@ def _delimiter(i: Inputs):
     )
 
 
-@query(
-    "a03_encoding",
-    """select 'ISO-8859-1' as encoding, count(*) as n,
-       cast(sum(length(regexp_replace(text, '[^éèêà]', '', 'g'))) as bigint) as accents from (
-       select regexp_replace(replace(text, '"', ' '), '[^a-zA-Zéèêà ]', '', 'g') as text from documents where lang = 'fr')""",
-)
-def _encoding(i: Inputs):
-    text = F.regexp_replace(F.replace("text", F.lit('"'), F.lit(" ")), "[^a-zA-Zéèêà ]", "")
-    docs = i.documents.where("lang = 'fr'").select("doc_id", text.alias("text"))
-    path = _csv_file(i, docs, encoding="ISO-8859-1")
-    layout = files.detect_layout(i.spark, path)
-    df = files.read_csv(i.spark, path, layout=layout)
-    accents = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^éèêà]", ""))
-    return df.agg(
-        F.lit(layout.encoding).alias("encoding"), F.count(F.lit(1)).alias("n"), F.sum(accents).cast("long").alias("accents")
-    )
-
-
-@query(
-    "a03_quoted_documents",
-    "select count(*) as n, sum(length(text))::bigint as chars from documents where length(text) > 0 and text not like '%\\%'",
-)
-def _quoted(i: Inputs):
-    docs = i.documents.where(~F.col("text").contains("\\") & (F.length("text") > 0)).select("doc_id", "text")
-    path = _csv_file(i, docs, escape='"', quoteAll=True)
-    layout = files.detect_layout(i.spark, path)
-    # Spark's writer keeps leading blanks only when told to; length is compared untrimmed.
-    df = files.read_csv(i.spark, path, layout=layout, infer=False)
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
-
-
 # Texts that are null tokens of the reader come back as null.
 _NULL_TEXTS = "text in (" + ", ".join(f"'{t}'" for t in files.NA_TOKENS) + ")"
 _WHOLE_TEXTS = f"doc_id, md5(case when {_NULL_TEXTS} then null else text end) as digest"
@@ -109,20 +78,48 @@ def _text_digests():
 )
 def _encoding_whole(i: Inputs):
     """Every text that Latin-1 can hold, unchanged."""
+    df, layout = _latin1(i)
+    return df.select(F.lit(layout.encoding).alias("encoding"), *_text_digests())
+
+
+@query(
+    "a03_encoding",
+    f"""select case when bool_or(regexp_matches(text, '[\\x80-\\xff]')) then 'ISO-8859-1' else 'UTF-8' end as encoding, count(*) as n,
+       cast(coalesce(sum(case when {_NULL_TEXTS} then 0 else length(regexp_replace(text, '[^éèêà]', '', 'g')) end), 0) as bigint) as accents
+       from documents where regexp_matches(text, '^[\\x00-\\xff]*$')""",
+)
+def _encoding(i: Inputs):
+    """Accents counted over every text that Latin-1 can hold."""
+    df, layout = _latin1(i)
+    accents = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^éèêà]", ""))
+    return df.agg(F.lit(layout.encoding).alias("encoding"), F.count(F.lit(1)).alias("n"), F.sum(accents).cast("long").alias("accents"))
+
+
+def _latin1(i: Inputs):
     docs = i.documents.where(F.col("text").rlike(r"^[\x00-\xFF]*$")).select("doc_id", "text")
     path = _csv_file(i, docs, encoding="ISO-8859-1", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     layout = files.detect_layout(i.spark, path)
-    df = files.read_csv(i.spark, path, layout=layout, infer=False)
-    return df.select(F.lit(layout.encoding).alias("encoding"), *_text_digests())
+    return files.read_csv(i.spark, path, layout=layout, infer=False), layout
 
 
-@query("a03_quoted_documents_whole", f"select {_WHOLE_TEXTS} from documents")
-def _quoted_whole(i: Inputs):
-    """Every text, those with a backslash and empty ones too."""
+@query(
+    "a03_quoted_documents",
+    f"select count(*) as n, sum(case when {_NULL_TEXTS} then 0 else length(text) end)::bigint as chars from documents",
+)
+def _quoted(i: Inputs):
+    return _quoted_documents(i).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("chars"))
+
+
+def _quoted_documents(i: Inputs):
+    """Every text, those with a backslash and empty ones too, written quoted and read back."""
     docs = i.documents.select("doc_id", "text")
     path = _csv_file(i, docs, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    df = files.read_csv(i.spark, path, layout=files.detect_layout(i.spark, path), infer=False)
-    return df.select(*_text_digests())
+    return files.read_csv(i.spark, path, layout=files.detect_layout(i.spark, path), infer=False)
+
+
+@query("a03_quoted_documents_whole", f"select {_WHOLE_TEXTS} from documents")
+def _quoted_whole(i: Inputs):
+    return _quoted_documents(i).select(*_text_digests())
 
 
 @query(
@@ -243,7 +240,7 @@ def _rejects(i: Inputs):
     cut = i.pages.select(F.substring(F.to_json(F.struct("page_id", "url")), 1, 20).alias("value"))
     broken = _text_file(i, cut, "cut.json")
     empty = _text_file(i, i.pages.where("page_id is null").select("url"), "empty.csv")
-    return files.profile_many(i.spark, [broken, empty]).select("name", "status", "error")
+    return profiles.profile_many(i.spark, [broken, empty]).select("name", "status", "error")
 
 
 @query(
@@ -260,7 +257,30 @@ def _profile(i: Inputs):
 )
 def _profiles(i: Inputs):
     paths = [f"{i.folder}/{t}.parquet" for t in TABLES]
-    return files.profile_many(i.spark, paths).select("name", "status", "row_count")
+    return profiles.profile_many(i.spark, paths).select("name", "status", "row_count")
+
+
+_TEXT_TABLES = ["region", "nation", "supplier", "customer", "part", "orders"]
+
+
+@query(
+    "a12_profile_text_files",
+    " union all ".join(
+        f"""select '{t}' as name, '{kind}' as kind, 'PENDING' as status, (select count(*) from {t}) as row_count,
+        (select cast(count(*) as integer) from information_schema.columns where table_name = '{t}') as column_count"""
+        for t in _TEXT_TABLES
+        for kind in ("csv", "json")
+    ),
+)
+def _profile_texts(i: Inputs):
+    """CSV with two delimiters and JSON of six tables, all in one keyed profile."""
+    root, paths = scratch_dir(i.spark, "files"), []
+    for n, t in enumerate(_TEXT_TABLES):
+        i.table(t).write.options(header=True, sep=";,"[n % 2], escape='"').csv(f"{root}/{t}.csv")
+        i.table(t).write.option("ignoreNullFields", False).json(f"{root}/{t}.json")
+        paths += [f"{root}/{t}.csv", f"{root}/{t}.json"]
+    found = profiles.profile_many(i.spark, paths)
+    return found.select("name", F.substring_index("path", ".", -1).alias("kind"), "status", "row_count", "column_count")
 
 
 # --- A: relational, state, exports -----------------------------------------
@@ -342,6 +362,26 @@ def _report(i: Inputs):
     return out
 
 
+@query(
+    "a18_report_contents",
+    STAR
+    + SELECTED
+    + f"""select 'quality_trends' as section, cast(full_date as varchar) as a, cast(dataset_name as varchar) as b, cast(avg_score as double) as x from ({TRENDS})
+    union all select 'failure_analysis', cast(rule_type as varchar), cast(failed as varchar), cast(failure_rate as double) from ({BY_TYPE})
+    union all select 'field_issues', cast(field_name as varchar), cast(rule_type as varchar), cast(failures as double) from ({FIELDS})""",
+)
+def _report_contents(i: Inputs):
+    """What the exported files hold, not only how many rows."""
+    path = scratch_dir(i.spark, "report")
+    exports.export_report(stored(i).star(), selection(i), path)
+    picked = {"quality_trends": ("full_date", "dataset_name", "avg_score"), "failure_analysis": ("rule_type", "failed", "failure_rate"), "field_issues": ("field_name", "rule_type", "failures")}
+    parts = []
+    for name, (a, b, x) in picked.items():
+        rows = i.spark.read.csv(f"{path}/section={name}", header=True)
+        parts.append(rows.select(F.lit(name).alias("section"), F.col(a).alias("a"), F.col(b).alias("b"), F.round(F.col(x).cast("double"), 6).alias("x")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "a19_report_summary",
     STAR
@@ -454,16 +494,16 @@ _STREAM_RULES = [
 @query(
     "m04_stream_checks",
     """with keyed as (select user_id, cast(ts as date) as day, value, event_type from events),
-    closed as (select * from keyed where day < date '2024-01-29'),
-    a as (select user_id, day, count(*) as total, count(*) filter (where value < 1 or value > 90) as f1,
-          count(*) filter (where event_type = 'error') as f2 from closed group by all),
-    u as (select user_id, day, cast(coalesce(sum(case when n > 1 then n end), 0) as bigint) as f3, cast(sum(n) as bigint) as total
-          from (select user_id, day, event_type, count(*) as n from closed group by all) group by all)
-    select user_id, day, 1::bigint as rule_id, f1 as failed_rows, total as total_rows from a
-    union all select user_id, day, 2, f2, total from a union all select user_id, day, 3, f3, total from u""",
+    closed as (select * from keyed where day + interval 1 day <= (select max(ts) - interval 12 hour from events)),
+    u as (select day, user_id, event_type, count(*) as n from closed group by all)
+    select day, 1::bigint as rule_id, cast(count(*) filter (where value < 1 or value > 90) as bigint) as failed_rows, count(*) as total_rows from closed group by day
+    union all select day, 2, cast(count(*) filter (where event_type = 'error') as bigint), count(*) from closed group by day
+    union all select day, 3, cast(coalesce(sum(case when n > 1 then n end), 0) as bigint), cast(sum(n) as bigint) from u group by day""",
 )
 def _stream_checks(i: Inputs):
-    return _emitted_checks(i).where("day < date '2024-01-29'")
+    """Figures of the users added up per closed day."""
+    sums = [F.sum(c).cast("long").alias(c) for c in ("failed_rows", "total_rows")]
+    return _emitted_checks(i).groupBy("day", "rule_id").agg(*sums)
 
 
 def _emitted_checks(i: Inputs):
@@ -514,7 +554,20 @@ def _stream_alerts(i: Inputs):
        or checked_at > (select max(r.checked_at) from check_results r join events v on v.event_id = r.id where v.event_type <> 'error') - interval 2 day""",
 )
 def _late_rows(i: Inputs):
-    """Results that arrive after all others: those older than the lateness bound wait for a full run."""
+    """Results that arrive after all others: those older than the lateness bound wait in a side table."""
+    return _late_store(i).read("fact_quality_checks").select("dataset_id", "rule_id", "checked_at")
+
+
+@query("m03_late_rows_merged", STAR + " select dataset_id, rule_id, checked_at from facts")
+def _late_rows_merged(i: Inputs):
+    """The same deliveries, then a merge of what had come too late: all facts, without a full run."""
+    store = _late_store(i)
+    merge_late(store, i.rules, i.datasets)
+    merge_late(store, i.rules, i.datasets)
+    return store.read("fact_quality_checks").select("dataset_id", "rule_id", "checked_at")
+
+
+def _late_store(i: Inputs) -> StarStore:
     path, checkpoint = scratch_dir(i.spark, "stream"), scratch_dir(i.spark, "ckpt")
     store = StarStore(i.spark, scratch_dir(i.spark, "star"))
     late = i.events.where("event_type = 'error'").select(F.col("event_id").alias("id"))
@@ -523,4 +576,4 @@ def _late_rows(i: Inputs):
         part.write.mode("append").parquet(path)
         stream = i.spark.readStream.schema(results.schema).parquet(path)
         _finish(stream_history(stream, i.rules, i.datasets, store, checkpoint, lateness="2 days"))
-    return store.read("fact_quality_checks").select("dataset_id", "rule_id", "checked_at")
+    return store

@@ -10,7 +10,7 @@ carried over the splits of its file. No task needs more than a split.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 SPLIT = ["file", "block"]
 
 
-def lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
     """``value, file, block, at``: lines, and their order within each split of a file."""
     text = spark.read.option("lineSep", "\n").text(path)
     value = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
@@ -30,13 +30,14 @@ def lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     )
 
 
-def _ends_open(text: Column, delimiter: str) -> Column:
+def _ends_open(text: Column, delimiter: Column) -> Column:
     """Whether a field is open at the end of a text that begins outside of quotes."""
-    field = rf"(^|{re.escape(delimiter)})"
-    return F.regexp_replace(text, rf'{field}"[^"]*"', "$1").rlike(rf'{field}"')
+    field = F.concat(F.lit(r"(^|\Q"), delimiter, F.lit(r"\E)"))
+    rest = F.regexp_replace(text, F.concat(field, F.lit('"[^"]*"')), F.lit("$1"))
+    return F.regexp_like(rest, F.concat(field, F.lit('"')))
 
 
-def line_functions(rows: DataFrame, delimiter: str) -> DataFrame:
+def line_functions(rows: DataFrame, delimiter: Column) -> DataFrame:
     """``rows`` with ``constant`` (the state it always ends in, true if open, or null) and ``swap``."""
     # A doubled quote inside a field and an empty quoted field both leave the state alone.
     body = F.replace("value", F.lit('""'), F.lit(""))
@@ -92,12 +93,17 @@ def _splits(rows: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, path: str, delimiter: str, encoding: str) -> DataFrame:
     """``record, first``: every record with its line ends as they are, and whether it is
-    its file's first one (the header).
+    its file's first one (the header)."""
+    return assemble(lines(spark, path, encoding), F.lit(delimiter)).select("record", "first")
+
+
+def assemble(rows: DataFrame, delimiter: Column, also: Sequence[str] = ()) -> DataFrame:
+    """``record, first, file`` and the columns ``also``, which are the same in all of a file.
 
     A record of one line passes as it is; only lines of longer ones are gathered. A record
     that never ends reaches to the end of its file. Blank lines between records are none.
     """
-    rows = line_functions(lines(spark, path, encoding), delimiter)
+    rows = line_functions(rows, delimiter)
     placed = _within(rows).join(_splits(rows), SPLIT)
     before = _state(F.col("start"), F.col("fixed_before"), F.col("swaps") - F.col("swap"))
     after = F.coalesce("constant", before != (F.col("swap") == 1))
@@ -108,10 +114,10 @@ def records(spark: SparkSession, path: str, delimiter: str, encoding: str) -> Da
     own = F.last(F.when(F.col("starts"), F.struct("block", "nth")), ignorenulls=True).over(order)
     told = told.withColumn("owner", F.coalesce(own, "owner"))
 
-    single = told.where("starts and not open").select("value", "first")
-    parts = told.where("not starts or open").select("file", "owner", "first", F.struct("block", "nth", "value").alias("line"))
+    single = told.where("starts and not open").select("value", "first", "file", *also)
+    parts = told.where("not starts or open").select("file", "owner", "first", *also, F.struct("block", "nth", "value").alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"]), "\n")
-    joined = parts.groupBy("file", "owner").agg(text.alias("value"), F.bool_or("first").alias("first"))
+    joined = parts.groupBy("file", "owner", *also).agg(text.alias("value"), F.bool_or("first").alias("first"))
     record = F.regexp_replace("value", "\r$", "")
-    every = single.unionByName(joined.select("value", "first")).where(F.trim(record) != "")
-    return every.select(record.alias("record"), F.coalesce("first", F.lit(False)).alias("first"))
+    every = single.unionByName(joined.select("value", "first", "file", *also)).where(F.trim(record) != "")
+    return every.select(record.alias("record"), F.coalesce("first", F.lit(False)).alias("first"), "file", *also)

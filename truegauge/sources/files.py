@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +110,19 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return detect_layout(spark, path).encoding
 
 
+def header_names(values: list[str | None]) -> list[str]:
+    """Names out of a header: trimmed, numbered where there is none, told apart where two are equal."""
+    unique: list[str] = []
+    for n, value in enumerate(values):
+        name = candidate = str(value).strip() if value is not None else f"Unnamed: {n}"
+        repeat = 0
+        while candidate in unique:
+            repeat += 1
+            candidate = f"{name}.{repeat}"
+        unique.append(candidate)
+    return unique
+
+
 def _text_rows(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFrame, list[str]]:
     """All fields as text, for the lines without surplus fields, and the header names.
 
@@ -127,17 +138,9 @@ def _text_rows(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFram
         .option("escape", '"')
     )
     first = reader.option("header", False).csv(path).limit(1).first()
-    names = [str(v).strip() if v is not None else f"Unnamed: {n}" for n, v in enumerate(first)] if first else []
-    if not names:
+    unique = header_names(list(first) if first else [])
+    if not unique:
         raise InvalidInput(NO_COLUMNS)
-    unique: list[str] = []
-    for name in names:
-        repeat = 0
-        candidate = name
-        while candidate in unique:
-            repeat += 1
-            candidate = f"{name}.{repeat}"
-        unique.append(candidate)
     positions = [f"c{n}" for n in range(len(unique))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*positions, OVERFLOW, CORRUPT)])
     if layout.multi_line:
@@ -181,48 +184,47 @@ def read_csv(
     return infer_types(clean) if infer else clean
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns typed by their content: integers, then floats, then booleans.
-
-    One aggregate decides for all columns; the schema is fixed from then on.
-    """
+def type_facts(name: str) -> Column:
+    """What a text column holds, as an aggregate that merges: which types fit all of it."""
     whole = r"^\s*[+-]?\d{1,19}\s*$"
     number = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
     flag = r"^(True|False|TRUE|FALSE|true|false)$"
+    text = quoted(name)
 
-    def all_match(name: str, pattern: str) -> Column:
-        return F.count_if(quoted(name).isNotNull() & ~quoted(name).rlike(pattern)) == 0
+    def all_match(pattern: str) -> Column:
+        return F.count_if(text.isNotNull() & ~text.rlike(pattern)) == 0
 
+    return F.struct(
+        F.count(text).alias("filled"),
+        # Nineteen digits may or may not fit a long.
+        (all_match(whole) & (F.count(F.trim(text).try_cast("long")) == F.count(text))).alias("whole"),
+        all_match(number).alias("number"),
+        all_match(flag).alias("flag"),
+    )
+
+
+def type_name(seen) -> str:
+    """The narrowest type that fits: integers, then floats, then booleans, else text."""
+    if not seen["filled"]:
+        return "string"
+    return "bigint" if seen["whole"] else "double" if seen["number"] else "boolean" if seen["flag"] else "string"
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns typed by their content: integers, then floats, then booleans.
+
+    One aggregate decides for all columns; the schema is fixed from then on.
+    """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
         return df
-    facts = df.agg(
-        *[
-            F.struct(
-                F.count(quoted(n)).alias("filled"),
-                # Nineteen digits may or may not fit a long.
-                (all_match(n, whole) & (F.count(F.trim(quoted(n)).try_cast("long")) == F.count(quoted(n)))).alias("whole"),
-                all_match(n, number).alias("number"),
-                all_match(n, flag).alias("flag"),
-            ).alias(f"f{i}")
-            for i, n in enumerate(text)
-        ]
-    ).first()
+    facts = df.agg(*[type_facts(n).alias(f"f{i}") for i, n in enumerate(text)]).first()
 
     def typed(name: str) -> Column:
         if name not in text:
             return quoted(name)
-        seen = facts[f"f{text.index(name)}"]
-        value = F.trim(quoted(name))
-        if not seen["filled"]:
-            return quoted(name)
-        if seen["whole"]:
-            return value.cast("long").alias(name)
-        if seen["number"]:
-            return value.cast("double").alias(name)
-        if seen["flag"]:
-            return value.cast("boolean").alias(name)
-        return quoted(name)
+        kind = type_name(facts[f"f{text.index(name)}"])
+        return quoted(name) if kind == "string" else F.trim(quoted(name)).cast(kind).alias(name)
 
     return df.select(*[typed(c) for c in df.columns])
 
@@ -257,14 +259,14 @@ def read_json(
     """
     rows = json_records.records(json_records.documents(spark, path, lines))
     seen = rows.agg(*json_records.facts()).first()
-    problem = _json_problem(seen)
+    problem = json_problem(seen)
     if problem:
         raise InvalidInput(problem)
     kind = schema if schema is not None else json_records.shape_type(spark, seen["shape"])
     return json_records.columns(rows, kind)
 
 
-def _json_problem(seen) -> str | None:
+def json_problem(seen) -> str | None:
     """Why the records with these facts are no table."""
     if not seen["documents"]:
         return EMPTY_FILE
@@ -307,22 +309,3 @@ def profile(df: DataFrame) -> DataFrame:
         F.lit(json.dumps(df.columns)).alias("column_names"),
         (F.create_map(*types) if types else F.create_map()).alias("dtypes"),
     )
-
-
-def profile_many(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """One profile row per file; status PENDING, or ERROR with the reason.
-
-    Every file has a schema of its own, so each is read as its own DataFrame; only
-    the profile row of a file reaches the driver.
-    """
-    rows = []
-    for path in paths:
-        name = dataset_name(path)
-        try:
-            seen = profile(read_dataset(spark, path)).first()
-            rows.append(
-                (path, name, "PENDING", seen["row_count"], seen["column_count"], seen["column_names"], seen["dtypes"], None)
-            )
-        except (InvalidInput, AnalysisException) as problem:
-            rows.append((path, name, "ERROR", None, None, None, None, str(problem).splitlines()[0]))
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)

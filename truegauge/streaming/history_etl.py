@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from truegauge.operators.extract import History, base_extract
-from truegauge.operators.load import StarStore
-from truegauge.operators.star import BUSINESS_KEY, build_star
+from truegauge.operators.load import LoadSummary, StarStore
+from truegauge.operators.star import build_star
+
+MARK_SCHEMA = "mark TIMESTAMP"
 
 
 def stream_history(
@@ -21,22 +24,50 @@ def stream_history(
 ) -> StreamingQuery:
     """Each micro-batch is joined, transformed and loaded like an incremental run.
 
-    Rows are de-duplicated on the business key while they are within ``lateness`` of
-    the newest event time, which bounds the state. Rows later than that are dropped
-    here and come in with the next full run, as rows before the stored watermark do
-    in the batch pipeline. The load itself ignores facts already present, so a batch
-    that is delivered again after a failure changes nothing.
+    Rows older than the newest event time of earlier batches less ``lateness`` would touch
+    days long settled. They are kept in a side table, ``late/batch=<n>`` under the store,
+    until ``merge_late`` loads them. The load ignores facts already present, so a batch or
+    a row that is delivered again changes nothing, and the stream needs no state but one
+    time per batch.
     """
-    fresh = results.withWatermark("checked_at", lateness).dropDuplicatesWithinWatermark(BUSINESS_KEY)
+    spark, root = results.sparkSession, store.root
 
-    def load(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        store.load(build_star(base_extract(History(batch, rules, datasets))))
+    def load(batch: DataFrame, number: int) -> None:
+        mark = _mark(spark, root, number - 1)
+        late = F.col("checked_at") <= F.lit(mark).cast("timestamp") if mark is not None else F.lit(False)
+        late = F.coalesce(late, F.lit(False))
+        # One read of the batch; its parts and its newest time come from the written copy.
+        folder = f"{root}/_stream/batch={number}"
+        batch.withColumn("_late", late).write.mode("overwrite").parquet(folder)
+        rows = spark.read.parquet(folder)
+        newest = rows.agg(F.max("checked_at").cast("timestamp") - F.expr(f"interval {lateness}")).first()[0]
+        settled = max((t for t in (mark, newest) if t is not None), default=None)
+        rows.where("_late").drop("_late").write.mode("overwrite").parquet(f"{root}/late/batch={number}")
+        fresh = rows.where("not _late").drop("_late")
+        if not fresh.isEmpty():
+            store.load(build_star(base_extract(History(fresh, rules, datasets))))
+        spark.createDataFrame([(settled,)], MARK_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/_marks/batch={number}")
 
     return (
-        fresh.writeStream.foreachBatch(load)
+        results.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def _mark(spark: SparkSession, root: str, number: int):
+    """Up to where everything counted as settled after batch ``number``."""
+    if number < 0:
+        return None
+    return spark.read.schema(MARK_SCHEMA).parquet(f"{root}/_marks/batch={number}").first()["mark"]
+
+
+def merge_late(store: StarStore, rules: DataFrame, datasets: DataFrame) -> LoadSummary:
+    """Load the rows that came too late for the stream; only their days are read.
+
+    Rows loaded before are skipped, so nothing need be removed and a second merge adds
+    nothing. The stream may go on meanwhile.
+    """
+    late = store.spark.read.parquet(f"{store.root}/late").drop("batch")
+    return store.load(build_star(base_extract(History(late, rules, datasets))))
