@@ -32,10 +32,12 @@ from pyspark.sql import types as T
 from truegauge.llm.lm import expand, squeeze
 from truegauge.llm.shared import stored
 
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 #: A worker remembers about so many units of at most this many characters, and encodes so
 #: many new ones at a time.
 UNITS, UNIT_CHARS, BATCH = 300_000, 40, 20_000
+#: Groups that are expanded to links at a time.
+BLOCK = 1 << 15
 #: A pair of ids as one number: A's above these bits, B's below.
 LOW = 32
 
@@ -189,15 +191,22 @@ class Units:
         self.in_a, self.in_b = flat[_ranges(ga_at, self.n_groups)].astype(np.int64), flat[_ranges(ga_at + self.n_groups, self.n_groups)].astype(np.int64)
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, pair code) of every link: per group, each A token with each B token."""
-        per_group = self.in_a * self.in_b
-        unit = np.repeat(np.repeat(np.arange(len(self.n_a)), self.n_groups), per_group)
-        nth = _ranges(np.zeros(len(per_group), np.int64), per_group)
-        width = np.repeat(self.in_b, per_group)
+        """(unit, pair code) of every link: per group, each A token with each B token.
+
+        Groups are expanded a block at a time, which bounds what is held beside the result.
+        """
+        of_group = np.repeat(np.arange(len(self.n_a), dtype=np.int32), self.n_groups)
         first_a, first_b = np.cumsum(self.in_a) - self.in_a, np.cumsum(self.in_b) - self.in_b
-        a = self.a[np.repeat(first_a, per_group) + nth // np.maximum(width, 1)]
-        b = self.b[np.repeat(first_b, per_group) + nth % np.maximum(width, 1)]
-        return unit, a << LOW | b
+        units, codes = [of_group[:0]], [self.a[:0]]
+        for at in range(0, len(of_group), BLOCK):
+            block = slice(at, at + BLOCK)
+            width, many = self.in_b[block], self.in_a[block] * self.in_b[block]
+            nth, across = _ranges(np.zeros(len(many), np.int64), many), np.repeat(width, many)
+            a = self.a[np.repeat(first_a[block], many) + nth // across]
+            b = self.b[np.repeat(first_b[block], many) + nth % across]
+            units.append(np.repeat(of_group[block], many))
+            codes.append(a << LOW | b)
+        return np.concatenate(units), np.concatenate(codes)
 
     def texts(self) -> list[str]:
         """The groups of each unit as text: ids of A, a bar, ids of B; semicolons between."""
