@@ -274,3 +274,24 @@ def test_rules_from_rows(spark):
     assert (first.id, first.severity, first.parameters) == (1, "MEDIUM", {})
     assert second.parameters == {"max": 5}
     assert checks.run_checks(column(spark, [4, 9], "int"), df).count() == 2
+
+
+def test_check_run_without_an_eligible_dataset(spark, data):
+    from truegauge.plans import check_run
+    from truegauge.plans.history import Inputs
+
+    inputs = Inputs(spark, data)
+    rows = inputs.lineitem.withColumn("dataset_id", F.lit(1).cast("long"))
+    done = check_run.run(rows, inputs.datasets.where("false"), inputs.rules, inputs.alert_configs, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    assert [df.count() for df in (done.scores, done.results, done.audit, done.alerts)] == [0, 0, 0, 0]
+
+
+def test_text_without_numbers_marks_no_row_and_runs_nothing_early(spark):
+    df = spark.createDataFrame([(1, "a", "1"), (2, "b", "x")], "id bigint, words string, some string")
+    rules = [Rule(1, "words", "RANGE", "HIGH", {"min": 0}), Rule(2, "some", "RANGE", "HIGH", {"min": 0})]
+    group = "violations-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    found = checks.violations(df, rules)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [(r.id, r.rule_id) for r in found.collect()] == [(2, 2)]

@@ -349,6 +349,27 @@ def test_upsert_without_changes_writes_nothing(spark, tmp_path):
     assert [tuple(r) for r in store.read("dim_rules").collect()] == [(7, "r7", "new")]
 
 
+def test_compaction_leaves_few_files_and_the_same_facts(spark, tmp_path):
+    store = StarStore(spark, str(tmp_path / "star"))
+    facts = star.transform(extract.base_extract(history(spark))).star.facts
+    store.append_facts(facts.withColumn("rule_id", F.lit(77).cast("long")))
+    busy = facts.where("id = 1")
+    for n in range(12):
+        store.append_facts(busy.withColumn("rule_id", F.lit(n).cast("long")))
+    day = busy.first().date_key
+
+    def files(d):
+        return len(glob.glob(f"{store.path('fact_quality_checks')}/date_key={d}/*.parquet"))
+
+    before = sorted(map(repr, store.read("fact_quality_checks").collect()))
+    assert files(day) == 13
+    others = {d.date_key: files(d.date_key) for d in facts.where("id <> 1").select("date_key").collect()}
+    assert store.compact(most=4) == [day]
+    assert files(day) == 1 and {d: files(d) for d in others} == others
+    assert sorted(map(repr, store.read("fact_quality_checks").collect())) == before
+    assert store.compact(most=4) == []
+
+
 def test_pipeline_failure_keeps_watermark(spark, tmp_path):
     root = str(tmp_path / "bad")
     broken = history(spark, [(4, 1, 1, True, -50, 10, T0 + timedelta(days=4))])

@@ -19,6 +19,7 @@ from truegauge.functions.keyed import pick_one
 from truegauge.functions.numeric import plain_mean, score_cents
 from truegauge.operators.integrity import day_figures, totals
 from truegauge.operators.star import BUSINESS_KEY, FACT_COLUMNS, Star
+from truegauge.session import path_exists
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -144,10 +145,9 @@ class StarStore:
 
     def _versions(self) -> dict[str, dict[int, tuple[str | None, int]]]:
         """Current folder of each bucket of the versioned tables; none if it has no rows."""
-        try:
-            rows = self.spark.read.schema(self.VERSION_SCHEMA).parquet(f"{self.root}/_versions")
-        except AnalysisException:
+        if not path_exists(self.spark, f"{self.root}/_versions"):
             return {}
+        rows = self.spark.read.schema(self.VERSION_SCHEMA).parquet(f"{self.root}/_versions")
         newest = rows.groupBy("name", "bucket").agg(F.max_by("folder", "n").alias("folder"), F.max("n").alias("n"))
         out: dict[str, dict[int, tuple[str | None, int]]] = {}
         for r in newest.collect():
@@ -157,6 +157,8 @@ class StarStore:
     def exists(self, table: str) -> bool:
         if table in self.VERSIONED:
             return table in self._versions()
+        if not path_exists(self.spark, self.path(table)):
+            return False
         try:
             self.spark.read.parquet(self.path(table)).schema
         except AnalysisException:
@@ -235,6 +237,21 @@ class StarStore:
         added.write.mode("append").partitionBy("date_key").parquet(self.path("fact_quality_checks"))
         return rows_of(seen)
 
+    def compact(self, most: int = 8) -> list[int]:
+        """Rewrite the days whose facts lie in more than ``most`` files; those days.
+
+        Every load adds files to its days. A rewritten day has as many as its size calls
+        for, as the rebalance hint packs small parts together. The rows stay the same. No
+        load may run meanwhile, so the stream does it between two of its batches.
+        """
+        table = "fact_quality_checks"
+        held = self.read(table).select("date_key", F.col("_metadata.file_path").alias("file"))
+        files = held.groupBy("date_key").agg(F.count_distinct("file").alias("n"))
+        days = sorted(r["date_key"] for r in files.where(F.col("n") > most).collect())
+        if days:
+            self.replace_days(table, self.read(table).where(F.col("date_key").isin(days)))
+        return days
+
     def _upsert(self, table: str, source: DataFrame) -> None:
         """Rows of ``source`` replace those of their id. Only buckets in which a row is new
         or differs are read in full and written; without one nothing is."""

@@ -470,12 +470,24 @@ def _stream_history(i: Inputs):
     return store.read("fact_quality_checks").select("dataset_id", "rule_id", "date_key", "checked_at")
 
 
-def _streamed(i: Inputs, results) -> StarStore:
+def _streamed(i: Inputs, results, **options) -> StarStore:
     store, checkpoint = StarStore(i.spark, scratch_dir(i.spark, "star")), scratch_dir(i.spark, "ckpt")
-    _feed(i, results, "checked_at", lambda s: stream_history(s, i.rules, i.datasets, store, checkpoint, lateness="60 days"))
+    _feed(i, results, "checked_at", lambda s: stream_history(s, i.rules, i.datasets, store, checkpoint, lateness="60 days", **options))
     return store
 
 
+@query(
+    "m01_stream_compacted",
+    STAR + " select date_key, count(*) as facts, 1::bigint as files from facts group by date_key",
+)
+def _stream_compacted(i: Inputs):
+    """Every result arrives twice in three batches; compaction leaves one small file per day."""
+    store = _streamed(i, i.check_results.unionByName(i.check_results), compact_every=1)
+    store.compact(most=1)
+    rows = store.read("fact_quality_checks").select("date_key", F.col("_metadata.file_path").alias("file"))
+    return rows.groupBy("date_key").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("file").alias("files"))
+
+
 @query("m02_redelivery", STAR + " select count(*) as n, count(distinct (dataset_id, rule_id, checked_at)) as keys from facts")
 def _redelivery(i: Inputs):
     """Every result arrives twice; the facts are those of one delivery."""

@@ -46,6 +46,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of its file system.
+
+    Reading what is absent would also tell, but as a failed query, which every listener of
+    the session would hear of.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from truegauge.functions.timing import parse_watermark
+from truegauge.session import path_exists
 
 STATE_SCHEMA = (
     "high_watermark STRING, last_run_id STRING, last_successful_run STRING, saved_at TIMESTAMP, "
@@ -37,6 +38,8 @@ class State:
 
 def load_state(spark: SparkSession, path: str) -> State:
     """Newest stored state; an absent or unreadable table is an empty state."""
+    if not path_exists(spark, path):
+        return State()
     try:
         row = spark.read.schema(STATE_SCHEMA).parquet(path).orderBy(F.desc("saved_at")).limit(1).first()
     except AnalysisException:

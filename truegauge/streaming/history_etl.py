@@ -21,6 +21,7 @@ def stream_history(
     checkpoint: str,
     lateness: str = "2 days",
     trigger: dict | None = None,
+    compact_every: int = 20,
 ) -> StreamingQuery:
     """Each micro-batch is joined, transformed and loaded like an incremental run.
 
@@ -28,7 +29,8 @@ def stream_history(
     days long settled. They are kept in a side table, ``late/batch=<n>`` under the store,
     until ``merge_late`` loads them. The load ignores facts already present, so a batch or
     a row that is delivered again changes nothing, and the stream needs no state but one
-    time per batch.
+    time per batch. After every ``compact_every`` batches, days of many small files are
+    compacted.
     """
     spark, root = results.sparkSession, store.root
 
@@ -46,6 +48,8 @@ def stream_history(
         fresh = rows.where("not _late").drop("_late")
         if not fresh.isEmpty():
             store.load(build_star(base_extract(History(fresh, rules, datasets))))
+        if (number + 1) % compact_every == 0 and store.exists("fact_quality_checks"):
+            store.compact()
         spark.createDataFrame([(settled,)], MARK_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/_marks/batch={number}")
 
     return (
