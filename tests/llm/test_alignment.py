@@ -97,6 +97,17 @@ def test_a_unit_that_is_not_spelled_leaves_the_others_alone():
     assert groups_of([" one", " three", " four"]) == whole_groups("one three four")
 
 
+def test_links_by_blocks_are_wide_enough_to_number_pairs(monkeypatch):
+    units = [" unbelievable", " été", " 中文字", "\nx", " cat"]
+    records = KNOWN.align(units)
+    told = alignment.Units(np.frombuffer(b"".join(records), "<i4"), np.array([len(r) // 4 for r in records]))
+    unit, code = told.links()
+    monkeypatch.setattr(alignment, "BLOCK", 2)
+    again = told.links()
+    assert unit.dtype == code.dtype == np.int64 and len(unit) == (told.in_a * told.in_b).sum()
+    assert unit.tolist() == again[0].tolist() and code.tolist() == again[1].tolist()
+
+
 def test_both_encoders_of_a_agree():
     slow = alignment.Aligner._encoder(A, {"merges": [["x", "y"]], "vocab": {}}, {})
     for text in ("The cat", " don't  <|endoftext|>\n\n été 中文 🙂", " 1234567 x" * 50):

@@ -206,7 +206,8 @@ class Units:
             b = self.b[np.repeat(first_b[block], many) + nth % across]
             units.append(np.repeat(of_group[block], many))
             codes.append(a << LOW | b)
-        return np.concatenate(units), np.concatenate(codes)
+        # Numbers of units and of codes are multiplied, beyond 32 bits in a full chunk.
+        return np.concatenate(units).astype(np.int64), np.concatenate(codes)
 
     def texts(self) -> list[str]:
         """The groups of each unit as text: ids of A, a bar, ids of B; semicolons between."""
