@@ -97,6 +97,14 @@ def test_a_unit_that_is_not_spelled_leaves_the_others_alone():
     assert groups_of([" one", " three", " four"]) == whole_groups("one three four")
 
 
+@pytest.mark.parametrize("texts", [["the cat  ", " 中 sat"], ["one\n", "\nbar"], ["x ", "  y"], ["a\t", " \tb c ", "  中"]])
+def test_blanks_at_the_ends_of_neighbouring_texts_stay_apart(texts):
+    units = [alignment.Aligner.units(KNOWN, t) for t in texts]
+    KNOWN.clear()
+    KNOWN.records(list(dict.fromkeys(u for x in units for u in x)))
+    assert [groups_of(x) for x in units] == [whole_groups(t) for t in texts]
+
+
 def test_links_by_blocks_are_wide_enough_to_number_pairs(monkeypatch):
     units = [" unbelievable", " été", " 中文字", "\nx", " cat"]
     records = KNOWN.align(units)

@@ -63,7 +63,8 @@ class Aligner(dict):
     """Unit -> [A tokens, B tokens, groups, A ids, B ids, A's group sizes, B's] as int32 bytes.
 
     The third number is -1 for a unit whose tokens do not spell it. Units that are not
-    known are encoded as one text, in which they are units too.
+    known are encoded as one text, in which they are units too; those that would not be,
+    as blanks at an end of a text would join others there, are encoded alone.
     """
 
     def __init__(self, a_path: str, b_path: str) -> None:
@@ -84,6 +85,8 @@ class Aligner(dict):
         # A line end starts a unit only if no piece holds one, a blank if none has one inside.
         starts = " " * all("▁" not in p.lstrip("▁") for p in pieces) + "\n" * all("\n" not in p for p in pieces)
         self.cut = re.compile(rf"(?<=\S)(?=[{starts}]\S)") if starts else None
+        #: What is cut off on both sides wherever it stands between others of its kind.
+        self.inner = re.compile(rf"[{starts}]\S(?:.*\S)?", re.DOTALL) if starts else re.compile(r"(?!)")
 
     @staticmethod
     def _encoder(path: str, model: dict, vocabulary: dict[int, bytes]) -> Callable[[str], list[int]]:
@@ -149,8 +152,9 @@ class Aligner(dict):
         """The records of distinct units."""
         found = list(map(self.get, units))
         missing = [i for i, r in enumerate(found) if r is None]
-        for first in range(0, len(missing), BATCH):
-            part = missing[first : first + BATCH]
+        inner = [i for i in missing if self.inner.fullmatch(units[i])]
+        parts = [inner[first : first + BATCH] for first in range(0, len(inner), BATCH)]
+        for part in [*parts, *([i] for i in sorted(set(missing).difference(inner)))]:
             for i, record in zip(part, self.align([units[i] for i in part])):
                 found[i] = record
                 if len(units[i]) <= UNIT_CHARS:
