@@ -33,3 +33,9 @@ def test_odd_texts_come_back(spark, data, tmp_path, name, rows):
 @pytest.mark.parametrize("name", ["a03_encoding_whole", "a03_quoted_documents_whole", "m04_stream_checks_whole"])
 def test_given_tables(spark, data, name):
     compared(spark, data, name)
+
+
+def test_stream_checks_give_a_row_per_user_day_and_rule(spark, data):
+    want = duckdb.connect().execute(f"select count(*) * 3 from (select distinct user_id, cast(ts as date) as day from '{data}/events.parquet' where cast(ts as date) + interval 1 day <= (select max(ts) - interval 12 hour from '{data}/events.parquet'))").fetchone()[0]
+    found = entry_point.queries()["m04_stream_checks"](spark, data)
+    assert {"user_id", "day", "rule_id"} <= set(found.columns) and found.distinct().count() == want
