@@ -21,6 +21,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,7 +56,8 @@ def visible_bytes() -> dict[str, int]:
 def common_ends(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ends that A and B share, in order, and how many tokens of each end up to there."""
     a_at, b_at = dict(zip(a_ends, itertools.count(1))), dict(zip(b_ends, itertools.count(1)))
-    common = sorted(a_at.keys() & b_at.keys())
+    # Ends grow, so the keys of a dictionary are in order.
+    common = list(filter(a_at.__contains__, b_at))
     return np.array(common, np.int64), *(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (a_at, b_at))
 
 
@@ -84,7 +86,8 @@ class Aligner(dict):
         self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         # A line end starts a unit only if no piece holds one, a blank if none has one inside.
         starts = " " * all("▁" not in p.lstrip("▁") for p in pieces) + "\n" * all("\n" not in p for p in pieces)
-        self.cut = re.compile(rf"(?<=\S)(?=[{starts}]\S)") if starts else None
+        # A unit goes on over blanks at which it is not cut; run by run, not by character.
+        self.unit = re.compile(rf"\s*\S+(?:(?![{starts}]\S)\s+\S*)*+") if starts else None
         #: What is cut off on both sides wherever it stands between others of its kind.
         self.inner = re.compile(rf"[{starts}]\S(?:.*\S)?", re.DOTALL) if starts else re.compile(r"(?!)")
 
@@ -111,7 +114,7 @@ class Aligner(dict):
     def units(self, text: str) -> list[str]:
         """The units of a blank and ``text``."""
         whole = " " + text
-        return self.cut.split(whole) if self.cut else [whole]
+        return self.unit.findall(whole) if self.unit and not whole.isspace() else [whole]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of A and B; None if either does not spell the text."""
@@ -164,6 +167,11 @@ class Aligner(dict):
         return found
 
 
+def numbering() -> defaultdict[str, int]:
+    """Numbers in the order in which units are asked for first."""
+    return defaultdict(itertools.count().__next__)
+
+
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -260,18 +268,18 @@ def chunked(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, chun
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, key_type = aligner(a_path, b_path), pa.null()
-        keys, numbers, number, chars = [], [], {}, 0
+        keys, numbers, number, chars = [], [], numbering(), 0
         for batch in batches:
             key_type = batch.column(0).type
             for k, value in zip(batch.column(0), batch.column(1)):
                 body = value.as_py() or ""
-                mine = [number.setdefault(unit, len(number)) for unit in known.units(body)] if body else []
+                mine = list(map(number.__getitem__, known.units(body))) if body else []
                 keys.append(k.as_py())
                 numbers.append(np.array(mine, np.int32))
                 chars += len(body)
                 if chars >= chunk:
                     yield pack(keys, numbers, known.records(list(number)), key_type)
-                    keys, numbers, number, chars = [], [], {}, 0
+                    keys, numbers, number, chars = [], [], numbering(), 0
         if keys:
             yield pack(keys, numbers, known.records(list(number)), key_type)
 
