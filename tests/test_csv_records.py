@@ -83,3 +83,15 @@ def test_a_field_that_never_closes(spark, tmp_path, small_splits):
     path.write_text("a,b\n1,\"x\ny\"\n2,\"never\nends\n3,z\n")
     found = sorted(r.record for r in csv_records.records(spark, str(path), ",", "UTF-8").collect())
     assert found == ['1,"x\ny"', '2,"never\nends\n3,z', "a,b"]
+
+
+def test_a_split_is_worked_on_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_records, "SLICE_LINES", 2)
+    text = make(5, 80) + '7,"over\n\n\nmany\nmore\nlines\nthan\na\nslice"\n'
+    path = tmp_path / "slices.csv"
+    path.write_bytes(text.encode())
+    rows = csv_records.lines(spark, str(path), "UTF-8")
+    assert rows.groupBy(*csv_records.SPLIT).count().where("count > 4").isEmpty()
+    found = csv_records.records(spark, str(path), ",", "UTF-8").collect()
+    assert sum(r["first"] for r in found) == 1
+    assert sorted(next(csv.reader(io.StringIO(r.record, newline=""))) for r in found) == sorted(r for r in plain(text) if r)
