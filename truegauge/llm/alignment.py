@@ -36,7 +36,7 @@ from truegauge.llm.shared import stored
 CHUNK = 3_000_000
 #: A worker remembers about so many units of at most this many characters, and encodes so
 #: many new ones at a time.
-UNITS, UNIT_CHARS, BATCH = 300_000, 40, 20_000
+UNITS, UNIT_CHARS, BATCH = 150_000, 40, 20_000
 #: Groups that are expanded to links at a time.
 BLOCK = 1 << 15
 #: A pair of ids as one number: A's above these bits, B's below.
@@ -160,9 +160,10 @@ class Aligner(dict):
         for part in [*parts, *([i] for i in sorted(set(missing).difference(inner)))]:
             for i, record in zip(part, self.align([units[i] for i in part])):
                 found[i] = record
-                if len(units[i]) <= UNIT_CHARS:
+                if len(units[i]) <= UNIT_CHARS and len(self) < UNITS:
                     self[units[i]] = record
-        if len(self) > UNITS:
+        # Units of other texts than these, of another language, say.
+        if len(self) >= UNITS and 4 * len(missing) > 3 * len(units):
             self.clear()
         return found
 
@@ -278,8 +279,9 @@ def chunked(docs: DataFrame, a_path: str, b_path: str, key: str, text: str, chun
                 numbers.append(np.array(mine, np.int32))
                 chars += len(body)
                 if chars >= chunk:
-                    yield pack(keys, numbers, known.records(list(number)), key_type)
-                    keys, numbers, number, chars = [], [], numbering(), 0
+                    records, number = known.records(list(number)), numbering()
+                    yield pack(keys, numbers, records, key_type)
+                    keys, numbers, records, chars = [], [], [], 0
         if keys:
             yield pack(keys, numbers, known.records(list(number)), key_type)
 
