@@ -3,7 +3,7 @@
 import json
 import uuid
 
-from truegauge.sources import files
+from truegauge.sources import csv_records, files
 from truegauge.sources.profiles import profile_many
 
 
@@ -88,3 +88,10 @@ def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
     found, second = jobs(spark, many)
     assert [r["row_count"] for r in found] == [n + 1 for n in range(24) for _ in range(2)]
     assert second <= first + 4
+
+
+def test_lines_that_are_records_are_not_put_together(spark, tmp_path, monkeypatch):
+    (tmp_path / "plain.csv").write_text('\na;b\r\n1;"x;""y"""\r\n\r\n2;z;\r\n3;w\r\n')
+    monkeypatch.setattr(csv_records, "assemble", None)
+    row = profile_many(spark, [str(tmp_path / "plain.csv")]).first()
+    assert (row.status, row.row_count, row.column_count, row.dtypes["a"]) == ("PENDING", 2, 2, "bigint")

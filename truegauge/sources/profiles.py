@@ -16,6 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from truegauge.session import scratch_dir
 from truegauge.sources import csv_records, files, json_records
 from truegauge.sources.files import InvalidInput, dataset_name, file_type
 
@@ -67,7 +68,14 @@ def _datasets(spark: SparkSession, paths: list[str]) -> DataFrame:
     parts = F.split(F.regexp_replace("file", _SCHEME, "/"), "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     known = spark.createDataFrame([(re.sub(_SCHEME, "/", p).rstrip("/"), p) for p in paths], "plain string, path string")
-    return names.withColumn("plain", F.explode(above)).join(known, "plain").select("file", "path")
+    # Written once, so that its size is known: joined to lines, it need not be listed again.
+    return _kept(names.withColumn("plain", F.explode(above)).join(known, "plain").select("file", "path"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    path = scratch_dir(df.sparkSession, "datasets")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --- JSON ------------------------------------------------------------------
@@ -110,34 +118,49 @@ def _csv(spark: SparkSession, paths: list[str]) -> list[Row]:
     if not known:
         return [(p, None, None, files.EMPTY_FILE) for p in paths]
     width = max(r["fields"] for r in layouts)
-    table = spark.createDataFrame([(r["path"], r["delimiter"], r["foreign"]) for r in layouts], "path string, delimiter string, foreign boolean")
+    table = spark.createDataFrame([(r["path"], r["delimiter"], r["foreign"], r["torn"]) for r in layouts], "path string, delimiter string, foreign boolean, torn boolean")
     decoded = F.when(F.col("foreign"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value"))
     laid = rows.join(table, "path").withColumn("value", decoded).drop("foreign")
-    records = csv_records.assemble(laid, F.col("delimiter"), ["path", "delimiter"])
+    records = _records(laid, {r["torn"] for r in layouts})
     parsed = records.select("path", "file", "first", _values(width).alias("values"), _fields().alias("fields"))
     first = F.struct("file", "fields", "values")
     heads = parsed.where("first").groupBy("path").agg(F.min(first).alias("head")).select("path", F.col("head.fields").alias("wide"), F.col("head.values").alias("names"))
-    kept = parsed.where("not first").join(heads, "path").where("fields <= wide")
-    counts = {r["path"]: r["n"] for r in kept.groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = {r["path"]: r for r in heads.collect()}
+    wide = spark.createDataFrame([(p, r["wide"]) for p, r in names.items()], "path string, wide int")
+    kept = parsed.where("not first").join(wide, "path").where("fields <= wide")
+    # Every record has a first field, so its cells tell the number of records too.
     cells = kept.select("path", "wide", F.posexplode("values").alias("pos", "text")).where("pos < wide")
     clean = cells.select("path", "pos", F.when(~F.col("text").isin(files.NA_TOKENS), F.col("text")).alias("text"))
-    kinds = {(r["path"], r["pos"]): r for r in clean.groupBy("path", "pos").agg(files.type_facts("text").alias("f")).collect()}
+    kinds = {(r["path"], r["pos"]): r for r in clean.groupBy("path", "pos").agg(F.count(F.lit(1)).alias("n"), files.type_facts("text").alias("f")).collect()}
     out: list[Row] = []
-    names = {r["path"]: r for r in heads.collect()}
     for path in paths:
         if path not in names:
             out.append((path, None, None, files.EMPTY_FILE if path not in known else files.NO_COLUMNS))
             continue
         columns = files.header_names(names[path]["names"][: names[path]["wide"]])
         typed = [(c, files.type_name(kinds[path, n]["f"]) if (path, n) in kinds else "string") for n, c in enumerate(columns)]
-        out.append((path, counts.get(path, 0), typed, None))
+        out.append((path, kinds[path, 0]["n"] if (path, 0) in kinds else 0, typed, None))
     return out
 
 
+def _records(laid: DataFrame, torn: set[bool]) -> DataFrame:
+    """Records of all data sets; only those with lines that leave a field open are put together."""
+    also = ["path", "delimiter"]
+    parts = []
+    if True in torn:
+        parts.append(csv_records.assemble(laid.where("torn").drop("torn"), F.col("delimiter"), also))
+    if False in torn:
+        plain = laid.where("not torn")
+        parts.append(csv_records.whole_lines(plain, _kept(csv_records.first_lines(plain)), also))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _layouts(rows: DataFrame) -> DataFrame:
-    """``path, delimiter, foreign, fields``: the delimiter that splits the first lines of a
-    data set most evenly, whether its text is not UTF-8, and the fields of its first line."""
-    whole = rows.groupBy("path").agg(F.min("file").alias("file"), F.bool_or(~F.is_valid_utf8("value")).alias("foreign"))
+    """``path, delimiter, foreign, fields, torn``: the delimiter that splits the first lines of
+    a data set most evenly, whether its text is not UTF-8, the fields of its first line, and
+    whether a line may leave a quoted field open (of text that is not UTF-8 this is not asked)."""
+    opened = [F.bool_or(csv_records.opens(F.col("value"), d)) for d in files.DELIMITERS]
+    whole = rows.groupBy("path").agg(F.min("file").alias("file"), F.bool_or(~F.is_valid_utf8("value")).alias("foreign"), F.array(*opened).alias("opened"))
     in_file = Window.partitionBy("path", "file").orderBy("at")
     opening = rows.where("block = 0").withColumn("nth", F.row_number().over(in_file)).where(F.col("nth") <= files.SNIFF_CHARS)
     size = F.length("value") + 1
@@ -160,7 +183,7 @@ def _layouts(rows: DataFrame) -> DataFrame:
     chosen = F.when(best["same"] > 0, -best["rank"]).otherwise(0)
     told = heads.withColumn("k", chosen).join(whole.drop("file"), "path")
     delimiter = F.element_at(F.array(*[F.lit(d) for d in files.DELIMITERS]), (F.col("k") + 1).cast("int"))
-    return told.select("path", delimiter.alias("delimiter"), "foreign", (F.col("lines")[0]["n"][F.col("k")] + 1).alias("fields"))
+    return told.select("path", delimiter.alias("delimiter"), "foreign", (F.col("lines")[0]["n"][F.col("k")] + 1).alias("fields"), (F.col("foreign") | F.get("opened", F.col("k").cast("int"))).alias("torn"))
 
 
 def _values(width: int) -> Column:
