@@ -97,6 +97,41 @@ def test_trie_holds_its_phrases_and_no_others(seed):
     assert (arrays[2] >= 0).sum() == len({g[:k] for g in grams for k in range(1, len(g) + 1)})
 
 
+@pytest.mark.parametrize("bits", [1, 7, 16, 23, 32])
+def test_spread_keys_are_one_to_one(bits):
+    keys = np.unique(np.random.default_rng(bits).integers(0, 1 << 2 * bits, 5000, dtype=np.uint64))
+    mixed = collocations.spread(keys, bits)
+    assert len(np.unique(mixed)) == len(keys) and int(mixed.max()) < 1 << 2 * bits
+    assert (collocations.unspread(mixed, bits) == keys).all()
+
+
+def test_candidates_are_the_frequent_phrases_each_once(spark, monkeypatch):
+    # Many rare phrases, and frequent ones that occur in each of many chunks.
+    rng = np.random.default_rng(7)
+    rows = [(" ".join(f"w{w}" for w in rng.integers(0, 300, 250)) + " new york city hall new york", "en") for _ in range(240)]
+    made, write = {}, collocations.stored
+
+    def stored(df, purpose):
+        made.setdefault(purpose, []).append(write(df, purpose))
+        return made[purpose][-1]
+
+    monkeypatch.setattr(collocations, "stored", stored)
+    monkeypatch.setattr(collocations, "RANGE", 9000)
+    collocations.collocations(frame(spark, rows).repartition(2), chunk=6000)
+    counts = Counter()
+    for text, _ in rows:
+        words = text.split()
+        for k in (2, 3, 4):
+            counts.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    frequent = {g for g, c in counts.items() if c >= 30}
+    word = {r["id"]: r["word"] for r in made["word-ids"][0].collect()}
+    got = [tuple(word[w] for w in r[1:]) for df in made["candidates"] for r in df.collect()]
+    assert sorted(got) == sorted(frequent) and {len(g) for g in got} == {2, 3, 4}
+    # Packed rows: one per chunk and range and one per range, none per phrase.
+    chunks, ranges = made["chunks"][0].count(), -(-240 * 256 // 9000)
+    assert chunks >= 10 and all(df.count() <= (chunks + 1) * ranges for df in made["frequent-keys"])
+
+
 def test_query_and_its_sql(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("text", "lang").collect()
     rows = found(queries.QUERIES["op12_trie_collocations"](spark, data))

@@ -1,13 +1,13 @@
-"""Phrase collocations: Apriori-safe candidates counted by broadcast double-array tries.
+"""Phrase collocations: Apriori candidates counted by broadcast double-array tries.
 
 1. Tasks gather documents in chunks of about ``CHUNK`` words. Words are counted by plain
    grouping; those that are frequent in their language get numbers, the others, and the
    ends of pieces, are gaps that no phrase crosses.
-2. A phrase can only be frequent if its shorter parts are. So pairs of frequent words are
-   candidates, then longer phrases all of whose pairs may be frequent, and of both only
-   those whose hash bucket is as full as a frequent phrase would make it. There are about
-   as many buckets as positions; chunks send how full they make them, packed, to ranges of
-   buckets and get back one bit for each.
+2. A phrase can only be frequent if its shorter parts are. So phrases are found size by
+   size: each frequent one gets a number, and one that is a word longer is the pair of the
+   numbers at two neighbouring positions. Such pairs are keys, spread evenly and one to
+   one. Chunks send the distinct ones, packed, to ranges of keys, which add up, number
+   those that are frequent, and answer; a range states each frequent phrase once.
 3. The distinct candidates become double-array tries of bounded size (``TRIE`` phrases),
    dealt by their first two words. Up to ``BROADCAST`` bytes of tries are broadcast per
    pass over the chunks; more candidates are more passes. In a pass the states of all
@@ -18,12 +18,12 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 #: Parts of a language that are ranked on their own first.
 PARTS = 32
-#: Words of a chunk, bucket entries of a range, phrases of a trie, bytes of tries per
+#: Words of a chunk, positions per range of keys, phrases of a trie, bytes of tries per
 #: pass, and states of a slice.
 CHUNK, RANGE, TRIE, BROADCAST, SLICE = 1 << 20, 1 << 20, 1 << 18, 1 << 25, 1 << 15
 
@@ -146,101 +146,134 @@ def grams_at(ids: np.ndarray, pairs: np.ndarray | None, size: int) -> np.ndarray
     return np.nonzero(ok)[0]
 
 
-def gram_hash(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    h = np.full(len(at), size, np.uint64)
-    for k in range(size):
-        h = (h ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+#: Odd factors that spread keys; each has an inverse.
+_MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
-def _filled(rows: DataFrame, sizes: tuple[int, ...], bits: int, least: int, entries: int) -> DataFrame:
-    """Rows (chunk, ids, pairs) with ``full``: per size a bit for each distinct bucket of the
-    chunk, in order, that all chunks together fill ``least`` times."""
-    ranges = tasks_for(entries, RANGE)
+def spread(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of 2 * ``bits`` bits in an even order, one to one."""
+    mask, half = np.uint64((1 << 2 * bits) - 1), np.uint64(bits)
+    for odd in _MIX:
+        keys = keys * np.uint64(odd) & mask
+        keys = keys ^ keys >> half
+    return keys
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                for size in sizes:
-                    bucket, counts = np.unique(_buckets(row, size, bits)[1], return_counts=True)
-                    where = bucket * np.uint64(ranges) >> np.uint64(bits)
-                    cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-                    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                    columns = [pa.array([int(where[a]) for a, _ in spans], pa.int64()), pa.array([row["chunk"]] * len(spans), pa.int64()), pa.array([size] * len(spans), pa.int32()), pa.array([squeeze_sorted(bucket[a:b]) for a, b in spans], pa.binary()), pa.array([squeeze(np.minimum(counts[a:b], least).astype("<u4")) for a, b in spans], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["range", "asking", "size", "buckets", "counts"])
 
-    def add_up(group: pa.Table) -> pa.Table:
-        out = []
-        for size in sizes:
-            mine = group.filter(pa.compute.equal(group.column("size"), size))
-            buckets = [expand_sorted(x.as_py()) for x in mine.column("buckets")]
-            if not buckets:
-                continue
-            counts = np.concatenate([expand(x.as_py(), "<u4") for x in mine.column("counts")])
-            _, of = np.unique(np.concatenate(buckets), return_inverse=True)
-            full = (np.bincount(of, weights=counts) >= least)[of]
-            ends = np.cumsum([len(b) for b in buckets])
-            for chunk, b, end in zip(mine.column("asking").to_pylist(), buckets, ends.tolist()):
-                out.append((chunk, size, group.column("range")[0].as_py(), len(b), np.packbits(full[end - len(b) : end]).tobytes()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])], names=["asking", "size", "range", "n", "bits"])
-
-    asked = rows.mapInArrow(ask, "range long, asking long, size int, buckets binary, counts binary")
-    # As many tasks as there are ranges, whatever the session's number is.
-    asked = asked.repartition(ranges, "range")
-    return stored(asked.groupBy("range").applyInArrow(add_up, "asking long, size int, range long, n long, bits binary"), "full-buckets")
+def unspread(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The keys that ``spread`` was given."""
+    mask, half = np.uint64((1 << 2 * bits) - 1), np.uint64(bits)
+    for odd in reversed(_MIX):
+        keys = keys ^ keys >> half
+        keys = keys * np.uint64(pow(odd, -1, 1 << 64)) & mask
+    return keys
 
 
-def _buckets(row: dict, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the possible phrases of a chunk begin, and their buckets."""
-    ids = expand(row["ids"], "<i4")
-    pairs = None if size == 2 else np.unpackbits(np.frombuffer(row["pairs"], np.uint8), count=max(0, len(ids) - 1)).astype(bool)
-    at = grams_at(ids, pairs, size)
-    return at, gram_hash(ids, at, size) >> np.uint64(64 - bits)
+def _numbers(data: bytes) -> np.ndarray:
+    """Numbers of a chunk's positions, -1 where there is none."""
+    numbers = expand(data, "<u4").astype(np.int64)
+    numbers[numbers == 0xFFFFFFFF] = -1
+    return numbers
 
 
-def _full_at(row: dict, answers: pa.Table, size: int, bits: int) -> np.ndarray:
-    """Where phrases begin whose bucket is full."""
-    at, bucket = _buckets(row, size, bits)
-    mine = answers.filter(pa.compute.equal(answers.column("size"), size)).sort_by("range")
-    full = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(mine.column("bits").to_pylist(), mine.column("n").to_pylist())]
-    if not full:
-        return at[:0]
-    _, of = np.unique(bucket, return_inverse=True)
-    return at[np.concatenate(full).astype(bool)[of]]
+def _keys(numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where two neighbours have numbers, and the spread keys of the two."""
+    at = grams_at(numbers, None, 2)
+    key = numbers[at].astype(np.uint64) << np.uint64(bits) | numbers[at + 1].astype(np.uint64)
+    return at, spread(key, bits)
 
 
-def candidates(chunks: DataFrame, least: int, longest: int) -> DataFrame:
-    """Distinct phrases (w1, ..., -1 beyond the end) that may be frequent; none that is, is missing."""
-    positions = int(chunks.agg(F.coalesce(F.sum("positions"), F.lit(0))).first()[0])
-    bits = max(16, min(48, positions.bit_length()))
-    words = [f"w{k + 1}" for k in range(longest)]
+def longer(rows: DataFrame, used: int, least: int, ranges: int, again: bool) -> tuple[DataFrame, DataFrame | None, int]:
+    """From numbers of phrases at positions to those of phrases that are one word longer.
 
-    def distinct(ids: np.ndarray, at: np.ndarray, size: int) -> pa.Table:
-        grams = np.stack([ids[at + k] if k < size else np.full(len(at), -1, np.int32) for k in range(longest)], axis=1)
-        grams = np.unique(grams, axis=0) if len(grams) else grams
-        return pa.table({w: pa.array(grams[:, k], pa.int32()) for k, w in enumerate(words)})
-
-    def keep_pairs(_, left: pa.Table, answers: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        ids = expand(row["ids"], "<i4")
-        pairs = np.zeros(max(0, len(ids) - 1), bool)
-        pairs[_full_at(row, answers, 2, bits)] = True
-        return pa.table({"chunk": left.column("chunk"), "ids": left.column("ids"), "pairs": pa.array([np.packbits(pairs).tobytes()], pa.binary())})
+    ``rows`` are (chunk, numbers) with numbers below ``used``; a longer phrase is the key of
+    two neighbours. Returns (number, left, right) of all that occur ``least`` times, each
+    once; ``rows`` with the new numbers, if asked for ``again``; and how many there are.
+    """
+    bits = max(1, (used - 1).bit_length())
+    if bits > 32:
+        raise ValueError(f"{used} phrases of one size; numbers have 32 bits")
 
-    def of_chunk(_, left: pa.Table, answers: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        ids = expand(row["ids"], "<i4")
-        pairs = np.unpackbits(np.frombuffer(row["pairs"], np.uint8), count=max(0, len(ids) - 1))
-        return pa.concat_tables([distinct(ids, np.nonzero(pairs)[0], 2), *[distinct(ids, _full_at(row, answers, k, bits), k) for k in range(3, longest + 1)]])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                keys, counts = np.unique(_keys(_numbers(data.as_py()), bits)[1], return_counts=True)
+                where = (keys >> np.uint64(max(0, 2 * bits - 32))) * np.uint64(ranges) >> np.uint64(min(32, 2 * bits))
+                cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                columns = [pa.array([int(where[a]) for a, _ in spans], pa.int64()), pa.array([chunk] * len(spans), pa.int64()), pa.array([squeeze_sorted(keys[a:b]) for a, b in spans], pa.binary()), pa.array([squeeze(np.minimum(counts[a:b], least).astype("<u4")) for a, b in spans], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "asking", "keys", "counts"])
 
-    first = _filled(chunks.select("chunk", "ids", F.lit(None).cast("binary").alias("pairs")), (2,), bits, least, positions)
-    paired = stored(chunks.select("chunk", "ids").groupBy("chunk").cogroup(first.groupBy("asking")).applyInArrow(keep_pairs, "chunk long, ids binary, pairs binary"), "pairs")
-    more = _filled(paired, tuple(range(3, longest + 1)), bits, least, positions)
-    rows = paired.groupBy("chunk").cogroup(more.groupBy("asking")).applyInArrow(of_chunk, ", ".join(f"{w} int" for w in words))
-    return stored(rows.distinct(), "candidates")
+    def add_up(group: pa.Table) -> pa.Table:
+        keys = [expand_sorted(x.as_py()) for x in group.column("keys")]
+        counts = np.concatenate([expand(x.as_py(), "<u4") for x in group.column("counts")])
+        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+        full = np.bincount(of, weights=counts) >= least
+        nth = np.cumsum(full).astype(np.uint64) - np.uint64(1)
+        span = group.column("range")[0].as_py()
+        out = [(None, span, int(full.sum()), squeeze_sorted(distinct[full]), None)]
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        for chunk, first, end in zip(group.column("asking").to_pylist(), [0, *ends], ends) if again else ():
+            mine = of[first:end]
+            out.append((chunk, span, end - first, squeeze_sorted(nth[mine[full[mine]]]), np.packbits(full[mine]).tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])], names=["asking", "range", "n", "data", "bits"])
+
+    asked = rows.select("chunk", "numbers").mapInArrow(ask, "range long, asking long, keys binary, counts binary")
+    # As many tasks as there are ranges, whatever the session's number is.
+    asked = asked.repartition(ranges, "range")
+    answers = stored(asked.groupBy("range").applyInArrow(add_up, "asking long, range long, n long, data binary, bits binary"), "frequent-keys")
+    frequent = answers.where("asking is null")
+    # A number per range: its phrases are numbered from there on.
+    starts, total = {}, 0
+    for r in frequent.select("range", "n").orderBy("range").collect():
+        starts[r["range"]] = total
+        total += r["n"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = unspread(expand_sorted(r["data"]), bits)
+                columns = [np.arange(r["n"]) + starts[r["range"]], keys >> np.uint64(bits), keys & np.uint64((1 << bits) - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["number", "left", "right"])
+
+    def renumber(_, left: pa.Table, answers: pa.Table) -> pa.Table:
+        numbers = _numbers(left.column("numbers")[0].as_py())
+        at, keys = _keys(numbers, bits)
+        new, parts = np.full(len(numbers), 0xFFFFFFFF, "<u4"), [np.empty(0, "<u4")]
+        for r in answers.sort_by("range").to_pylist():
+            parts.append(np.full(r["n"], 0xFFFFFFFF, "<u4"))
+            full = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool)
+            parts[-1][full] = expand_sorted(r["data"]) + np.uint64(starts[r["range"]])
+        new[at] = np.concatenate(parts)[np.unique(keys, return_inverse=True)[1]]
+        return pa.table({"chunk": left.column("chunk"), "numbers": pa.array([squeeze(new)], pa.binary())})
+
+    found = frequent.select("range", "n", "data").mapInArrow(read, "number long, left long, right long")
+    if not again:
+        return found, None, total
+    answers = answers.where("asking is not null")
+    return found, stored(rows.select("chunk", "numbers").groupBy("chunk").cogroup(answers.groupBy("asking")).applyInArrow(renumber, "chunk long, numbers binary"), "numbers"), total
+
+
+def candidates(chunks: DataFrame, used: int, least: int, longest: int) -> DataFrame:
+    """The phrases (w1, ..., -1 beyond the end) that occur ``least`` times or more, each once.
+
+    ``used`` is how many numbers of words there are.
+    """
+    positions = int(chunks.agg(F.coalesce(F.sum("positions"), F.lit(0))).first()[0])
+    ranges = tasks_for(positions, RANGE)
+    rows, shorter, sizes = chunks.select("chunk", F.col("ids").alias("numbers")), None, []
+    for size in range(2, longest + 1):
+        found, rows, used = longer(rows, used, least, ranges, size < longest)
+        if shorter is None:
+            found = found.select("number", F.col("left").cast("int").alias("w1"), F.col("right").cast("int").alias("w2"))
+        else:
+            # The words of the left part, then the last one of the right part.
+            last = shorter.select(F.col("number").alias("right"), F.col(f"w{size - 1}").alias(f"w{size}"))
+            found = found.join(shorter.withColumnRenamed("number", "left"), "left").join(last, "right").drop("left", "right")
+        shorter = stored(found, "candidates")
+        sizes.append(shorter.select(*[F.col(f"w{k}") if k <= size else F.lit(-1).alias(f"w{k}") for k in range(1, longest + 1)]))
+        if not used:
+            break
+    return functools.reduce(DataFrame.unionByName, sizes)
 
 
 # -------------------------------------------------------------------------- tries
@@ -432,7 +465,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     chunks = chunked(docs, text, lang, chunk)
     known, sizes = frequent_words(chunks, least)
     texts = encoded(chunks, known)
-    found = counted(texts, tries(candidates(texts, least, longest), longest, trie), longest, least, broadcast)
+    found = counted(texts, tries(candidates(texts, known.count(), least, longest), longest, trie), longest, least, broadcast)
 
     # Phrases and words by their numbers; of all of them the counts are known.
     ids = F.filter(F.array(*[f"w{k + 1}" for k in range(longest)]), lambda w: w >= 0)
