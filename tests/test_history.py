@@ -50,6 +50,24 @@ def test_transform(spark):
     assert made.warnings.count() == 0
 
 
+def test_dimensions_need_one_row_per_dataset_and_rule(spark):
+    # A dataset that holds most results; results that know no rule, no dataset or no time.
+    rows = [(100 + n, 2, 3 - n % 2, True, 0, 10, T0 - timedelta(hours=n % 7)) for n in range(400)]
+    rows += [(5, 1, 9, True, 0, 10, T0 - timedelta(days=9)), (6, 9, 1, True, 0, 10, T0), (7, None, None, True, 0, 10, T0), (8, 1, 3, True, 0, 10, None)]
+    h = history(spark, rows)
+    # Keys that come twice, with other values.
+    h = History(h.check_results, h.rules.union(h.rules.withColumn("severity", F.lit("LOW"))), h.datasets.union(h.datasets.withColumn("name", F.lit("a"))))
+    raw, met = extract.base_extract(h), extract.dimension_extract(h)
+    assert raw.count() > 1600 and met.count() == 4 * 5
+    plain, reduced = star.build_star(raw), star.build_star(raw, met)
+    for table in ("dim_datasets", "dim_rules", "dim_date", "facts"):
+        one, other = getattr(plain, table), getattr(reduced, table)
+        assert one.schema == other.schema and sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert reduced.dim_date.count() == 4
+    nothing = extract.dimension_extract(History(h.check_results.where("checked_at is null"), h.rules, h.datasets))
+    assert star.build_dim_date(nothing).count() == 0 and star.build_dim_rules(nothing).count() == 1
+
+
 def test_transform_warnings(spark):
     rows = [(4, 1, 1, True, 0, 0, T0), (5, 1, 1, False, 1, 10, T0), (6, 2, 1, True, 0, 5, None)]
     made = star.transform(extract.base_extract(history(spark, rows)))

@@ -123,9 +123,13 @@ def build_dim_rules(raw: DataFrame) -> DataFrame:
 
 
 def build_dim_date(raw: DataFrame) -> DataFrame:
-    """Every day from the first to the last check; no rows without valid dates."""
-    day = F.to_date(to_utc(F.col("checked_at")))
-    span = raw.agg(F.min(day).alias("first"), F.max(day).alias("last")).where("first is not null")
+    """Every day from the first to the last check; no rows without valid dates.
+
+    Rows of several checks hold the last of them in ``last_checked_at``.
+    """
+    last = "last_checked_at" if "last_checked_at" in raw.columns else "checked_at"
+    first, last = (F.to_date(to_utc(F.col(c))) for c in ("checked_at", last))
+    span = raw.agg(F.min(first).alias("first"), F.max(last).alias("last")).where("first is not null")
     days = span.select(F.explode(F.sequence("first", "last")).alias("full_date"))
     full = F.col("full_date")
     return days.select(
@@ -187,10 +191,15 @@ def date_key_problems(facts: DataFrame, dim_date: DataFrame) -> DataFrame:
     return undated.unionByName(unknown)
 
 
-def build_star(raw: DataFrame) -> Star:
-    """The four tables. Nothing runs until one of them is used."""
+def build_star(raw: DataFrame, dims: DataFrame | None = None) -> Star:
+    """The four tables. Nothing runs until one of them is used.
+
+    ``dims``, the ``dimension_extract`` of the same history, spares the dimensions the rows
+    of all results.
+    """
     check_schema(raw.select(*[c for c in raw.columns if c in REQUIRED]), REQUIRED, "raw")
-    return Star(build_dim_datasets(raw), build_dim_rules(raw), build_dim_date(raw), build_facts(raw))
+    dims = raw if dims is None else dims
+    return Star(build_dim_datasets(dims), build_dim_rules(dims), build_dim_date(dims), build_facts(raw))
 
 
 def transform(raw: DataFrame) -> Transformed:

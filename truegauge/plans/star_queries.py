@@ -81,12 +81,23 @@ def raw(i: Inputs):
     return extract.base_extract(i.history)
 
 
+def met(i: Inputs):
+    return extract.dimension_extract(i.history)
+
+
 def built(i: Inputs) -> Star:
-    return star.build_star(raw(i))
+    return star.build_star(raw(i), met(i))
+
+
+def once(i: Inputs, df):
+    """``df`` written to the scratch folder and read back: what a query uses several times."""
+    path = scratch_dir(i.spark, "star")
+    df.write.parquet(path)
+    return i.spark.read.schema(df.schema).parquet(path)
 
 
 def raw_star(i: Inputs) -> Star:
-    rows = raw(i)
+    rows = met(i)
     facts = star.build_facts(i.check_results, dedupe=False)
     return Star(star.build_dim_datasets(rows), star.build_dim_rules(rows), star.build_dim_date(rows), facts)
 
@@ -212,17 +223,17 @@ def _utc(i: Inputs):
 
 @query("h06_dim_datasets", STAR + " select * from dim_datasets")
 def _dim_datasets(i: Inputs):
-    return star.build_dim_datasets(raw(i))
+    return star.build_dim_datasets(met(i))
 
 
 @query("h07_dim_rules", STAR + " select * from dim_rules")
 def _dim_rules(i: Inputs):
-    return star.build_dim_rules(raw(i))
+    return star.build_dim_rules(met(i))
 
 
 @query("h08_dim_date", STAR + " select * from dim_date")
 def _dim_date(i: Inputs):
-    return star.build_dim_date(raw(i))
+    return star.build_dim_date(met(i))
 
 
 @query("h09_fact_scores", f"select id, {_SCORE} as score from check_results")
@@ -254,7 +265,8 @@ def _facts_query(i: Inputs):
     union all select 'ORPHAN_DATE_KEY', count(distinct date_key) from facts where date_key <> 0 and date_key not in (select k from known)""",
 )
 def _date_problems(i: Inputs):
-    known = star.build_dim_date(raw(i).where("checked_at < timestamp_ntz '2024-01-25'"))
+    early = i.check_results.where("checked_at < timestamp_ntz '2024-01-25'")
+    known = star.build_dim_date(extract.dimension_extract(extract.History(early, i.rules, i.datasets)))
     return star.date_key_problems(star.build_facts(_gaps(i)), known).select("check", "n")
 
 
@@ -306,7 +318,7 @@ def _batch(i: Inputs):
     union all select * from dim_datasets where status = 'ERROR'""",
 )
 def _upsert_datasets(i: Inputs):
-    target = built(i).dim_datasets
+    target = once(i, built(i).dim_datasets)
     source = target.where("status <> 'ERROR'").withColumn("name", F.upper("name")).withColumn("row_count", F.col("row_count") + 1)
     return load.upsert(target, source)
 
@@ -318,13 +330,13 @@ def _upsert_datasets(i: Inputs):
     union all select * from dim_rules where rule_type <> 'RANGE'""",
 )
 def _upsert_rules(i: Inputs):
-    target = built(i).dim_rules
+    target = once(i, built(i).dim_rules)
     return load.upsert(target, target.where("rule_type = 'RANGE'").withColumn("severity", F.lit("LOW")))
 
 
 @query("i03_insert_dates", STAR + " select * from dim_date where full_date > date '2024-01-20'")
 def _insert_dates(i: Inputs):
-    dates = built(i).dim_date
+    dates = once(i, built(i).dim_date)
     return load.insert_ignore(dates.where("full_date <= date '2024-01-20'"), dates, ["date_key"])
 
 

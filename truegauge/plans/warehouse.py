@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import threading
 
-from truegauge.operators.extract import base_extract
+from truegauge.operators.extract import base_extract, dimension_extract
 from truegauge.operators.load import StarStore
 from truegauge.operators.star import build_star
 from truegauge.plans.history import Inputs
@@ -25,6 +25,6 @@ def stored(i: Inputs) -> StarStore:
     with _lock:
         if key not in _stores:
             root = scratch_dir(i.spark, "star")
-            StarStore(i.spark, root).load(build_star(base_extract(i.history)))
+            StarStore(i.spark, root).load(build_star(base_extract(i.history), dimension_extract(i.history)))
             _stores[key] = root
     return StarStore(i.spark, _stores[key])

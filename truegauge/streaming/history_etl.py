@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from truegauge.operators.extract import History, base_extract
+from truegauge.operators.extract import History, base_extract, dimension_extract
 from truegauge.operators.load import LoadSummary, StarStore
 from truegauge.operators.star import build_star
 
@@ -47,7 +47,8 @@ def stream_history(
         rows.where("_late").drop("_late").write.mode("overwrite").parquet(f"{root}/late/batch={number}")
         fresh = rows.where("not _late").drop("_late")
         if not fresh.isEmpty():
-            store.load(build_star(base_extract(History(fresh, rules, datasets))))
+            part = History(fresh, rules, datasets)
+            store.load(build_star(base_extract(part), dimension_extract(part)))
         if (number + 1) % compact_every == 0 and store.exists("fact_quality_checks"):
             store.compact()
         spark.createDataFrame([(settled,)], MARK_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/_marks/batch={number}")
@@ -74,4 +75,5 @@ def merge_late(store: StarStore, rules: DataFrame, datasets: DataFrame) -> LoadS
     nothing. The stream may go on meanwhile.
     """
     late = store.spark.read.parquet(f"{store.root}/late").drop("batch")
-    return store.load(build_star(base_extract(History(late, rules, datasets))))
+    part = History(late, rules, datasets)
+    return store.load(build_star(base_extract(part), dimension_extract(part)))
