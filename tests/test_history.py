@@ -367,6 +367,24 @@ def test_upsert_without_changes_writes_nothing(spark, tmp_path):
     assert [tuple(r) for r in store.read("dim_rules").collect()] == [(7, "r7", "new")]
 
 
+def test_loads_send_no_table_to_the_driver(spark, tmp_path):
+    h = history(spark)
+    store = StarStore(spark, str(tmp_path))
+    store.load(star.build_star(extract.base_extract(h)))
+    rules, facts = store.read("dim_rules"), store.read("fact_quality_checks")
+    joins = {
+        "upsert": (load.upsert(rules, rules.where("id > 1")), 3),
+        "insert_ignore": (load.insert_ignore(rules.where("id > 1"), rules, ["id"]), 1),
+        "new_facts": (load.new_facts(facts.where("rule_id > 1"), facts), 1),
+        "changed_rows": (load.changed_rows(rules, rules.withColumn("severity", F.lit("LOW"))), 2),
+    }
+    for name, (df, n) in joins.items():
+        plan = df._jdf.queryExecution().executedPlan()
+        before = plan.toString()
+        assert len(df.collect()) == n, name
+        assert "Broadcast" not in before and "Broadcast" not in plan.toString(), name
+
+
 def test_compaction_leaves_few_files_and_the_same_facts(spark, tmp_path):
     store = StarStore(spark, str(tmp_path / "star"))
     facts = star.transform(extract.base_extract(history(spark))).star.facts

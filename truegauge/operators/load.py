@@ -22,15 +22,32 @@ from truegauge.operators.star import BUSINESS_KEY, FACT_COLUMNS, Star
 from truegauge.session import path_exists
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that sorts and merges, never a broadcast.
+
+    The planner goes by the size of compressed files and the share of columns read. Keys
+    compress so well that some MB of files become a hash table many times as large, which
+    the driver builds and holds. Joins on unique keys have no hot key that would need one.
+    """
+    return df.hint("merge")
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     """Source rows replace target rows of the same key; the rest stays."""
-    kept = target.join(source.select(*keys), list(keys), "left_anti")
+    kept = target.join(unsent(source.select(*keys)), list(keys), "left_anti")
     return source.select(*target.columns).unionByName(kept.select(*target.columns))
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source rows whose key the target does not have yet."""
-    return source.join(target.select(*keys), list(keys), "left_anti")
+    return source.join(unsent(target.select(*keys)), list(keys), "left_anti")
+
+
+def changed_rows(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Ids of source rows that the target lacks or holds with other values, compared by hash."""
+    row = F.xxhash64(*target.columns)
+    old = target.select("id", row.alias("_old"))
+    return source.select("id", row.alias("_new")).join(unsent(old), "id", "left").where("_old is null or _old <> _new")
 
 
 def _same_key(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -49,7 +66,7 @@ def new_facts(target: DataFrame, batch: DataFrame) -> DataFrame:
     """
     return (
         batch.alias("new")
-        .join(target.select(*BUSINESS_KEY).alias("old"), _same_key("new", "old", BUSINESS_KEY), "left_anti")
+        .join(unsent(target.select(*BUSINESS_KEY)).alias("old"), _same_key("new", "old", BUSINESS_KEY), "left_anti")
         .select(*batch.columns)
     )
 
@@ -258,10 +275,7 @@ class StarStore:
         if not self.exists(table):
             self.replace(table, source)
             return
-        current = self.read(table)
-        row = F.xxhash64(*current.columns)
-        old = current.select("id", row.alias("_old"))
-        fresh = source.select("id", row.alias("_new")).join(old, "id", "left").where("_old is null or _old <> _new")
+        fresh = changed_rows(self.read(table), source)
         touched = sorted(r["bucket"] for r in fresh.select(self._bucket().alias("bucket")).distinct().collect())
         if touched:
             mine = source.where(self._bucket().isin(touched))
@@ -311,7 +325,7 @@ class StarStore:
         if not (self.exists("dim_rules") and self.exists("fact_quality_checks")):
             return []
         now = rules.select("id", F.col("severity").alias("new"))
-        changed = self.read("dim_rules").join(now, "id").where(~F.col("severity").eqNullSafe(F.col("new")))
+        changed = self.read("dim_rules").join(unsent(now), "id").where(~F.col("severity").eqNullSafe(F.col("new")))
         changed = changed.select(F.col("id").alias("rule_id"))
         if changed.isEmpty():
             return []
